@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import exact_dedup, sharding
+from presswork.llm import exact_dedup, minhash, sharding
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -27,6 +27,11 @@ def op8(spark, d):
     return exact_dedup.exact_dedup(docs, carry=("text_sha256",))
 
 
+@R.add("op10_circulant_minhash_near_dedup")
+def op10(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
+
+
 def queries() -> dict:
     return dict(R.queries)
 
