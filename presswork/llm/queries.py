@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import exact_dedup, minhash, sharding
+from presswork.llm import decontaminate, exact_dedup, minhash, sharding, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
 R = Registry()
 
 
+@R.add("op2_pigeonhole_decontamination")
+def op2(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @R.add("op3_histogram_sort_sharding")
 def op3(spark, d):
     return sharding.shard(table(spark, d, "documents"), 16)
@@ -27,6 +32,11 @@ def op8(spark, d):
     return exact_dedup.exact_dedup(docs, carry=("text_sha256",))
 
 
+@R.add("op9_ftrl_toxicity")
+def op9(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @R.add("op10_circulant_minhash_near_dedup")
 def op10(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
