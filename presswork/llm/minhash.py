@@ -5,17 +5,18 @@ document over 2**32 places, the second, circularly shifted by k, gives the
 order whose minimum is coordinate k. Texts with the same set of shingles are one
 class, so copies cost a row each and no pairs. Every bucket links its members to
 its first member; only buckets that this leaves in several components go on to
-further pairs, after an exact bound has taken out members that cannot link.
+further pairs, and of these only pairs that an exact bound lets through.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.components import components
@@ -24,8 +25,8 @@ from presswork.session import settle
 
 #: 32 bands of 4: a pair at Jaccard 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Buckets of more classes than this go through the bound before pairs are made.
-LARGE_BUCKET = 32
+#: Bits of the odd sketch: bit i tells whether a set has an odd number of shingles in place i.
+ODD_BITS = 1024
 #: At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SIGMA = U(0xA0761D6478BD642F)
@@ -64,8 +65,14 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     return out
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each of ODD_BITS places."""
+    places = np.bincount((s >> U(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS)
+    return np.packbits((places & 1).astype(np.uint8)).tobytes()
+
+
 def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, number of shingles, digest of the set (NULL for empty sets), band keys."""
+    """id, number of shingles, digest of the set (NULL for empty sets), band keys, odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,11 +87,12 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         pa.array([len(s) for s in part], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in part], pa.binary()),
                         pa.array([next(keys) if len(s) else None for s in part], pa.list_(pa.int64())),
+                        pa.array([np.frombuffer(odd_sketch(s), dtype=np.int64) for s in part], pa.list_(pa.int64())),
                     ],
-                    names=["id", "size", "digest", "keys"],
+                    names=["id", "size", "digest", "keys", "odd"],
                 )
 
-    return docs.mapInArrow(run, "id long, size long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, size long, digest binary, keys array<long>, odd array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -109,24 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _free(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(id, size, free): the set size, and how many shingles no other member has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                sets = list(shingle_sets(part.column(1).to_pylist(), n))
-                owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["id", "shingle"])
-
-    ids = settle(members.select("id").distinct(), "large")
-    own = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").mapInArrow(run, "id long, shingle long")
-    # A shingle that several members have is counted on its first member only, with free = 0.
-    return own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("free"))
-
-
-def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, large: int = LARGE_BUCKET) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(sketches with the class representative ``rep``, verified links (a, b) between representatives).
 
     The links need not be all pairs over the threshold: a pair inside one
@@ -135,7 +126,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = settle(_sketch(docs, n, bands, rows), "sketch")
     whole = sketched.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = settle(whole.groupBy("digest").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    classes = settle(whole.groupBy("digest").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("odd").alias("odd")), "classes")
     buckets = settle(classes.select(F.col("rep").alias("id"), "size", F.posexplode("keys").alias("band", "key")), "buckets")
     heads = settle(buckets.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1"), "heads")
     members = buckets.join(heads, ["band", "key"])
@@ -148,25 +139,17 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     labelled = settle(labelled, "labelled")
     split = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
     rest = settle(labelled.join(split, ["band", "key"], "left_semi").where("id <> pivot"), "rest")
-    small, big = rest.where(F.col("members") <= large), rest.where(F.col("members") > large)
-    if big.limit(1).count():
-        # |A and B| <= |A| - free(A), and a link needs |A and B| >= p / (100 + p) * (|A| + |B|).
-        free = _free(big, docs, n)
-        bounded = big.join(free, "id", "left").withColumn("most", F.col("size") - F.coalesce("free", F.lit(0)))
-        # Whatever the partner: it has at least p % of the own size, so a member needs most >= p % of its size ...
-        bounded = bounded.where(F.col("most") * 100 >= F.col("size") * percent)
-        # ... and at most so many shingles; a member whose partners would all have to be smaller than any is out.
-        bounded = bounded.withColumn("upto", F.floor(F.col("most") * (100 + percent) / percent) - F.col("size"))
-        least = bounded.groupBy("band", "key").agg(F.min("size").alias("least"))
-        big = bounded.join(least, ["band", "key"]).where("upto >= least").select(*rest.columns)
-    again = small.unionByName(big)
-    x = again.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"))
-    y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"))
-    second = x.join(y, ["band", "key"]).where("a < b AND ca <> cb").where(near).select("a", "b").distinct()
+    # Odd sketches differ in no more places than the sets differ in shingles: an exact bound, and no set need be read.
+    again = settle(rest.join(classes.select(F.col("rep").alias("id"), "odd"), "id").select("band", "key", "id", "size", "component", "odd"), "again")
+    x = again.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"), F.col("odd").alias("oa"))
+    y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"), F.col("odd").alias("ob"))
+    apart = reduce(Column.__add__, [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(ODD_BITS // 64)])
+    close = apart * (100 + percent) <= (F.col("size") + F.col("other")) * (100 - percent)
+    second = x.join(y, ["band", "key"]).where("a < b AND ca <> cb").where(near).where(close).select("a", "b").distinct()
     second = settle(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.limit(1).count():
         linked = linked.union(settle(_verified(second, docs, n, percent), "linked"))
-    return sketched.join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left").drop("of"), linked
+    return sketched.drop("keys", "odd").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left").drop("of"), linked
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
