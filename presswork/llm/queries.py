@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, minhash, sharding, toxicity
+from presswork.llm import decontaminate, exact_dedup, minhash, sharding, token_counts, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
 R = Registry()
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @R.add("op2_pigeonhole_decontamination")
 def op2(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -21,6 +28,11 @@ def op3(spark, d):
     return sharding.shard(table(spark, d, "documents"), 16)
 
 
+@R.add("op4_prefix_token_counts")
+def op4(spark, d):
+    return token_counts.token_counts(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @R.add(
     "op8_progressive_exact_dedup",
     """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
