@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, minhash, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, minhash, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -33,6 +33,11 @@ def op4(spark, d):
     return token_counts.token_counts(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@R.add("op5_ppm_scores")
+def op5(spark, d):
+    return ppm.ppm_scores(table(spark, d, "documents"), ppm.held_out_fold())
+
+
 @R.add("op6_orc_token_files")
 def op6(spark, d):
     return token_files.tokenise_to_files(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
