@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, minhash, ppm, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, html_text, minhash, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -43,6 +43,11 @@ def op6(spark, d):
     return token_files.tokenise_to_files(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+@R.add("op7_min_cut_html_text")
+def op7(spark, d):
+    return html_text.extract(table(spark, d, "pages"))
+
+
 @R.add(
     "op8_progressive_exact_dedup",
     """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
