@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, html_text, minhash, ppm, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -18,6 +18,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@R.add("op1_ipf_source_mixing", mixing.sample_report_sql())
+def op1(spark, d):
+    return mixing.sample_report(table(spark, d, "documents"))
+
+
 @R.add("op2_pigeonhole_decontamination")
 def op2(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
