@@ -38,3 +38,59 @@ def with_position(df: DataFrame, *order: Column) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+UNDETERMINED = "undetermined"
+MIN_TO_NAME = 20
+
+
+def shares(df: DataFrame, label: str, labels: Sequence[str], reason: str) -> DataFrame:
+    """One row: ``analysed`` (rows with a known label), a share per label (0 when there are none) and ``reason`` when empty."""
+    counted = df.agg(*label_counts(label, labels))
+    part = [F.round(F.when(F.col("total") > 0, F.col(v) / F.col("total")).otherwise(0.0), 6).alias(v) for v in labels]
+    return counted.select(F.col("total").alias("analysed"), *part, F.when(F.col("total") == 0, reason).alias("reason"))
+
+
+def per_month(df: DataFrame, ts: str, label: str, labels: Sequence[str]) -> DataFrame:
+    """Label counts per month; undated rows are left out here though they count in the shares."""
+    known = df.where(F.col(label).isin(*labels) & F.col(ts).isNotNull())
+    return known.groupBy(F.date_format(ts, "yyyy-MM").alias("label")).agg(*label_counts(label, labels))
+
+
+def most_negative(rows: DataFrame, negative: str, minimum: int = MIN_TO_NAME) -> DataFrame:
+    """The breakdown row with the highest negative share among groups of ``minimum`` or more.
+
+    No row unless two groups are that large and the winner has a negative one;
+    ties go to the larger total, then to the earlier in the breakdown's order.
+    """
+    from pyspark.sql import Window
+
+    named = rows.where((F.col("label") != UNDETERMINED) & (F.col("total") >= minimum))
+    order = Window.orderBy(F.desc(F.col(negative) / F.col("total")), F.desc("total"), F.asc("label"))
+    ranked = named.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0)))).withColumn("__r", F.row_number().over(order))
+    return ranked.where(f"__n >= 2 AND __r = 1 AND `{negative}` > 0").drop("__n", "__r")
+
+
+def pooled_comments(corpus: DataFrame, counts: str, labels: Sequence[str], reason: str) -> DataFrame:
+    """Shares over all comments of all articles, and how many articles have any."""
+    totals = corpus.agg(*[F.coalesce(F.sum(f"{counts}.{v}"), F.lit(0)).cast("long").alias(v) for v in labels], F.count_if(sum((F.coalesce(F.col(f"{counts}.{v}"), F.lit(0)) for v in labels), F.lit(0)) > 0).cast("long").alias("comment_articles"))
+    total = sum((F.col(v) for v in labels), F.lit(0))
+    return totals.select(total.cast("long").alias("comments_analysed"), "comment_articles", *[F.round(F.when(total > 0, F.col(v) / total).otherwise(0.0), 6).alias(v) for v in labels], F.when(total == 0, reason).alias("reason"))
+
+
+def top_topics(df: DataFrame, id_col: str = "stable_topic_id", label_col: str = "topic", order_col: str = "id") -> DataFrame:
+    """Rows per topic id, labelled by its first row, with ``counted`` and ``unassigned`` on every row."""
+    from pyspark.sql import Window
+
+    assigned = F.col(id_col).isNotNull() & (F.col(id_col).cast("string") != "")
+    groups = df.groupBy(F.when(assigned, F.col(id_col)).alias("topic_id")).agg(F.count("*").alias("count"), F.min_by(F.coalesce(F.nullif(F.col(label_col), F.lit("")), F.col(id_col).cast("string")), F.col(order_col)).alias("label"))
+    every = Window.partitionBy(F.lit(0))  # over one row per topic
+    counted = groups.withColumn("unassigned", F.coalesce(F.sum(F.when(F.col("topic_id").isNull(), F.col("count"))).over(every), F.lit(0))).where("topic_id IS NOT NULL").withColumn("counted", F.sum("count").over(every))
+    return with_position(counted, F.desc("count"), F.asc("label")).select("topic_id", "label", "count", "counted", "unassigned", "position")
+
+
+def with_baseline(df: DataFrame, group: str, label: str, labels: Sequence[str]) -> DataFrame:
+    """The breakdown and, by one rollup, the row of all groups (``is_baseline``)."""
+    known = df.where(F.col(label).isin(*labels))
+    out = known.rollup(group).agg(*label_counts(label, labels), F.grouping(group).alias("g"))
+    return out.select(F.when(F.col("g") == 1, "All").otherwise(F.col(group)).alias("label"), *labels, "total", (F.col("g") == 1).alias("is_baseline"))
