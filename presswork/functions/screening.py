@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from presswork.functions.text import redact, unescape
 
@@ -44,7 +45,7 @@ REPORTED = rf'"[^"]*(?:system|assistant|user|developer)\s*:\s*{_ORDER})[^"]*".*(
 HIDDEN = "[\u200b-\u200f\ufeff\u00ad\u2060-\u2064]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -63,7 +63,7 @@ def period_name(label: str | Column, quarterly: Column | bool = False) -> Column
 
 def seconds_between(start: str, end: str) -> Column:
     """Seconds with fractions; an open end is now."""
-    return F.coalesce(F.col(end), F.current_timestamp()).cast("double") - F.col(start).cast("double")
+    return (F.unix_micros(F.coalesce(F.col(end).cast("timestamp"), F.current_timestamp())) - F.unix_micros(F.col(start).cast("timestamp"))) / 1e6
 
 
 def duration_text(seconds: str | Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from presswork.plans import figures
+from presswork.plans import figures, merge, monitor
 
-MODULES = (figures,)
+MODULES = (figures, merge, monitor)
 
 
 def queries() -> dict:
