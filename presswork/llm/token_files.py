@@ -33,8 +33,10 @@ ORC = {
 }
 SCHEMA = "doc_id long, before long, ids array<int>"
 
+#: Characters of plain texts: Latin letters, digits, stops, commas, usual white space.
+_PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130") | frozenset("0123456789., \n\r\t")
 #: Texts with other letters than Latin ones, unusual white space or special strings are encoded as a whole.
-_WHOLE = re.compile("[^\x01-ɏ]|[\x1c-\x1f\x85\xa0İ]|<\\|")
+_WHOLE = re.compile("[^\x01-\u024f]|[\x1c-\x1f\x85\xa0\u0130]|<\\|")
 _TWO_MARKS = re.compile(r"(?:[^\w\s]|_){2}")
 
 
@@ -50,30 +52,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of new words. Words of letters alone end with one word-end token each, so they are encoded many in a line."""
+        letters = [w for w in words if w.isalpha()]
+        for start in range(0, len(letters), 1000):
+            part = letters[start : start + 1000]
+            raw = self._encode([" ".join(part)])[0]
+            at = (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1) * 4
+            if len(at) == len(part):
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *at[:-1].tolist()], at.tolist())), strict=True))
+            else:
+                self.known.update(zip(part, self._encode(part), strict=True))
+        rest = [w for w in words if not w.isalpha()]
+        for start in range(0, len(rest), 1000):
+            part = rest[start : start + 1000]
+            self.known.update(zip(part, self._encode(part), strict=True))
+
+    @staticmethod
+    def _words(t: str) -> list[str] | None:
+        """The white-space words of a text; None if it has to be encoded as a whole."""
+        if frozenset(t) <= _PLAIN:
+            single = not (".." in t or ",," in t or ".," in t or ",." in t)
+        elif _WHOLE.search(t):
+            return None
+        else:
+            single = not _TWO_MARKS.search(t)
+        t = t.lower()
+        if single:  # single stops and commas are words of their own
+            t = t.replace(".", " . ").replace(",", " , ")
+        return t.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            if _WHOLE.search(t):
-                split.append(None)
-                continue
-            t = t.lower()
-            if not _TWO_MARKS.search(t):  # single stops and commas are words of their own
-                t = t.replace(".", " . ").replace(",", " , ")
-            split.append(t.split())
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        fresh = list(set().union(*(w for w in split if w is not None)).difference(known)) if split else []
-        for start in range(0, len(fresh), 20_000):
-            part = fresh[start : start + 20_000]
-            known.update(zip(part, self._encode(part), strict=True))
+        get = self.known.get
+        split = [self._words(t) for t in texts]
+        found = [None if w is None else list(map(get, w)) for w in split]
+        gaps = [(w, f, [i for i, v in enumerate(f) if v is None]) for w, f in zip(split, found, strict=True) if f is not None and None in f]
+        self._learn(list({w[i] for w, _, at in gaps for i in at}))
+        for w, f, at in gaps:
+            for i in at:
+                f[i] = get(w[i])
         whole = iter(self._encode([t for t, w in zip(texts, split, strict=True) if w is None]))
-        return [next(whole) if w is None else b"".join(map(known.__getitem__, w)) for w in split]
+        return [next(whole) if f is None else b"".join(f) for f in found]
 
 
 _encoders: dict[str, Encoder] = {}
