@@ -31,7 +31,9 @@ from presswork.session import settle
 #: Bytes of context.
 ORDER = 5
 #: Text bytes of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Keys of a block that wait at most before they are merged.
+MERGE_AT = 1 << 19
 #: Context bytes by which grams are regrouped; shorter contexts come from a table of at most 256**(MIDDLE) counts.
 MIDDLE = 3
 GRAM, WORD = 0, 1
@@ -86,7 +88,9 @@ def _wanted(texts: list[bytes], held: np.ndarray) -> dict[int, tuple[np.ndarray,
             hidden = np.repeat(out, n)
             for mine, weight in ((k[~hidden], 1), (k[hidden], 0)):
                 u, c = np.unique(mine, return_counts=True)
-                found[kind].append((u, c * weight))
+                found[kind].append((u, (c * weight).astype(np.int32)))
+            if sum(len(p[0]) for p in found[kind][1:]) > MERGE_AT:
+                found[kind] = [_sum(np.concatenate([p[0] for p in found[kind]]), np.concatenate([p[1] for p in found[kind]]))]
     out = {}
     for kind, parts in found.items():
         u, c = _sum(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
