@@ -74,7 +74,7 @@ def filter_options(corpus: DataFrame, columns: Sequence[str], date: str) -> Data
     """(field, value): the distinct values that filters can offer, and the first and last day."""
     parts = [corpus.where(present(F.col(c).cast("string"))).select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")).distinct() for c in columns]
     days = corpus.agg(F.min(F.to_date(date)).alias("a"), F.max(F.to_date(date)).alias("b"))
-    parts.append(days.select(F.explode(F.array(F.struct(F.lit("date_min").alias("field"), F.col("a").cast("string").alias("value")), F.struct(F.lit("date_max"), F.col("b").cast("string")))).alias("s")).select("s.*"))
+    parts.append(days.select(F.explode(F.array(F.struct(F.lit("date_min").alias("field"), F.col("a").cast("string").alias("value")), F.struct(F.lit("date_max").alias("field"), F.col("b").cast("string").alias("value")))).alias("s")).select("s.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

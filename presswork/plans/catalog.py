@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from presswork.plans import figures, merge, monitor
+from presswork.plans import figures, merge, monitor, search, text
 
-MODULES = (figures, merge, monitor)
+MODULES = (figures, merge, search, text, monitor)
 
 
 def queries() -> dict:
