@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.where("full IS NULL").select(*kept_cols, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     several = marked.where("full IS NOT NULL")
     classes = settle(several.groupBy(F.col("full").alias("of")).agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
-    once = several.groupBy("full", "__id").agg(*[F.min(c).alias(c) for c in kept_cols[1:]])
+    once = several.groupBy("full", "__id").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in kept_cols[1:]])
     # A class may hold a third of all rows: both sides are written first, so that the
     # join reads plain exchanges and adaptive execution can split the class.
     once = settle(once, "members")
