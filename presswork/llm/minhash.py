@@ -137,7 +137,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     known = components(linked)
     labelled = members.where("members > 2").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = settle(labelled, "labelled")
-    split = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    split = settle(labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key"), "split")
     rest = settle(labelled.join(split, ["band", "key"], "left_semi").where("id <> pivot"), "rest")
     # Odd sketches differ in no more places than the sets differ in shingles: an exact bound, and no set need be read.
     again = settle(rest.join(classes.select(F.col("rep").alias("id"), "odd"), "id").select("band", "key", "id", "size", "component", "odd"), "again")
