@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.text import present, snippet
+from presswork.session import settle
 
 ARTICLE_FIELDS = ("id", "title", "url", "source", "published_date", "source_type", "stakeholder", "stable_topic_id", "topic", "sentiment", "stance", "snippet")
 EXACT = {"source_type": "source_type", "stakeholder": "stakeholder", "topic": "stable_topic_id"}
@@ -92,6 +93,21 @@ def recent(df: DataFrame, key: str = "id", limit: int = 20) -> DataFrame:
     return df.orderBy(F.desc(key)).limit(max(1, min(100, limit)))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Every row with its 1-based place under a total order, without sorting everything in one task.
+
+    Rows are dealt by range, sorted where they lie and numbered inside each
+    partition; a table of one count per partition gives the offsets.
+    """
+    low = (1 << 33) - 1  # monotonically_increasing_id keeps the place in the partition in its low bits
+    laid = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33)
+    counts = laid.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    joined = laid.join(F.broadcast(offsets), part == F.col("__p"))
+    return joined.withColumn(name, F.col("__m").bitwiseAND(F.lit(low)) + F.col("__o") + 1).drop("__m", "__p", "__o")
+
+
 def reproducible_sample(df: DataFrame, key: str, n: int | None = 50, seed: int = 42) -> DataFrame:
     """n rows (or all) by a hash of key and seed: the same rows however the data are partitioned."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

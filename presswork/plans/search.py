@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text
-from presswork.operators import figures, search
+from presswork.operators import search
 from presswork.plans.registry import Registry
 from presswork.session import table
+from presswork.sources import threads
 
 R = Registry()
 WS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -131,10 +133,10 @@ def unreviewed(spark, d):
     return table(spark, d, "events").where("value < 10").orderBy(F.desc_nulls_last("ts"), "event_id").limit(50).select("event_id")
 
 
-@R.add("o1_newest_first", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+@R.add("o1_newest_first", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders")
 def newest_first(spark, d):
-    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
-    return figures.with_position(rows, *search.newest_first(rows, "o_orderdate", "o_orderkey")).select("o_orderkey", "position")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return search.numbered(rows, *search.newest_first(rows, "o_orderdate", "o_orderkey")).select("o_orderkey", "position")
 
 
 @R.add("o4_recent_runs", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 100")
@@ -151,3 +153,14 @@ def options(spark, d):
 @R.add("a10_date_options", "SELECT 'date_min' AS field, min(o_orderdate)::DATE::VARCHAR AS value FROM orders UNION ALL SELECT 'date_max', max(o_orderdate)::DATE::VARCHAR FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders")
 def date_options(spark, d):
     return search.filter_options(table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate")
+
+
+@R.add("s7_visible_parents", """WITH c AS (SELECT conv_id, turn, role = 'user' AS visible FROM conversations)
+SELECT conv_id || ':' || turn AS id, (SELECT conv_id || ':' || max(p.turn) FROM c p WHERE p.conv_id = c.conv_id AND p.visible AND p.turn < c.turn GROUP BY p.conv_id) AS parent FROM c WHERE visible""")
+def visible_parents(spark, d):
+    """Turns as a reply chain in which only the user's turns are visible."""
+    turn = lambda n: F.concat_ws(":", "conv_id", n.cast("string"))
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    rows = table(spark, d, "conversations").withColumn("first", first)
+    edges = rows.select(turn(F.col("turn")).alias("id"), F.when(F.col("turn") > F.col("first"), turn(F.col("turn") - 1)).alias("parent"), (F.col("role") == "user").alias("visible"))
+    return threads.visible_parents(edges)
