@@ -2,8 +2,12 @@
 
 A test item that may differ in k characters is cut into k + 1 pieces; whatever
 the k edits are, one piece is untouched. One automaton finds all pieces of all
-items in a text in a single pass, and each hit is verified by the edit distance
-between the item and the best-matching stretch of the text around the hit.
+items in a text in a single pass. The same argument holds for runs of pieces: of
+two runs of a and b pieces one has fewer than a, or fewer than b, edits. So some
+untouched piece lies in a run of 2 with at most 1 edit, that in a run of 4 with
+at most 3, and so on; a hit that fails on the way is given up without loss, and
+the others are verified by the edit distance between the item and the
+best-matching stretch of the text around the hit.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the item's characters (rounded down).
-ERROR_RATE = 0.08
+ERROR_RATE = 0.1
+#: Runs of so many pieces are checked before the whole item.
+RUNS = (2, 4)
 #: Items are sent to the executors in blocks of about so many bytes at most.
 BLOCK_BYTES = 4 << 20
 
@@ -65,24 +71,48 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
         self.items = [(i, t, int(len(t) * error_rate), masks(t), masks(t[::-1])) for i, t in ((i, normalise(t)) for i, t in items) if t]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.cuts: list[list[int]] = []
+        self.runs: dict[tuple[int, int, int], tuple[int, dict[str, int]]] = {}  # of an item: first and last cut of a run
         for number, (_, t, k, _, _) in enumerate(self.items):
             cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces[t[a:b]].append((number, a))
+            self.cuts.append(cuts)
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                pieces[t[a:b]].append((number, j))
+            for size in RUNS:
+                for j in range(0, k + 1, size):
+                    part = t[cuts[j] : cuts[min(j + size, k + 1)]]
+                    self.runs[number, j, size] = (len(part), masks(part))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
         if pieces:
             self.automaton.make_automaton()
 
+    def _in_runs(self, text: str, number: int, j: int, start: int) -> bool:
+        """Whether the runs of pieces around piece j have few enough edits where the piece was found."""
+        cuts, pieces = self.cuts[number], len(self.cuts[number]) - 1
+        for size in RUNS:
+            if size >= pieces:
+                break
+            first = j - j % size
+            budget = min(size, pieces - first) - 1
+            if budget:
+                m, peq = self.runs[number, first, size]
+                at = start + cuts[first]
+                if nearest(peq, m, text[max(0, at - budget) : at + m + budget])[0] > budget:
+                    return False
+        return True
+
     def find(self, text: str | None) -> list[dict]:
         """The best match of every item within its budget: item_id, edits, start and end in the normalised text."""
         text, starts = normalise(text), defaultdict(list)
         if not self.items or not text:
             return []
         for last, (length, places) in self.automaton.iter(text):
-            for number, offset in places:
-                starts[number].append(last + 1 - length - offset)
+            for number, j in places:
+                start = last + 1 - length - self.cuts[number][j]  # of the item, if nothing before the piece is edited
+                if self._in_runs(text, number, j, start):
+                    starts[number].append(start)
         out = []
         for number in sorted(starts):
             item_id, t, k, peq, reverse = self.items[number]
