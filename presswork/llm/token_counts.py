@@ -26,7 +26,7 @@ CACHE = 600_000
 #: The byte-level splitting pattern of this family of tokenizers.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts that may be cut before each single space or newline; all others are split by PIECE as a whole.
-_UNEVEN = re.compile("[ \n]{3}|[ \n]{2}\\Z|[\t\x0b-\r\x1c-\x1f\x00\x85\xa0  -     　]")
+_UNEVEN = re.compile("[ \n]{3}|[ \n]{2}\\Z|[\t\x0b-\r\x1c-\x1f\x00\x85\xa0\N{OGHAM SPACE MARK}\N{EN QUAD}-\N{HAIR SPACE}\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}]")
 
 
 def byte_characters() -> dict[str, int]:
