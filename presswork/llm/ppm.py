@@ -251,10 +251,11 @@ def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     def learn(table: pa.Table) -> pa.Table:
         """log10 probabilities of all grams whose middle context is in this bucket, back to the buckets they came from."""
         keys = [np.frombuffer(k, dtype=U) for k in table.column("keys").to_pylist()]
-        all_keys, totals = _sum(np.concatenate(keys), np.concatenate([np.frombuffer(v, dtype=np.int64) for v in table.column("vals").to_pylist()]))
+        joined = np.concatenate(keys)
         levels = _levels(*sent.value, MIDDLE - 1, 0, None)
-        levels += _levels(all_keys, totals, ORDER, MIDDLE, levels[-1])
-        return _table([(GRAM, b, 0, 0, k.tobytes(), code_lengths(k, levels).tobytes()) for b, k in zip(table.column("bucket").to_pylist(), keys, strict=True)])
+        levels += _levels(*_sum(joined, np.concatenate([np.frombuffer(v, dtype=np.int64) for v in table.column("vals").to_pylist()])), ORDER, MIDDLE, levels[-1])
+        told = np.split(code_lengths(joined, levels), np.cumsum([len(k) for k in keys])[:-1])
+        return _table([(GRAM, b, 0, 0, k.tobytes(), v.tobytes()) for b, k, v in zip(table.column("bucket").to_pylist(), keys, told, strict=True)])
 
     learned = settle(gathered.where(F.col("kind") == GRAM).groupBy("dest").applyInArrow(learn, _PACKED), "learned")
 
