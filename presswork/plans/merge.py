@@ -6,11 +6,36 @@ from pyspark.sql import functions as F
 
 from presswork.operators import merge, monitor
 from presswork.plans.registry import Registry
-from presswork.session import table
+from presswork.session import scratch, table
+from presswork.sources import files
 
 R = Registry()
 
 
+@R.add("s1_table_read", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
+def table_read(spark, d):
+    """Predicate and columns reach the Parquet scan; a server's paging has no counterpart."""
+    return table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+
+
+@R.add(
+    "s2_mixed_import",
+    """SELECT 'post' AS kind, doc_id::VARCHAR AS id, NULL::VARCHAR AS post_id, source AS subreddit, n_chars::INTEGER AS score FROM documents
+UNION ALL SELECT 'comment', conv_id || ':' || turn, conv_id::VARCHAR, role, turn::INTEGER FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)""",
+)
+def mixed_import(spark, d):
+    """Documents and conversations as one ;-separated file of posts and comments, imported again."""
+    empty = F.lit(None).cast("string")
+    shape = lambda df, **c: df.select(*[c.get(n, empty).cast("string").alias(n) for n in files.IMPORT_COLUMNS])
+    posts = shape(table(spark, d, "documents"), type=F.lit("post"), id=F.col("doc_id"), subreddit=F.col("source"), title=F.col("lang"), score=F.col("n_chars"))
+    comments = shape(table(spark, d, "conversations"), type=F.lit("comment"), id=F.concat_ws(":", "conv_id", "turn"), post_id=F.col("conv_id"), subreddit=F.lit("x"), specific_subreddit=F.col("role"), score=F.col("turn"))
+    path = scratch(spark, "import")
+    posts.unionByName(comments).write.csv(path, sep=";", header=True)
+    p, c, _ = files.read_mixed(spark, path, "tables")
+    one = lambda df, kind, post: df.select(F.lit(kind).alias("kind"), "id", post.alias("post_id"), "subreddit", "score")
+    return one(p, "post", empty).unionByName(one(c, "comment", F.col("post_id")))
+
+
 def label_rows(spark, d):
     """``orders`` as competing label rows of a customer: urgent ones come from the preferred method, low ones from the baseline."""
     return table(spark, d, "orders").select(

@@ -74,6 +74,13 @@ def test_snapshots(spark, tmp_path):
     assert files.latest_snapshot(spark, path).first()["run_id"] == 2
 
 
+def test_topic_outputs(spark, tmp_path):
+    one = lambda sql: spark.sql(f"SELECT {sql}")
+    files.write_topic_outputs(one("0 AS topic_id, 3 AS n, 'a; b' AS topic_keywords"), one("1L AS article_id, 0 AS topic_id"), one("'v1' AS version, 3 AS loaded"), str(tmp_path))
+    assert spark.read.csv(str(tmp_path / "topics"), header=True).first()["topic_keywords"] == "a; b"
+    assert spark.read.parquet(str(tmp_path / "assignments")).count() == 1 and spark.read.json(str(tmp_path / "manifest")).first()["version"] == "v1"
+
+
 def test_stream_labels_once(spark, tmp_path):
     landed, results = str(tmp_path / "landed"), str(tmp_path / "results")
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, text string").write.parquet(landed)
