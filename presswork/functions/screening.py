@@ -72,36 +72,44 @@ def decoded_views(text: Column) -> Column:
     return F.filter(texts, lambda t: (F.length(t) >= 8) & (F.length(F.regexp_replace(t, r"(?U)[^\p{Print}\s]", "")) > 0.9 * F.length(t)))
 
 
-def _first_hit(view: Column, name: str) -> Column:
+def _first_hit(view: Column, name: Column) -> Column:
     """Which pattern a view matches first; NULL for none or for reported speech."""
-    found = F.coalesce(*[F.when(view.rlike("(?iU)" + p), F.lit(f"injection_pattern[{name}]:{p[:48]}")) for p in INJECTION])
-    return F.when(~view.rlike("(?iU)" + REPORTED), found)
+    found = F.coalesce(*[F.when(view.rlike("(?iu)" + p), F.concat(F.lit("injection_pattern["), name, F.lit(f"]:{p[:48]}"))) for p in INJECTION])
+    return F.when(~view.rlike("(?iu)" + REPORTED), found)
 
 
 def injection(text: Column) -> Column:
-    """Why a text looks like an instruction to a model (view and pattern); NULL if it does not."""
+    """Why a text looks like an instruction to a model (view and pattern); NULL if it does not.
+
+    Views are elements of an array, so that each is made once for all patterns.
+    """
+
+    def view(name: str, of: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), of.alias("text"))
+
+    def views(flat: Column) -> Column:
+        hidden = F.transform(decoded_views(t), lambda v: view("base64", _folded(v)))
+        return F.concat(F.array(view("raw", t), view("normalized", flat), view("reversed", F.reverse(flat))), hidden)
+
     t = F.coalesce(text, F.lit(""))
-    flat = normalised(t)
-    hidden = F.transform(decoded_views(t), lambda v: _first_hit(_folded(v), "base64"))
-    return F.coalesce(
-        _first_hit(t, "raw"),
-        _first_hit(flat, "normalized"),
-        _first_hit(F.reverse(flat), "reversed"),
-        F.get(F.filter(hidden, lambda h: h.isNotNull()), F.lit(0)),
-        F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word")),
-    )
+    every = F.get(F.transform(F.array(normalised(t)), views), F.lit(0))
+    hits = F.filter(F.transform(every, lambda v: _first_hit(v["text"], v["name"])), lambda h: h.isNotNull())
+    return F.coalesce(F.get(hits, F.lit(0)), F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word")))
 
 
 def verdict(text: Column, longest: int = MAX_COMMENT) -> Column:
     """struct(passed, reason, flagged_detail, clean_text): the checks in order, the first failure decides."""
     blank = ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
-    detail = injection(text)
-    reason = (
-        F.when(blank, "empty_or_invalid_type").when(F.length(text) > longest, "exceeds_max_length")
-        .when(unescape(text).rlike(r"(?i)<script\b"), "html_script_detected").when(detail.isNotNull(), "prompt_injection_suspected")
-    )
-    flagged = F.when(reason == "html_script_detected", "<script").when(reason == "prompt_injection_suspected", detail)
-    return F.struct(reason.isNull().alias("passed"), reason.alias("reason"), flagged.alias("flagged_detail"), F.when(reason.isNull(), redact(text)).alias("clean_text"))
+    first = F.when(blank, "empty_or_invalid_type").when(F.length(text) > longest, "exceeds_max_length").when(unescape(text).rlike(r"(?i)<script\b"), "html_script_detected")
+    # The costly search runs once, and only for texts that the checks before it let through.
+    found = F.array(F.struct(first.alias("reason"), F.when(first.isNull(), injection(text)).alias("detail")))
+
+    def told(x: Column) -> Column:
+        reason = F.coalesce(x["reason"], F.when(x["detail"].isNotNull(), "prompt_injection_suspected"))
+        flagged = F.when(reason == "html_script_detected", "<script").otherwise(x["detail"])
+        return F.struct(reason.isNull().alias("passed"), reason.alias("reason"), flagged.alias("flagged_detail"), F.when(reason.isNull(), redact(text)).alias("clean_text"))
+
+    return F.get(F.transform(found, told), F.lit(0))
 
 
 def junk(text: Column) -> Column:
