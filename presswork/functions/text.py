@@ -5,7 +5,7 @@ All are built-in expressions, so they stay inside generated JVM code.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(text: str | Column) -> Column:
     """True where a text is neither NULL nor blank."""
     return F.trim(F.coalesce(_c(text), F.lit(""))) != ""
@@ -61,13 +66,15 @@ def article_body(markup: str | Column) -> Column:
     page = _c(markup)
     for tag in DROPPED_TAGS:
         page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    article = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    scope = F.when(article != "", article).otherwise(page)
+    scope = once(page, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1), F.lit("")), p))
     pieces = F.slice(F.split(scope, r"(?i)<p(?=[\s>/])[^>]*>"), 2, 1 << 30)
     cut = F.transform(pieces, lambda p: plain_line(F.element_at(F.split(p, r"(?i)</p\s*>", 2), 1)))
-    filled = F.filter(cut, lambda p: p != "")
-    long = F.filter(filled, lambda p: F.length(p) > MIN_PARAGRAPH)
-    return F.array_join(F.when(F.size(long) > 0, long).otherwise(filled), "\n\n")
+
+    def joined(filled: Column) -> Column:
+        long = F.filter(filled, lambda p: F.length(p) > MIN_PARAGRAPH)
+        return F.array_join(F.when(F.size(long) > 0, long).otherwise(filled), "\n\n")
+
+    return once(F.filter(cut, lambda p: p != ""), joined)
 
 
 def clean_text(text: str | Column) -> Column:
@@ -83,7 +90,10 @@ def word_count(text: str | Column) -> Column:
 
 def extraction_outcome(status_code: str | Column, markup: str | Column) -> Column:
     """struct(status, note, body) of a landed page: paywalled (403), failed (404 or any other code, or too short), success."""
-    code, body = _c(status_code), clean_text(article_body(F.coalesce(_c(markup), F.lit(""))))
+    return once(clean_text(article_body(F.coalesce(_c(markup), F.lit("")))), lambda body: _outcome(_c(status_code), body))
+
+
+def _outcome(code: Column, body: Column) -> Column:
     n = word_count(body)
     status = F.when(code == 403, "paywalled").when(code.isNull() | (code != 200) | (n < MIN_WORDS), "failed").otherwise("success")
     note = (
@@ -128,11 +138,20 @@ PII = (
 
 
 def redact(text: str | Column) -> Column:
-    """Tags and control characters out, then e-mail, phone, social security and street address masks."""
-    out = F.regexp_replace(strip_tags(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    for mask, pattern in PII:
-        out = F.regexp_replace(out, pattern, mask)
-    return out
+    """Tags and control characters out, then e-mail, phone, social security and street address masks.
+
+    Texts without @, or without digits, cannot hold what the patterns look for and skip them.
+    """
+    (mail, mail_pattern), *numbers = PII
+
+    def masked(t: Column) -> Column:
+        for mask, pattern in numbers:
+            t = F.regexp_replace(t, pattern, mask)
+        return t
+
+    bare = F.regexp_replace(strip_tags(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    no_mail = once(bare, lambda t: F.when(t.contains("@"), F.regexp_replace(t, mail_pattern, mail)).otherwise(t))
+    return once(no_mail, lambda t: F.when(t.rlike("[0-9]"), masked(t)).otherwise(t))
 
 
 def snippet(text: str | Column, q: str, context: int = SNIPPET_CONTEXT) -> Column:
