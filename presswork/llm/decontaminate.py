@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,9 +170,12 @@ def _matched(docs: DataFrame, items: list[tuple[int, str]], text_col: str, error
         search = Items(sent.value, error_rate)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([search.find(t) for t in b.column(1).to_pylist()], kind)], names=["row", "matches"])
+            for start in range(0, b.num_rows, 512):
+                row = b.column(0).slice(start, 512)
+                found = [search.find(t) for t in pc.struct_field(row, text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([row, pa.array(found, kind)], names=["row", "matches"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -76,9 +76,8 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for start in range(0, len(texts), 512):
-                part = list(shingle_sets(texts[start : start + 512], n))
+            for start in range(0, b.num_rows, 512):
+                part = list(shingle_sets(b.column(1).slice(start, 512).to_pylist(), n))
                 full = [s for s in part if len(s)]
                 keys = iter(signatures(full, bands, rows).view(np.int64))
                 yield pa.RecordBatch.from_arrays(

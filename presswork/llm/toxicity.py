@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,13 +117,13 @@ def score(docs: DataFrame, weights: dict[int, float], text_col: str = "text") ->
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = values
         for b in batches:
-            got = []
             for start in range(0, b.num_rows, 512):
-                for f in features(b.column(1).slice(start, 512).to_pylist()):
-                    got.append(1 / (1 + np.exp(-np.clip(dense[f].sum() + dense[-1], -35, 35))) if len(at) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["row", "score"])
+                row = b.column(0).slice(start, 512)
+                sums = [dense[f].sum() + dense[-1] for f in features(pc.struct_field(row, text_col).to_pylist())]
+                got = [1 / (1 + np.exp(-np.clip(x, -35, 35))) if len(at) else 0.0 for x in sums]
+                yield pa.RecordBatch.from_arrays([row, pa.array(got, pa.float64())], names=["row", "score"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
