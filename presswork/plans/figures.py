@@ -49,7 +49,8 @@ def topic_breakdown(spark, d):
 
 @R.add(
     "a4_stakeholder_breakdown",
-    f"{CORPUS} SELECT coalesce(nullif(CASE WHEN stakeholder = '5-LOW' THEN '' ELSE stakeholder END, ''), 'undetermined') AS label, {COUNTS}, row_number() OVER (ORDER BY count(*) DESC, 1) AS position FROM (SELECT CASE WHEN stakeholder = '5-LOW' THEN '' ELSE stakeholder END AS stakeholder, sentiment FROM c) WHERE sentiment IN ('O','F','P') GROUP BY 1".replace("ORDER BY count(*) DESC, 1)", "ORDER BY count(*) DESC, coalesce(nullif(CASE WHEN stakeholder = '5-LOW' THEN '' ELSE stakeholder END, ''), 'undetermined'))").replace(" GROUP BY 1", " GROUP BY stakeholder"),
+    f"""{CORPUS}, n AS (SELECT CASE WHEN stakeholder = '5-LOW' THEN 'undetermined' ELSE stakeholder END AS label, sentiment FROM c WHERE sentiment IN ('O','F','P'))
+SELECT label, {COUNTS}, row_number() OVER (ORDER BY count(*) DESC, label) AS position FROM n GROUP BY label""",
 )
 def stakeholder_breakdown(spark, d):
     rows = corpus(spark, d).withColumn("stakeholder", F.when(F.col("stakeholder") == "5-LOW", "").otherwise(F.col("stakeholder")))

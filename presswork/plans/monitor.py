@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.functions import screening, text
+from presswork.functions import text
 from presswork.operators import evaluate, labelling, monitor, search, topics
 from presswork.plans.merge import ROWS, label_rows
 from presswork.plans.registry import Registry
@@ -104,7 +104,7 @@ def footprint(spark, d):
     return monitor.footprint(tables(spark, d))
 
 
-@R.add("a19_footprint_change", f"WITH a AS ({FOOTPRINT.format(w='')}), b AS ({FOOTPRINT.format(w=chr(87) + 'HERE o_orderdate < DATE ' + chr(39) + '2000-01-01' + chr(39))}) SELECT table_name, a.n - b.n AS rows_added, a.max_id - b.max_id AS id_growth FROM a JOIN b USING (table_name)")
+@R.add("a19_footprint_change", f"""WITH a AS ({FOOTPRINT.format(w='')}), b AS ({FOOTPRINT.format(w="WHERE o_orderdate < DATE '2000-01-01'")}) SELECT table_name, a.n - b.n AS rows_added, a.max_id - b.max_id AS id_growth FROM a JOIN b USING (table_name)""")
 def footprint_change(spark, d):
     return monitor.footprint_change(monitor.footprint(tables(spark, d, "o_orderdate < DATE '2000-01-01'")), monitor.footprint(tables(spark, d)))
 
@@ -173,8 +173,8 @@ MEANS = "c AS (SELECT label, list(v ORDER BY i) AS centroid FROM (SELECT label,
 
 @R.add(
     "m1_topic_assignment",
-    f"""WITH {MEANS}, s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) AS similarity FROM embeddings CROSS JOIN (SELECT label AS topic, centroid FROM c) t(label2, centroid)), x AS (SELECT vec_id, t.label2 AS topic, round(list_cosine_similarity(embedding::DOUBLE[], t.centroid), 6) AS similarity FROM embeddings, (SELECT label AS label2, centroid FROM c) t),
-b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) AS rn FROM x) SELECT vec_id, CASE WHEN similarity >= 0.2 THEN topic ELSE -1 END AS topic_id, similarity FROM b WHERE rn = 1""".replace(", s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) AS similarity FROM embeddings CROSS JOIN (SELECT label AS topic, centroid FROM c) t(label2, centroid))", ""),
+    f"""WITH {MEANS}, x AS (SELECT vec_id, c.label AS topic, round(list_cosine_similarity(embedding::DOUBLE[], c.centroid), 6) AS similarity FROM embeddings, c),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) AS rn FROM x) SELECT vec_id, CASE WHEN similarity >= 0.2 THEN topic ELSE -1 END AS topic_id, similarity FROM b WHERE rn = 1""",
 )
 def topic_assignment(spark, d):
     vectors = table(spark, d, "embeddings")
@@ -238,7 +238,7 @@ def stages(spark, d):
     )
 
 
-@R.add("r1_j9_runs_with_stages", f"""{STAGES} SELECT run_id AS id, string_agg(stage_name || ':' || status, ',' ORDER BY id) AS stages FROM s WHERE run_id IN (SELECT DISTINCT run_id FROM s ORDER BY run_id DESC LIMIT 20) GROUP BY run_id""".replace("SELECT run_id AS id, string_agg(stage_name || ':' || status, ',' ORDER BY id)", "SELECT run_id AS id, string_agg(stage_name || ':' || status, ',' ORDER BY s.id)"))
+@R.add("r1_j9_runs_with_stages", f"{STAGES} SELECT run_id AS id, string_agg(stage_name || ':' || status, ',' ORDER BY s.id) AS stages FROM s WHERE run_id IN (SELECT DISTINCT run_id FROM s ORDER BY run_id DESC LIMIT 20) GROUP BY run_id")
 def runs_with_stages(spark, d):
     s = stages(spark, d)
     runs = s.select(F.col("run_id").alias("id")).distinct()

@@ -144,7 +144,7 @@ def recent_runs(spark, d):
     return search.recent(table(spark, d, "events").select("event_id"), "event_id", 500)
 
 
-@R.add("a10_filter_options", """SELECT 'p_brand' AS field, p_brand AS value FROM part WHERE p_brand <> '' GROUP BY 2 UNION ALL SELECT 'p_type', p_type FROM part WHERE p_type <> '' GROUP BY 2 UNION ALL SELECT 'date_min', min(p_size::VARCHAR) FROM part WHERE false GROUP BY 2""".replace(" UNION ALL SELECT 'date_min', min(p_size::VARCHAR) FROM part WHERE false GROUP BY 2", ""))
+@R.add("a10_filter_options", "SELECT DISTINCT 'p_brand' AS field, p_brand AS value FROM part WHERE p_brand <> '' UNION ALL SELECT DISTINCT 'p_type', p_type FROM part WHERE p_type <> ''")
 def options(spark, d):
     rows = table(spark, d, "part").withColumn("day", F.lit(None).cast("timestamp"))
     return search.filter_options(rows, ["p_brand", "p_type"], "day").where("value IS NOT NULL")
