@@ -24,6 +24,8 @@ TOLERANCE = 0.001
 PIECE_BYTES = 64 << 20
 #: Candidate boundaries put into each open bracket in each round.
 PROBES = 255
+#: Boundaries counted in one round over all brackets; with very many pieces each bracket gets fewer and rounds become more.
+MAX_PROBES = 1 << 20
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -74,11 +76,12 @@ def _histogram(rows: DataFrame, column: str, cuts: list[int], within: int | None
 def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float, within: int | None = None, base: int = 0) -> list[tuple[int, int, int]]:
     """For each target: the cut whose bytes come nearest, these bytes, and the greatest known cut at or below the target.
 
-    Each round counts PROBES cuts in every bracket that is still too wide, all
+    Each round counts up to PROBES cuts in every bracket that is still too wide, all
     in one pass, and narrows the brackets, until the nearest end of each is
     within the tolerance or no key lies inside it.
     """
     known = {LOW: 0} | _histogram(rows, column, [], within)
+    probes = max(1, min(PROBES, MAX_PROBES // max(1, len(targets))))
     while True:
         keys = sorted(known)
         sums = np.array([known[k] for k in keys]) + base
@@ -89,7 +92,7 @@ def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float,
             near = lo if abs(known[lo] + base - t) <= abs(known[hi] + base - t) else hi
             out.append((near, known[near] + base, lo))
             if abs(known[near] + base - t) > tolerance and hi - lo > 1:
-                cuts |= {lo + (hi - lo) * i // (PROBES + 1) for i in range(1, PROBES + 1)}
+                cuts |= {lo + (hi - lo) * i // (probes + 1) for i in range(1, probes + 1)}
         cuts -= known.keys()
         if not cuts:
             return out
