@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presswork.session import scratch, settle
+from presswork.session import scratch, settle, text_batches
 
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
@@ -134,8 +134,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, before = encoder(tokenizer), 0
         for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
+            for start in range(0, b.num_rows, 250):
+                part = b.slice(start, 250)
                 got = [x + end for x in e.encode(part.column(1).to_pylist())]
                 offsets = np.zeros(len(got) + 1, dtype=np.int64)
                 np.cumsum([len(x) // 4 for x in got], out=offsets[1:])
@@ -143,7 +143,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + offsets[:-1]), ids], names=["doc_id", "before", "ids"])
                 before += int(offsets[-1])
 
-    ordered.mapInArrow(run, SCHEMA).write.options(**ORC).orc(path)
+    with text_batches(docs.sparkSession):
+        ordered.mapInArrow(run, SCHEMA).write.options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
