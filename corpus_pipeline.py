@@ -11,6 +11,8 @@ from presswork.session import settle, table
 
 #: Ids of duplicates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
+#: Share of the words left before mixing that the mixed sample has in expectation.
+MIXED_RATE = 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights meet the tempered source, language and topic marginals."""
-    return mixing.mixed(docs)
+    """A sample of MIXED_RATE of the words, whose token weights meet the tempered source, language and topic marginals.
+
+    Where a cell has too few words for its target, all of it is taken (``mixing.marginals`` names such targets).
+    """
+    return mixing.mixed(docs, rate=MIXED_RATE)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

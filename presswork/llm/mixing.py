@@ -9,6 +9,7 @@ DataFrame functions are used, and only the table of cells goes through the loop.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ SMALL_CELLS = 200_000
 #: Fixed exponents that temper the marginals: 1 keeps a dimension's shares, 0 makes them equal.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 SEED = 20
+#: A marginal share is met when it is off its target by at most this part of it.
+TOLERANCE = 0.01
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,27 +76,76 @@ def rake(cells: DataFrame, targets: Mapping[str, float], mass: str = "tokens", r
     return out.drop(*[f"__t_{d}" for d in targets])
 
 
-def calibrated(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """Every row as the struct ``row``, with its dimensions, ``n_tokens``, ``weight``, ``probability`` and ``chosen``.
+def ratio_of_one(fitted: DataFrame, rate: float | None = None) -> float:
+    """The fitted ratio (``weight``) from which on a cell's rows are certain to be chosen.
 
-    ``weight`` is the fitted over the present token mass of the row's cell;
-    probabilities are in proportion to it, with 1 for the largest, so that the
-    expected mix has the target marginals and the sample is the largest that
-    has. A row is chosen when a hash of its id and the seed lies below its
-    probability: the same rows on every run, and repeated rows together. NULL
-    dimensions are a value of their own ('(none)'), NULL texts have no tokens;
-    rows of cells without tokens have weight and probability 0.
+    Without a rate this is the largest ratio. With one it is the ratio at which the
+    probabilities min(1, ratio / it) keep that share of all ``tokens`` in expectation:
+    Newton's steps, each one aggregate over the cells, clip more cells until none is added.
     """
+    cells = fitted.where("weight > 0")
+    top = cells.agg(F.max("weight"), F.min("weight"), F.sum("tokens"), F.sum(F.col("weight") * F.col("tokens"))).first()
+    if top[0] is None:
+        return 1.0
+    if rate is None:
+        return top[0]
+    if not 0 < rate <= 1:
+        raise ValueError("rate must lie in (0, 1]")
+    budget, unit, certain = rate * top[2], top[3] / (rate * top[2]), 0
+    while True:
+        over = F.col("weight") > F.lit(unit)
+        n, taken, free = cells.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight") * F.col("tokens"))), F.lit(0.0))).first()
+        if free <= 0 or budget <= taken:
+            return unit if free > 0 else top[1]
+        if n == certain:
+            return unit
+        unit, certain = min(unit, free / (budget - taken)), n
+
+
+def _fitted(docs: DataFrame, temper: Mapping[str, float], id_col: str, text_col: str, rate: float | None) -> tuple[DataFrame, DataFrame]:
+    """(every row with its dimensions and ``n_tokens``, the table of cells with ``weight`` and ``probability``)."""
     dims = {d: (topic(F.col(text_col)) if d == "topic" else F.coalesce(F.col(d), F.lit("(none)"))) for d in temper}
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("__id"), words(F.col(text_col)).alias("n_tokens"), *[c.alias(d) for d, c in dims.items()])
     cells = settle(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    fitted = rake(cells, temper).select(*dims, ratio.alias("weight"))
-    fitted = settle(fitted.withColumn("probability", F.when(F.col("weight") > 0, F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(0)))).otherwise(0.0)), "fitted")
-    joined = rows.join(F.broadcast(fitted) if cells.count() <= SMALL_CELLS else fitted, list(dims))
+    fitted = settle(rake(cells, temper).select(*dims, "tokens", ratio.alias("weight")), "fitted")
+    one = F.lit(ratio_of_one(fitted, rate))
+    return rows, fitted.withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") / one)).otherwise(0.0))
+
+
+def calibrated(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float | None = None) -> DataFrame:
+    """Every row as the struct ``row``, with its dimensions, ``n_tokens``, ``weight``, ``probability`` and ``chosen``.
+
+    ``weight`` is the fitted over the present token mass of the row's cell.
+    Without ``rate`` probabilities are in proportion to it, with 1 for the
+    largest, so that the expected mix has the target marginals and the sample is
+    the largest that has: one small cell with a large weight makes the sample
+    small. With ``rate`` the sample has that share of all tokens in expectation;
+    cells that would need more than they have are taken whole, and ``marginals``
+    tells which targets this leaves unmet. A row is chosen when a hash of its id
+    and the seed lies below its probability: the same rows on every run, and
+    repeated rows together. NULL dimensions are a value of their own ('(none)'),
+    NULL texts have no tokens; rows of cells without tokens have weight and
+    probability 0.
+    """
+    rows, fitted = _fitted(docs, temper, id_col, text_col, rate)
+    fitted = fitted.drop("tokens")
+    joined = rows.join(F.broadcast(fitted) if fitted.count() <= SMALL_CELLS else fitted, list(temper))
     return joined.withColumn("chosen", uniform(F.col("__id"), seed) < F.col("probability"))
 
 
+def marginals(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None) -> DataFrame:
+    """One row per dimension and value: ``target`` and ``expected`` share of the sample's tokens, and whether it is ``met`` (within TOLERANCE)."""
+    fitted = _fitted(docs, temper, id_col, text_col, rate)[1]
+    out = []
+    for dim, exponent in temper.items():
+        own = fitted.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("m"), F.sum(F.col("tokens") * F.col("probability")).alias("e"))
+        own = own.where("m > 0").withColumn("m", F.pow("m", F.lit(float(exponent))))
+        total = own.agg(F.sum("m").alias("all_m"), F.sum("e").alias("all_e"))
+        out.append(own.crossJoin(F.broadcast(total)).select(F.lit(dim).alias("dimension"), "value", (F.col("m") / F.col("all_m")).alias("target"), (F.col("e") / F.col("all_e")).alias("expected")))
+    return reduce(DataFrame.unionByName, out).withColumn("met", F.abs(F.col("expected") - F.col("target")) <= F.col("target") * TOLERANCE)
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The chosen rows of ``docs``, with their columns as they were."""
     return calibrated(docs, **how).where("chosen").select("row.*")

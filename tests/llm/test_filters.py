@@ -109,6 +109,25 @@ def test_mixing_meets_marginals(spark):
     assert out.columns == df.columns and out.count() == mixing.mixed(df.repartition(3), temper={"source": 0.5}).count()
 
 
+def test_one_small_cell_does_not_set_the_rate(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    rows = [(i, f"src{min(r.randint(0, 9), 5)}", r.choice(["en", "en", "de"]), "word " * r.randint(100, 300), 0) for i in range(2000)]
+    rows.append((9999, "own", "en", "word " * 61, 0))
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long")
+    share = lambda rate: mixing.calibrated(df, rate=rate).selectExpr("sum(n_tokens * probability) / sum(n_tokens) AS s", "max(probability) AS p").first()
+    assert share(None)["s"] < 0.2
+    for rate in (0.4, 1.0):
+        got = share(rate)
+        assert got["s"] == pytest.approx(rate, rel=1e-9) and got["p"] <= 1
+    assert 700 < corpus_pipeline.mix_sources(spark, df, "").count() < 900
+    shares = {(m["dimension"], m["value"]): m for m in mixing.marginals(df, rate=0.4).collect()}
+    assert not shares["source", "own"]["met"] and shares["lang", "de"]["met"] and shares["source", "src5"]["met"]
+    assert shares["source", "own"]["expected"] < shares["source", "own"]["target"]
+    assert all(m["met"] for m in mixing.marginals(df.where("source <> 'own'"), rate=0.4).collect())
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (None, "s", "en", ""), (3, "s", "en", "x " * 100000), (4, "t", "en", "y")], "doc_id long, source string, lang string, text string")
     got = mixing.calibrated(df)
