@@ -25,16 +25,24 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 
 # Element names and naming habits of web pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose contents are never text of the page.
-OPAQUE = frozenset("script style noscript template iframe svg math canvas object video audio map textarea select button title head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp br".split())
+#: Elements whose contents are raw text for the parser and never text of the page: without an end tag they take the rest of the page.
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements whose contents are not read, if they have an end tag of their own.
+OPAQUE = RAW | frozenset("template svg video audio map select button head annotation annotation-xml".split())
+#: What a tag inside an opaque element tells about it: block elements begin or end.
+_BLOCK_TAG = re.compile(r"<(/?)(article|aside|body|div|footer|form|h[1-6]|header|main|nav|ol|p|section|table|ul|foreignobject)\b", re.I)
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp br object canvas math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover semantics".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus"
-    " footer footnotes form header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted"
-    " recommended related reply replies respond rss search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar toc tracking widget".split()
+    "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus"
+    " footer login masthead menu modal nav navbar navigation newsletter notification pager pagination paywall popup promo promoted"
+    " recommended related replies respond rss sidebar signup skyscraper sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that name boilerplate on some pages and parts of an article on others.
+VAGUE_WORDS = frozenset("byline disclaimer footnotes form header hidden legal notice notices notifications reply search share sharing skip social tags toc tracking".split())
+#: Certain signs as a whole class name or id only ('overflow-hidden' and 'entry-header' are none).
+WHOLE_NAMES = frozenset("header hidden".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -49,6 +57,8 @@ class Element:
     depth: int
     bad: float = 0.0  # cost of calling what is inside content
     good: float = 0.0  # cost of calling it boilerplate
+    marked: bool = False  # in an element that is the article by its kind
+    named: bool = False  # in an element with one of the GOOD_WORDS
 
 
 @dataclass
@@ -67,30 +77,66 @@ def _names(attributes: str) -> tuple[set[str], dict[str, str]]:
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
-    """A new element; signs add to those of the elements around it."""
-    e = Element(tag, parent, parent.depth + 1, parent.bad, parent.good)
+    """A new element; bad signs add to those of the elements around it, good signs of a kind count once."""
+    e = Element(tag, parent, parent.depth + 1, parent.bad, parent.good, parent.marked, parent.named)
     words, found = _names(attributes) if attributes and "=" in attributes or "hidden" in attributes else (set(), {})
     if tag in BOILERPLATE or found.get("role", "").lower() in ROLES:
         e.bad += CERTAIN
     elif tag == "header" and not parent.good:  # a page's header; an article's own holds its heading
         e.bad += CERTAIN
-    if words & BAD_WORDS and tag not in ("html", "body", "article", "main"):
+    outer = tag in ("html", "body", "article", "main")
+    if not outer and (words & BAD_WORDS or WHOLE_NAMES & set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())):
         e.bad += CERTAIN
     elif words & GOOD_WORDS and tag not in ("html", "body"):
-        e.good += PLAIN
+        e.good += 0.0 if e.named else PLAIN
+        e.named = True
+    elif not outer and words & VAGUE_WORDS:
+        e.bad += PLAIN
     if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-        e.good += STRONG
+        e.good += 0.0 if e.marked else STRONG
+        e.marked = True
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         e.bad += CERTAIN
     return e
 
 
+def _past(tag: str, page: str, at: int) -> int:
+    """Where reading goes on after an opaque element's start tag: after its end tag, or at once if it has none of its own.
+
+    An end tag is another element's if the tag begins again before it, or if a
+    block element that was open around the element ends before it (and for svg,
+    which a block element closes, if one begins).
+    """
+    name = re.escape(tag)
+    if tag in RAW:
+        end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+        return end.end() if end else len(page)
+    if tag == "head":  # its end may be left out
+        end = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I).search(page, at)
+        return end.end() if end else at
+    nests = tag in ("svg", "template")
+    end = re.compile(rf"<{'' if nests else '/?'}{'/' if nests else ''}{name}\b[^>]*>?", re.I).search(page, at)
+    if not end or not end[0].startswith("</"):
+        return at
+    depth = foreign = 0
+    for m in _BLOCK_TAG.finditer(page, at, end.start()):
+        step, kind = -1 if m[1] else 1, m[2].lower()
+        if kind == "foreignobject":
+            foreign += step
+        elif kind != "p":  # its end may be left out
+            depth += step
+        if depth < 0 or tag == "svg" and not foreign and kind != "foreignobject":
+            return at
+    return end.end()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; a block ends where a block element begins or ends."""
     root = Element("", None, 0)
     here, out = root, []
     text: list[str] = []
     linked, in_link, at = 0, False, 0
+    endless: set[str] = set()  # opaque elements of which no end tag is left
 
     def flush() -> None:
         nonlocal linked
@@ -117,11 +163,11 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in OPAQUE:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                if tag == "head" and not end:  # its end may be left out
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag != "head" else at
+            if not closing and not m[3].rstrip().endswith("/") and tag not in endless:
+                past = _past(tag, page, at)
+                if past == at and tag not in RAW and not re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at):
+                    endless.add(tag)
+                at = past
             continue
         if tag in INLINE:
             if tag == "a":

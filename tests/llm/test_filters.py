@@ -82,6 +82,34 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "A long paragraph of the story with many words in it to read and enjoy today, is it not."
+
+
+@pytest.mark.parametrize("tag", ["button", "svg", "math", "object", "canvas", "map", "select", "audio", "video"])
+def test_open_element_keeps_the_article(tag):
+    page = f"<body><nav><div><{tag}>Menu</div></nav><main><h1>Story</h1><p>{LONG}</p></main>"
+    assert html_text.main_text(page) == f"Story\n\n{LONG}"
+    assert LONG in html_text.main_text(page + f"<nav><{tag}>x</{tag}></nav>")
+    assert LONG in html_text.main_text(f"<body><{tag} class=x><main><p>{LONG}</p></main>")
+
+
+def test_article_parts_are_read():
+    text = lambda inner: html_text.main_text(f"<main><p>{LONG}</p>{inner}<p>{LONG}</p></main>").split("\n\n")[1:-1]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> hold.</p>") == ["Let x=1 hold."]
+    for tag in ("object", "canvas", "noscript"):
+        assert text(f"<p><{tag}>Fallback of the figure.</{tag}></p>") == ["Fallback of the figure."]
+    for name in "byline footnotes toc tags legal disclaimer social search form tracking overflow-hidden entry-header".split():
+        assert text(f'<p class="{name}">Said of the story.</p>') == ["Said of the story."], name
+    nested = f'<article class="post"><div class="content"><div class="entry">{{}}<p>{LONG}</p></div></div></article>'
+    for name in ("comments", "ad", "hidden"):
+        assert "Gone" not in html_text.main_text("<main>" + nested.format(f'<div class="{name}"><p>Gone: {LONG}</p></div>') + "</main>"), name
+    assert text("<script>if(a<b)</script><button>Press</button><svg><text>mark</text></svg>") == []
+
+
+def test_many_open_elements_are_read_in_time():
+    assert html_text.main_text("<main><p>" + "<button>x <svg>y " * 20000 + LONG).endswith(LONG)
+
+
 def test_cut_is_minimal():
     r = random.Random(3)
     for _ in range(200):
