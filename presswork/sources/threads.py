@@ -2,58 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from presswork.functions.text import plain_line
+from presswork.session import settle
 
-#: Replies nest this deep in a landed payload; the schema has to be finite.
-DEPTH = 6
-
-
-def _schema(depth: int) -> str:
-    own = "id:string,body:string,status:string,isoDateTime:string,numRecommends:int,userProfile:struct<userId:string>"
-    return f"array<struct<{own}" + (f",responses:{_schema(depth - 1)}" if depth > 1 else "") + ">>"
+#: Comments of one level; replies stay JSON text until their level is read, so that no depth is fixed.
+COMMENTS = "array<struct<id:string,body:string,status:string,isoDateTime:string,numRecommends:int,userProfile:struct<userId:string>,responses:string>>"
+#: The parser's own limit of nested brackets is 1000; two are needed for each level.
+JSON_OPTIONS = {"maxNestingDepth": "1000000"}
 
 
-def read_threads(spark: SparkSession, path: str, article_id: Column, depth: int = DEPTH) -> DataFrame:
+def read_threads(spark: SparkSession, path: str, article_id: Column) -> DataFrame:
     """Discussion files as (article_id, comments)."""
-    raw = spark.read.schema(f"discussion struct<comments:{_schema(depth)}>").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"discussion struct<comments:{COMMENTS}>").options(multiLine=True, **JSON_OPTIONS).json(path)
     return raw.select(article_id.cast("long").alias("article_id"), F.col("discussion.comments").alias("comments"))
 
 
-def flatten_threads(threads: DataFrame, depth: int = DEPTH) -> DataFrame:
+def flatten_threads(threads: DataFrame) -> DataFrame:
     """One row per visible comment; replies to a hidden one take the nearest visible ancestor as parent.
 
-    Level by level: each level's replies carry the id of the nearest visible
-    comment above them. The body becomes one plain line, the user a hash; of
-    repeated comment ids the one with the smallest parent stays.
+    Level by level until a level is empty: each level's replies (JSON text or
+    arrays) carry the id of the nearest visible comment above them. The body
+    becomes one plain line, the user a hash; of repeated comment ids the one with
+    the smallest parent stays.
     """
-    level = threads.select("article_id", F.explode("comments").alias("c"), F.lit(None).cast("string").alias("parent"))
-    out = None
-    for d in range(depth):
-        visible = F.col("c.status") == "visible"
-        rows = level.where(visible).select(
+    level = settle(threads.select("article_id", F.explode("comments").alias("c"), F.lit(None).cast("string").alias("parent")), "level")
+    visible, levels = F.col("c.status") == "visible", []
+    while not levels or level.limit(1).count():
+        levels.append(level.where(visible).select(
             F.col("c.id").alias("comment_id"), "article_id", F.col("parent").alias("parent_comment_id"), plain_line("c.body").alias("body_text"),
             F.when(F.length("c.userProfile.userId") > 0, F.sha2(F.col("c.userProfile.userId"), 256)).alias("author_hash"), F.try_to_timestamp("c.isoDateTime").alias("created_at"), F.coalesce("c.numRecommends", F.lit(0)).alias("recommendation_count"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-        if d + 1 < depth:
-            level = level.select("article_id", F.explode("c.responses").alias("r"), F.when(visible, F.col("c.id")).otherwise(F.col("parent")).alias("parent")).withColumnRenamed("r", "c")
+        ))
+        kind = level.schema["c"].dataType
+        if "responses" not in kind.names:
+            break
+        replies = F.from_json("c.responses", COMMENTS, JSON_OPTIONS) if isinstance(kind["responses"].dataType, StringType) else F.col("c.responses")
+        level = level.select("article_id", F.explode(replies).alias("r"), F.when(visible, F.col("c.id")).otherwise(F.col("parent")).alias("parent")).withColumnRenamed("r", "c")
+        level = settle(level, "level")
+    out = reduce(DataFrame.unionByName, levels)
     columns = [c for c in out.columns if c != "comment_id"]
     return out.where("comment_id IS NOT NULL").groupBy("comment_id").agg(F.min(F.struct(F.coalesce("parent_comment_id", F.lit("")).alias("o"), *columns)).alias("r")).select("comment_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
-def visible_parents(edges: DataFrame, depth: int = 64) -> DataFrame:
+def visible_parents(edges: DataFrame) -> DataFrame:
     """(id, parent) of visible rows of an edge table (id, parent, visible), hidden ancestors skipped.
 
-    Each round moves every pointer that stands on a hidden row to that row's
-    own pointer, doubling the reach, so rounds grow with the logarithm of depth.
+    Each round moves every pointer that stands on a hidden row to that row's own
+    pointer, doubling the reach, until no visible row's pointer stands on one:
+    rounds grow with the logarithm of the longest hidden run. Hidden rows that
+    form a ring have no visible ancestor; the parent below them is NULL.
     """
-    up = edges.select("id", "parent", "visible")
-    reach = 1
-    while reach < depth:
-        above = up.select(F.col("id").alias("pid"), F.col("parent").alias("pparent"), F.col("visible").alias("pvisible"))
-        up = up.join(above, F.col("parent") == F.col("pid"), "left").select("id", F.when(F.col("pvisible") | F.col("pid").isNull(), F.col("parent")).otherwise(F.col("pparent")).alias("parent"), "visible")
+    up = settle(edges.select("id", "parent", F.coalesce("visible", F.lit(False)).alias("visible")), "pointers")
+    reach, hidden = 1, up.where("NOT visible").count()
+    while True:
+        above = up.where("NOT visible").select(F.col("id").alias("pid"), F.col("parent").alias("pparent"))
+        if not up.where("visible").join(above, F.col("parent") == F.col("pid"), "left_semi").limit(1).count():
+            break
+        further = F.col("pparent") if reach <= hidden else F.lit(None)
+        up = up.join(above, F.col("parent") == F.col("pid"), "left").select("id", F.when(F.col("pid").isNull(), F.col("parent")).otherwise(further).alias("parent"), "visible")
+        up = settle(up, "pointers")
         reach *= 2
     return up.where("visible").select("id", "parent")

@@ -47,6 +47,21 @@ def test_threads(spark, tmp_path):
     assert {r["id"]: r["parent"] for r in threads.visible_parents(edges).collect()} == {"a": None, "d": "a", "e": "x"}
 
 
+def test_threads_of_any_depth(spark, tmp_path):
+    nested = []
+    for i in reversed(range(9)):
+        nested = [{"id": f"c{i}", "body": "x", "status": "blocked" if i in (3, 4, 6) else "visible", "responses": nested}]
+    (tmp_path / "t.json").write_text(json.dumps({"discussion": {"comments": nested}}))
+    flat = threads.flatten_threads(threads.read_threads(spark, str(tmp_path / "t.json"), F.lit(5)))
+    assert {r["comment_id"]: r["parent_comment_id"] for r in flat.collect()} == {"c0": None, "c1": "c0", "c2": "c1", "c5": "c2", "c7": "c5", "c8": "c7"}
+
+
+def test_long_hidden_runs(spark):
+    edges = [(0, None, True), *((i, i - 1, i in (1, 150, 280)) for i in range(1, 281)), (901, 902, False), (902, 901, False), (903, 902, True)]
+    got = threads.visible_parents(spark.createDataFrame(edges, "id long, parent long, visible boolean"))
+    assert {r["id"]: r["parent"] for r in got.collect()} == {0: None, 1: 0, 150: 1, 280: 150, 903: None}
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, '=1+1, "x"', None), (2, "-5 reasons", "ok"), (3, "@x", "é")], "id long, title string, stance string")
     out = str(tmp_path / "out")
