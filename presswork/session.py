@@ -60,7 +60,7 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     cut when a plan runs, which may be long after the call. A smaller bound stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get(key, "-1").strip().lower())
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get(key).strip().lower())
     if not m or not 0 < int(m[1]) << _UNITS[m[2]] <= size:
         spark.conf.set(key, str(size))
 
