@@ -7,15 +7,17 @@ L1 leaves few weights, which are sent to the executors as (index, weight) pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.textmap import per_text
 from presswork.llm.wordhash import U, chunks, mix, word_hashes
+from presswork.session import bound_batches, tidy
 
 #: Hashed feature space; also the bound on the number of weights.
 BITS = 20
@@ -90,11 +92,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("label"), f], names=["at", "label", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(at, f, label) for b in batches for at, f, label in zip(b.column("at").to_pylist(), b.column("f").to_pylist(), b.column("label").to_pylist(), strict=True)]
-        rows.sort()  # the same order on every run
-        at, w = ftrl([(np.frombuffer(f, dtype=np.uint32), label) for _, f, label in rows]) if rows else (np.zeros(0, int), np.zeros(0))
+        rows = []
+        for b in batches:  # features stay in the batches, and are not copied
+            f = b.column("f")
+            data, at = np.frombuffer(f.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(f.buffers()[1], dtype=np.int32)[f.offset : f.offset + len(f) + 1]
+            rows += [(order, label, data[i:j].view(np.uint32)) for order, label, i, j in zip(b.column("at").to_pylist(), b.column("label").to_pylist(), at.tolist(), at[1:].tolist(), strict=False)]
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))  # the same order on every run
+        at, w = ftrl([(f, label) for _, label, f in rows]) if rows else (np.zeros(0, int), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["feature", "weight"])
 
+    bound_batches(docs.sparkSession)
     # The sample is bounded by max_rows, so it can be broadcast and learned from in one task.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("at", "label", "text")
     learned = rows.mapInArrow(hashed, "at long, label int, f binary").repartition(1).mapInArrow(learn, "feature long, weight double")
@@ -110,27 +117,28 @@ def score(docs: DataFrame, weights: dict[int, float], text_col: str = "text") ->
     at = np.array(list(weights), dtype=np.int64)
     values = np.array(list(weights.values()))
     sent = docs.sparkSession.sparkContext.broadcast((at, values))  # at most 2**BITS + 1 pairs
-    schema = docs.select(F.struct("*").alias("row"), F.lit(0.0).alias("score")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list[str | None]], pa.Array]:
         at, values = sent.value
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = values
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                row = b.column(0).slice(start, 512)
-                sums = [dense[f].sum() + dense[-1] for f in features(pc.struct_field(row, text_col).to_pylist())]
-                got = [1 / (1 + np.exp(-np.clip(x, -35, 35))) if len(at) else 0.0 for x in sums]
-                yield pa.RecordBatch.from_arrays([row, pa.array(got, pa.float64())], names=["row", "score"])
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+        def work(texts: list[str | None]) -> pa.Array:
+            sums = np.array([dense[f].sum() + dense[-1] for f in features(texts)])
+            return pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))) if len(at) else np.zeros(len(texts)), pa.float64())
+
+        return work
+
+    return docs.select(F.struct("*").alias("row"), per_text(docs.sparkSession, make, "double")(F.col(text_col)).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, ``held_out`` (not learned from), ``score`` and ``predicted`` of every row of ``docs``.
 
-    Repeated rows are scored each; a row without id counts as not held out.
-    Only the named columns matter, whatever others are called.
+    Whole texts are read, however long; a NULL or empty text scores by the
+    intercept. Repeated rows are scored each; a row without id counts as not held
+    out. Only the named columns matter, whatever others are called. An empty table
+    gives no rows; without labels every score is 0.
     """
     weights = fit(docs, labels, id_col, text_col)
     scored = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights)
@@ -140,6 +148,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with their columns as they were."""
+    """The rows of ``docs`` that score below the threshold, with their columns as they were.
+
+    Columns may have any names. Each row is judged by its own text: repeated rows
+    stay or go together, NULL and empty texts go by the intercept (a rare label
+    keeps them). Without labels, or in an empty table, nothing is rejected.
+    """
     scored = score(docs, fit(docs, labels, id_col, text_col), text_col)
     return scored.where(F.col("score") < threshold).select("row.*")
