@@ -13,20 +13,24 @@ best-matching stretch of the text around the hit.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.textmap import per_text
+from presswork.session import settle, tidy
+
 #: Edits allowed, as a share of the item's characters (rounded down).
 ERROR_RATE = 0.1
 #: Runs of so many pieces are checked before the whole item.
 RUNS = (2, 4)
-#: Items are sent to the executors in blocks of about so many bytes at most.
-BLOCK_BYTES = 4 << 20
+#: Items are sent to the executors in blocks of about so many bytes at most; a worker's automaton takes some ten times as much.
+BLOCK_BYTES = 16 << 20
+#: Bit masks of so many items and runs, made when first hit, are kept by a worker before it starts anew.
+MASKS = 20_000
 
 MATCHES = "array<struct<item_id: bigint, edits: int, start: int, end: int>>"
 
@@ -70,36 +74,42 @@ class Items:
     """Test items ready for search in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = [(i, t, int(len(t) * error_rate), masks(t), masks(t[::-1])) for i, t in ((i, normalise(t)) for i, t in items) if t]
+        self.items = [(i, t, int(len(t) * error_rate)) for i, t in ((i, normalise(t)) for i, t in items) if t]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.cuts: list[list[int]] = []
-        self.runs: dict[tuple[int, int, int], tuple[int, dict[str, int]]] = {}  # of an item: first and last cut of a run
-        for number, (_, t, k, _, _) in enumerate(self.items):
-            cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
-            self.cuts.append(cuts)
-            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                pieces[t[a:b]].append((number, j))
-            for size in RUNS:
-                for j in range(0, k + 1, size):
-                    part = t[cuts[j] : cuts[min(j + size, k + 1)]]
-                    self.runs[number, j, size] = (len(part), masks(part))
+        for number, (_, t, k) in enumerate(self.items):
+            for j in range(k + 1):
+                pieces[t[len(t) * j // (k + 1) : len(t) * (j + 1) // (k + 1)]].append((number, j))
+        self.kept: dict[tuple[int, int, int], tuple[int, dict[str, int]]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
         if pieces:
             self.automaton.make_automaton()
 
+    def _masks(self, number: int, a: int, b: int) -> tuple[int, dict[str, int]]:
+        """Length and bit masks of the characters from a to b of an item (backwards if b < a)."""
+        found = self.kept.get((number, a, b))
+        if found is None:
+            if len(self.kept) >= MASKS:
+                self.kept.clear()
+            t = self.items[number][1]
+            found = self.kept[number, a, b] = (abs(b - a), masks(t[a:b] if a <= b else t[b:a][::-1]))
+        return found
+
     def _in_runs(self, text: str, number: int, j: int, start: int) -> bool:
         """Whether the runs of pieces around piece j have few enough edits where the piece was found."""
-        cuts, pieces = self.cuts[number], len(self.cuts[number]) - 1
+        _, t, k = self.items[number]
+        pieces = k + 1
         for size in RUNS:
             if size >= pieces:
                 break
             first = j - j % size
-            budget = min(size, pieces - first) - 1
+            last = min(first + size, pieces)
+            budget = last - first - 1
             if budget:
-                m, peq = self.runs[number, first, size]
-                at = start + cuts[first]
+                a = len(t) * first // pieces
+                m, peq = self._masks(number, a, len(t) * last // pieces)
+                at = start + a
                 if nearest(peq, m, text[max(0, at - budget) : at + m + budget])[0] > budget:
                     return False
         return True
@@ -111,13 +121,14 @@ class Items:
             return []
         for last, (length, places) in self.automaton.iter(text):
             for number, j in places:
-                start = last + 1 - length - self.cuts[number][j]  # of the item, if nothing before the piece is edited
+                _, t, k = self.items[number]
+                start = last + 1 - length - len(t) * j // (k + 1)  # of the item, if nothing before the piece is edited
                 if self._in_runs(text, number, j, start):
                     starts[number].append(start)
         out = []
         for number in sorted(starts):
-            item_id, t, k, peq, reverse = self.items[number]
-            m, best = len(t), None
+            item_id, t, k = self.items[number]
+            (m, peq), best = self._masks(number, 0, len(t)), None
             region: list[int] | None = None
             for s in [*sorted(set(starts[number])), None]:
                 if region and (s is None or s - k > region[1]):
@@ -130,7 +141,7 @@ class Items:
                     region = [lo, hi] if region is None else [region[0], hi]
             if best:
                 back = text[max(0, best[1] - m - k) : best[1]][::-1]
-                out.append({"item_id": item_id, "edits": best[0], "start": best[1] - _reach(reverse, m, back, best[0]), "end": best[1]})
+                out.append({"item_id": item_id, "edits": best[0], "start": best[1] - _reach(self._masks(number, m, 0)[1], m, back, best[0]), "end": best[1]})
         return out
 
 
@@ -163,21 +174,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def _matched(docs: DataFrame, items: list[tuple[int, str]], text_col: str, error_rate: float) -> DataFrame:
     """``row`` (a struct of all columns) and ``matches`` of every document against one block of items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    schema = docs.select(F.struct("*").alias("row"), F.from_json(F.lit("[]"), MATCHES).alias("matches")).schema
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most about a block's bytes
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list[str | None]], pa.Array]:
         search = Items(sent.value, error_rate)
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                row = b.column(0).slice(start, 512)
-                found = [search.find(t) for t in pc.struct_field(row, text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([row, pa.array(found, kind)], names=["row", "matches"])
+        return lambda texts: pa.array([search.find(t) for t in texts], kind)
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row"), per_text(docs.sparkSession, make, MATCHES)(F.col(text_col)).alias("matches"))
 
 
+@tidy("matches")
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every (document, item) where the document holds the item within its error budget.
 
@@ -186,16 +193,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are compared in lower case with white space as single spaces. NULL or blank
     texts and items match nothing; a repeated document row is reported each time
     it occurs, a repeated item once. An empty table on either side gives no rows.
+    Only the named columns are read. Documents are read once for each block of items.
     """
-    parts = [_matched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, "text", error_rate) for items in _blocks(benchmark, item_id, item_text, block_bytes)]
+    docs, parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), []
+    for items in _blocks(benchmark, item_id, item_text, block_bytes):
+        found = _matched(docs, items, "text", error_rate).select(F.col("row.id").alias(id_col), F.explode("matches").alias("m")).select(id_col, "m.*")
+        parts.append(settle(found, "block"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("row.id").alias(id_col), F.explode("matches").alias("m")).select(id_col, "m.*")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item within its error budget, with their columns as they were."""
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
+    """The rows of ``docs`` that hold no item within its error budget, with their columns as they were.
+
+    Columns may have any names. Rows are judged by their own text, so repeated
+    rows stay or go together; NULL and blank texts hold nothing and stay, as does
+    everything if there are no items. Whole texts are searched, however long.
+    With several blocks of items, what one block leaves is written before the next.
+    """
+    for number, items in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+        docs = settle(docs, "left") if number else docs
         docs = _matched(docs, items, text_col, error_rate).where(F.size("matches") == 0).select("row.*")
     return docs
