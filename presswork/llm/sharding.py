@@ -9,11 +9,11 @@ no task ever holds a whole shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.session import settle
@@ -119,21 +119,19 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
     return sorted(out)
 
 
-def _place(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """Add ``piece``: how many boundaries lie at or below the row's key."""
+def place(cuts: list[tuple[int, int]]) -> Callable[[Column, Column], Column]:
+    """A column function of (h, id): how many boundaries lie at or below the key. NULL ids are below all others."""
     heads, tails = np.array([c[0] for c in cuts], dtype=np.int64), np.array([c[1] for c in cuts], dtype=np.int64)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False)
-            ids = b.column("id").fill_null(LOW).to_numpy(zero_copy_only=False)
-            piece = np.searchsorted(heads, h, side="left")
-            for v in np.unique(heads[np.isin(heads, h)]):
-                at = np.flatnonzero(h == v)
-                piece[at] += np.searchsorted(np.sort(tails[heads == v]), ids[at], side="right")
-            yield b.append_column(pa.field("piece", pa.int32()), pa.array(piece.astype(np.int32)))
+    def run(h: pa.Array, ids: pa.Array) -> pa.Array:
+        h, ids = h.to_numpy(zero_copy_only=False), ids.fill_null(LOW).to_numpy(zero_copy_only=False)
+        piece = np.searchsorted(heads, h, side="left")
+        for v in np.unique(heads[np.isin(heads, h)]):
+            at = np.flatnonzero(h == v)
+            piece[at] += np.searchsorted(np.sort(tails[heads == v]), ids[at], side="right")
+        return pa.array(piece.astype(np.int32))
 
-    return rows.mapInArrow(place, rows.select("*", F.lit(0).alias("piece")).schema)
+    return F.arrow_udf(run, "int")
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -151,7 +149,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     total = rows.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * piece_bytes)))
     cuts = splitters(rows, shards * per_shard, tolerance)
-    placed = _place(rows, cuts).repartition(max(1, min(shards * per_shard, 4096)), "piece")
+    placed = rows.withColumn("piece", place(cuts)("h", "id")).repartition(max(1, min(shards * per_shard, 4096)), "piece")
     ranked = settle(placed.withColumn("rank", F.row_number().over(Window.partitionBy("piece").orderBy("h", F.asc_nulls_first("id"), "size")) - 1), "ranked")
     # Rows of a shard's earlier pieces come before: a table of one row for each piece.
     counts = ranked.groupBy("piece").agg(F.count("*").alias("n"))

@@ -68,13 +68,23 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return joined, starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text and the end)."""
-    joined, starts, ends, first = words(texts)
+def _hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers, inverse = _power_tables(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, dtype=U)
     np.cumsum((joined.astype(U) + U(1)) * powers[: len(joined)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), first
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each text and the end)."""
+    joined, starts, ends, first = words(texts)
+    return _hashes(joined, starts, ends), first
+
+
+def placed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes, word starts, word ends, hash of every word, first word of each text and the end)."""
+    joined, starts, ends, first = words(texts)
+    return joined, starts, ends, _hashes(joined, starts, ends), first
 
 
 _STEP = [mix(np.array([i + 1], dtype=U) * U(0xD1B54A32D192ED03))[0] | U(1) for i in range(64)]
