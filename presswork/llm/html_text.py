@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.session import bound_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -100,34 +102,51 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     return e
 
 
-def _past(tag: str, page: str, at: int) -> int:
-    """Where reading goes on after an opaque element's start tag: after its end tag, or at once if it has none of its own.
-
-    An end tag is another element's if the tag begins again before it, or if a
-    block element that was open around the element ends before it (and for svg,
-    which a block element closes, if one begins).
-    """
-    name = re.escape(tag)
-    if tag in RAW:
-        end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-        return end.end() if end else len(page)
-    if tag == "head":  # its end may be left out
-        end = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I).search(page, at)
-        return end.end() if end else at
-    nests = tag in ("svg", "template")
-    end = re.compile(rf"<{'' if nests else '/?'}{'/' if nests else ''}{name}\b[^>]*>?", re.I).search(page, at)
-    if not end or not end[0].startswith("</"):
-        return at
-    depth = foreign = 0
-    for m in _BLOCK_TAG.finditer(page, at, end.start()):
-        step, kind = -1 if m[1] else 1, m[2].lower()
-        if kind == "foreignobject":
-            foreign += step
-        elif kind != "p":  # its end may be left out
-            depth += step
-        if depth < 0 or tag == "svg" and not foreign and kind != "foreignobject":
+class _Ends:
+    """Where opaque elements of one page end; each end tag is searched for once, so that hostile pages take linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.next: dict[str, tuple[int, int]] = {}  # of a tag: its next end tag
+        self.foreign: dict[str, int] = {}  # of a tag: an end tag that is known to be another element's
+
+    def _end(self, tag: str, at: int) -> tuple[int, int]:
+        """(start, end) of the first end tag from ``at`` on; beyond the page if there is none. ``at`` only grows."""
+        found = self.next.get(tag)
+        if found is None or found[0] < at:
+            m = re.compile(rf"</{re.escape(tag)}\b[^>]*>?" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(self.page, at)
+            found = self.next[tag] = m.span() if m else (len(self.page) + 1, len(self.page) + 1)
+        return found
+
+    def past(self, tag: str, at: int) -> int:
+        """Where reading goes on after an opaque element's start tag: after its end tag, or at once if it has none of its own.
+
+        An end tag is another element's if the tag begins again before it, or if a
+        block element that was open around the element ends before it (and for svg,
+        which a block element closes, if one begins).
+        """
+        start, end = self._end(tag, at)
+        if tag in RAW:
+            return min(end, len(self.page))
+        if end > len(self.page):
+            return at
+        if tag == "head":  # its end may be left out
+            return end
+        if self.foreign.get(tag) == start:  # it was already for an element around this one
+            return at
+        if tag not in ("svg", "template") and re.compile(rf"<{re.escape(tag)}\b", re.I).search(self.page, at, start):
             return at
-    return end.end()
+        depth = foreign = 0
+        for m in _BLOCK_TAG.finditer(self.page, at, start):
+            step, kind = -1 if m[1] else 1, m[2].lower()
+            if kind == "foreignobject":
+                foreign += step
+            elif kind != "p":  # its end may be left out
+                depth += step
+            if depth < 0 or tag == "svg" and not foreign and kind != "foreignobject":
+                self.foreign[tag] = start
+                return at
+        return end
 
 
 def blocks(page: str) -> list[Block]:
@@ -136,7 +155,8 @@ def blocks(page: str) -> list[Block]:
     here, out = root, []
     text: list[str] = []
     linked, in_link, at = 0, False, 0
-    endless: set[str] = set()  # opaque elements of which no end tag is left
+    ends = _Ends(page)
+    opened: dict[str, int] = defaultdict(int)  # open elements by tag
 
     def flush() -> None:
         nonlocal linked
@@ -163,11 +183,8 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in OPAQUE:
-            if not closing and not m[3].rstrip().endswith("/") and tag not in endless:
-                past = _past(tag, page, at)
-                if past == at and tag not in RAW and not re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at):
-                    endless.add(tag)
-                at = past
+            if not closing and not (tag == "svg" and m[3].rstrip().endswith("/")):  # only foreign elements may end in their start tag
+                at = ends.past(tag, at)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -177,18 +194,21 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         in_link = False
-        if closing:
-            e: Element | None = here
-            while e is not None and e.tag != tag:
-                e = e.parent
-            if e is not None and e.parent is not None:
-                here = e.parent
+        if closing:  # a tag that nothing has opened is passed over
+            if opened[tag]:
+                while here.tag != tag:
+                    opened[here.tag] -= 1
+                    here = here.parent
+                opened[tag] -= 1
+                here = here.parent
             continue
         if tag in VOID:
             continue
         while here.parent is not None and (here.tag in CLOSES.get(tag, ()) or (here.tag == "p" and tag not in INLINE)):
+            opened[here.tag] -= 1
             here = here.parent
         here = _open(tag, m[3] or "", here)
+        opened[tag] += 1
     add(page[at:])
     flush()
     return out
@@ -284,10 +304,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, ``text`` (main text; '' if there is none) and ``n_chars`` (its code points) of every page.
 
     Whole pages are read. A NULL page has no text; repeated rows are extracted
-    each; NULL ids and urls stay NULL. Only the named columns are read. Broken
-    markup (open elements, cut tags and character references) is read as
-    browsers do for text.
+    each; NULL ids and urls stay NULL. Only the named columns are read, and an
+    empty table gives no rows. Broken markup (open elements, cut tags and
+    character references) is read as browsers do for text; time is in proportion
+    to the page, however long or broken.
     """
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
