@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.llm.sharding import place, splitters
-from presswork.llm.wordhash import U, chunks, placed_words
+from presswork.llm.wordhash import Kept, chunks, placed_words, spread
 from presswork.session import bound_batches, scratch, settle, tidy
 
 #: Text bytes that go into one file.
@@ -49,9 +49,7 @@ class Encoder:
 
     The vocabulary splits text at white space and lower-cases it, so a word's
     ids do not depend on its neighbours; texts where that is not certain go
-    through the library as a whole. The table has the words' 64-bit hashes in
-    order, and where the ids of each lie in one array of ids. Two of a million
-    words have the same hash with probability 3e-8.
+    through the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,12 +59,7 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all words."""
-        self.hashes, self.begin, self.size = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, "<i4")
+        self.kept = Kept("<i4", CACHE)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<i4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,14 +84,6 @@ class Encoder:
                 found[i] = ids
         return np.array([len(x) for x in found], dtype=np.int32), np.concatenate([np.zeros(0, "<i4"), *found])
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Put new words, in the order of their hashes, into the table."""
-        size, ids = self._new(words)
-        begin = len(self.ids) + np.cumsum(size, dtype=np.int32) - size
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.begin, self.size = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
-        self.ids = np.concatenate([self.ids, ids])
-
     @staticmethod
     def _line(t: str) -> str | None:
         """A text whose white-space words can be encoded one by one; None if it has to be encoded as a whole."""
@@ -118,19 +103,15 @@ class Encoder:
         with np.errstate(over="ignore"):
             joined, starts, ends, hashes, first = placed_words(lines)
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.hashes) + len(distinct) > CACHE:
-                self.clear()
-                known[:] = False
-            fresh = example[~known]
-            self._learn(distinct[~known], [joined[a:b].tobytes().decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, distinct)
-        at = at[which]
-        size = self.size[at]
+
+        def new(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = example[at]
+            return self._new([joined[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        begin, size = self.kept.find(distinct, new)
+        size = size[which]
+        ids = self.kept.values[spread(begin[which], size)]
         total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        ids = self.ids[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])]
         far = np.searchsorted(first, np.flatnonzero(ends - starts > LONGEST), side="right") - 1
         return np.split(ids, total[first[1:-1]]), np.unique(far).tolist()
 

@@ -7,7 +7,7 @@ mixed afterwards, so no Python loop runs over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -68,7 +68,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return joined, starts, ends, np.searchsorted(starts, at)
 
 
-def _hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes_of(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes."""
     powers, inverse = _power_tables(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, dtype=U)
     np.cumsum((joined.astype(U) + U(1)) * powers[: len(joined)], out=sums[1:])
@@ -78,13 +79,71 @@ def _hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the end)."""
     joined, starts, ends, first = words(texts)
-    return _hashes(joined, starts, ends), first
+    return hashes_of(joined, starts, ends), first
 
 
 def placed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, word starts, word ends, hash of every word, first word of each text and the end)."""
     joined, starts, ends, first = words(texts)
-    return joined, starts, ends, _hashes(joined, starts, ends), first
+    return joined, starts, ends, hashes_of(joined, starts, ends), first
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of stretches of the given sizes, one stretch after the other."""
+    total = np.cumsum(size, dtype=np.int64)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+class Kept:
+    """Arrays of values by 64-bit hash, for a worker's cache: hashes in order, and where the values of each lie in one array.
+
+    What is new goes to a small recent part, which is merged into the main
+    part when it has grown. Beyond ``most`` entries all are forgotten. Two of a
+    million entries have the same hash with probability 3e-8.
+    """
+
+    RECENT = 1 << 16
+
+    def __init__(self, kind: type | str, most: int) -> None:
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.values, self.used = np.zeros(0, self.kind), 0
+        self.main = self.recent = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def _put(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.values):
+            grown = np.zeros(2 * (self.used + len(values)), self.kind)
+            grown[: self.used] = self.values[: self.used]
+            self.values = grown
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+    def find(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) in ``values`` for sorted distinct hashes; ``make`` gives (sizes, values) of the places that are not kept yet."""
+        if len(self.main[0]) + len(self.recent[0]) + len(hashes) > self.most:
+            self.clear()
+        begin, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int32)
+        for known, b, n in (self.main, self.recent):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                begin[hit], size[hit] = b[at[hit]], n[at[hit]]
+        new = np.flatnonzero(begin < 0)
+        if len(new):
+            size[new], values = make(new)
+            begin[new] = self.used + np.cumsum(size[new], dtype=np.int64) - size[new]
+            self._put(values)
+            self.recent = self._merged(self.recent, (hashes[new], begin[new], size[new]))
+            if len(self.recent[0]) > self.RECENT:
+                self.main, self.recent = self._merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
+        return begin, size
 
 
 _STEP = [mix(np.array([i + 1], dtype=U) * U(0xD1B54A32D192ED03))[0] | U(1) for i in range(64)]
