@@ -2,9 +2,9 @@
 refined until every splitter is close enough, then one exchange.
 
 The key of a row is (hash of its text, id), so equal texts are neighbours and
-part only where a boundary has to fall inside a class of copies. Shards are key
-ranges of near-equal bytes. A shard is cut into pieces of bounded size, so that
-no task ever holds a whole shard.
+part only where a boundary would fall inside a class of copies that is too large
+to go to one side. Shards are key ranges of near-equal bytes. A shard is cut into
+pieces, so that no task ever holds a whole shard.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.session import settle
+from presswork.session import settle, tidy
 
 #: A splitter may miss its target by this share of a shard's bytes.
 TOLERANCE = 0.001
-#: Bytes that a piece (the unit that one task sorts) should not exceed by much.
-PIECE_BYTES = 64 << 20
+#: A class of equal texts of up to this share of a shard's bytes is never parted: the boundary goes to its nearer edge.
+PART_SHARE = 0.02
+#: Text bytes of a piece, of which one task sorts the narrow rows; with more than MAX_PIECES pieces they become larger.
+PIECE_BYTES, MAX_PIECES = 256 << 20, 1 << 14
 #: Candidate boundaries put into each open bracket in each round.
 PROBES = 255
-#: Boundaries counted in one round over all brackets; with very many pieces each bracket gets fewer and rounds become more.
-MAX_PROBES = 1 << 20
+#: Boundaries counted in one round over all brackets (the driver gets at most 32 bytes for each); with very many pieces each bracket gets fewer and rounds become more.
+MAX_PROBES = 1 << 16
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -60,21 +62,23 @@ def _histogram(rows: DataFrame, column: str, cuts: list[int], within: int | None
     if within is not None:
         rows = rows.where(F.col("h") == within)
     counted = rows.select(F.coalesce(F.col(column), F.lit(LOW)), "size").mapInArrow(count, "bin long, bytes long, least long, most long")
-    bins = {r["bin"]: r for r in counted.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.max("most").alias("most")).collect()}
-    known, under = {}, 0
+    bins = counted.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("bin").toArrow()
+    which, size, low, high = (bins.column(c).to_pylist() for c in ("bin", "bytes", "least", "most"))
+    known, under, full = {}, 0, 0
     for i in range(len(probes) + 1):
-        if r := bins.get(i):
-            known[r["least"]] = under
-            under += r["bytes"]
-            if r["most"] < HIGH:
-                known[r["most"] + 1] = under
+        if full < len(which) and which[full] == i:
+            known[low[full]] = under
+            under += size[full]
+            if high[full] < HIGH:
+                known[high[full] + 1] = under
+            full += 1
         if i < len(probes):
             known[int(probes[i])] = under
     return known
 
 
-def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float, within: int | None = None, base: int = 0) -> list[tuple[int, int, int]]:
-    """For each target: the cut whose bytes come nearest, these bytes, and the greatest known cut at or below the target.
+def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float, within: int | None = None, base: int = 0) -> list[tuple[int, int, int, int]]:
+    """For each target: the cut whose bytes come nearest, these bytes, the greatest known cut at or below the target, and the bytes from there to the next known cut.
 
     Each round counts up to PROBES cuts in every bracket that is still too wide, all
     in one pass, and narrows the brackets, until the nearest end of each is
@@ -90,7 +94,7 @@ def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float,
             j = max(0, int(np.searchsorted(sums, t, side="right")) - 1)
             lo, hi = keys[j], keys[min(j + 1, len(keys) - 1)]
             near = lo if abs(known[lo] + base - t) <= abs(known[hi] + base - t) else hi
-            out.append((near, known[near] + base, lo))
+            out.append((near, known[near] + base, lo, known[hi] - known[lo]))
             if abs(known[near] + base - t) > tolerance and hi - lo > 1:
                 cuts |= {lo + (hi - lo) * i // (probes + 1) for i in range(1, probes + 1)}
         cuts -= known.keys()
@@ -99,8 +103,11 @@ def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float,
         known |= _histogram(rows, column, sorted(cuts), within)
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """``parts - 1`` sorted boundaries (h, id): a row belongs right of a boundary if (its h, its id) >= it."""
+def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, part_bytes: float = 0) -> list[tuple[int, int]]:
+    """``parts - 1`` sorted boundaries (h, id): a row belongs right of a boundary if (its h, its id) >= it.
+
+    Rows with the same h are parted, by id, only where all of them have more than ``part_bytes``.
+    """
     total = rows.agg(F.sum("size")).first()[0] or 0
     if parts < 2 or not total:
         return [(HIGH, HIGH)] * (parts - 1)
@@ -108,13 +115,13 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
     targets = [total * i // parts for i in range(1, parts)]
     found = _search(rows, "h", targets, allowed)
     out = []
-    for (cut, below, lo), t in zip(found, targets, strict=True):
-        if abs(below - t) <= max(allowed, 1):
+    for (cut, below, lo, size), t in zip(found, targets, strict=True):
+        if abs(below - t) <= max(allowed, 1) or size <= part_bytes:
             out.append((cut, LOW))
             continue
-        # one key hash holds more than the tolerance: go on inside it, by id
+        # one key hash holds too much: go on inside it, by id
         start = _histogram(rows, "h", [lo])[lo]
-        near, b, _ = _search(rows, "id", [t], allowed, within=lo, base=start)[0]
+        near, b, _, _ = _search(rows, "id", [t], allowed, within=lo, base=start)[0]
         out.append((lo, near) if abs(b - t) < abs(below - t) else (cut, LOW))
     return sorted(out)
 
@@ -134,22 +141,24 @@ def place(cuts: list[tuple[int, int]]) -> Callable[[Column, Column], Column]:
     return F.arrow_udf(run, "int")
 
 
+@tidy("shards")
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Shard and place of every row under the law ``bytes``: shards hold near-equal numbers of bytes.
 
     Returns id, size, text_crc32, law, shard, slot, grown_shard. ``slot`` counts
     from 0 without gaps in each shard, in the order (hash of text, id). A NULL
     text has size 1 and the CRC of the empty text; NULL ids sort before others.
-    A splitter misses its target by at most ``tolerance`` of a shard, or by one
-    row where rows are larger than that. Repeated rows each get a slot, and rows
+    A splitter misses its target by at most ``tolerance`` of a shard, by one row
+    where rows are larger than that, or by half a class of equal texts where the
+    class has up to PART_SHARE of a shard: such a class lies in one shard. Repeated rows each get a slot, and rows
     with equal key stay together. Fewer rows than shards leave shards empty; an
     empty table gives no rows. No other columns are read.
     """
     rows = settle(sized(docs, id_col, text_col), "sized")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * piece_bytes)))
-    cuts = splitters(rows, shards * per_shard, tolerance)
-    placed = rows.withColumn("piece", place(cuts)("h", "id")).repartition(max(1, min(shards * per_shard, 4096)), "piece")
+    per_shard = max(1, min(-(-total // (shards * piece_bytes)), MAX_PIECES // shards))
+    cuts = splitters(rows, shards * per_shard, tolerance, PART_SHARE * total / shards)
+    placed = rows.withColumn("piece", place(cuts)("h", "id")).repartition("piece")
     ranked = settle(placed.withColumn("rank", F.row_number().over(Window.partitionBy("piece").orderBy("h", F.asc_nulls_first("id"), "size")) - 1), "ranked")
     # Rows of a shard's earlier pieces come before: a table of one row for each piece.
     counts = ranked.groupBy("piece").agg(F.count("*").alias("n"))
