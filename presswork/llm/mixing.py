@@ -1,27 +1,31 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed by cell (one value of each dimension); cell weights are
-raked to the target marginals of each dimension in turn; documents are then
-sampled with the probabilities that give these weights in expectation. Only
-DataFrame functions are used, and only the table of cells goes through the loop.
+raked to the target marginals of each dimension in turn, until all are met;
+documents are then sampled with the probabilities that give these weights in
+expectation. Targets are shares that the caller states, or the corpus's own
+shares tempered by an exponent. Only DataFrame functions are used, and only the
+table of cells goes through the loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.session import settle
+from presswork.session import settle, tidy
 
-#: Passes over all dimensions; the fit is written out after every few.
-ROUNDS, ROUNDS_AT_ONCE = 12, 4
-#: Up to so many cells are raked in one task, and sent to the scan of the documents by broadcast.
+#: Passes over all dimensions at most; after every few the fit is written, and ends when every marginal is off by at most CONVERGED of it.
+ROUNDS, ROUNDS_AT_ONCE, CONVERGED = 12, 4, 1e-10
+#: Up to so many cells are raked in one task, and sent to the scan of the documents by broadcast; more are raked by shuffles and joined.
 SMALL_CELLS = 200_000
-#: Fixed exponents that temper the marginals: 1 keeps a dimension's shares, 0 makes them equal.
-TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+#: What a dimension's marginal shall be: an exponent that tempers its own shares (1 keeps them, 0 makes them equal), or the share of each value.
+Wish = float | Mapping[str, float]
+#: Fixed exponents of the default mix.
+TEMPER: Mapping[str, Wish] = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 SEED = 20
 #: A marginal share is met when it is off its target by at most this part of it.
 TOLERANCE = 0.01
@@ -35,7 +39,7 @@ def words(text: Column) -> Column:
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic by plain signs in the text: the first that holds."""
+    """A coarse topic by plain signs in the text, for corpora without a topic column: the first that holds."""
     t = F.coalesce(text, F.lit(""))
     return F.when(t.contains("License") | t.contains("Copyright"), "legal").when(t.contains(" | "), "tabular").when(t.contains("@"), "contact").when(F.length(t) < 300, "short").otherwise("prose")
 
@@ -46,33 +50,63 @@ def uniform(key: Column, seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float], mass: str = "tokens", rounds: int = ROUNDS) -> DataFrame:
+def _target(cells: DataFrame, dim: str, wish: Wish, mass: str = "tokens") -> DataFrame:
+    """(dim, ``m``, ``share``) for every value with mass: its mass and the share that it shall have. The shares add up to 1.
+
+    Of stated shares, values that the corpus lacks are left out and the others
+    scaled up; values that are not named shall have none.
+    """
+    own = cells.groupBy(dim).agg(F.sum(mass).alias("m")).where("m > 0")
+    if isinstance(wish, Mapping):
+        stated = cells.sparkSession.range(1).select(F.explode(F.map_from_arrays(F.lit([str(k) for k in wish]), F.lit([float(v) for v in wish.values()]))).alias("value", "s"))
+        own = own.join(F.broadcast(stated), own[dim] == stated["value"], "left").select(dim, "m", F.coalesce("s", F.lit(0.0)).alias("s"))  # as long as the caller's own list
+    else:
+        own = own.select(dim, "m", F.pow("m", F.lit(float(wish))).alias("s"))
+    total = own.agg(F.sum("s")).first()[0]
+    if own.limit(1).count() and not total:
+        raise ValueError(f"no value of {dim} that has tokens has a target share")
+    return own.select(dim, "m", (F.col("s") / F.lit(float(total or 1.0))).alias("share"))
+
+
+def _off(cells: DataFrame, dims: Iterable[str]) -> float:
+    """By what part of its target a marginal is off at most."""
+    parts = [cells.groupBy(F.col(d).alias("v")).agg(F.sum("weight").alias("w"), F.first(f"__t_{d}").alias("t")).where("t > 0") for d in dims]
+    return reduce(DataFrame.unionByName, [p.select(F.abs(F.col("w") / F.col("t") - 1).alias("off")) for p in parts]).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Wish], mass: str = "tokens", rounds: int = ROUNDS, converged: float = CONVERGED) -> DataFrame:
     """The cells with ``weight``: their mass, fitted so that each dimension has its target marginal.
 
-    targets: for each dimension the exponent of its tempered target; value v gets a
-    share in proportion to (mass of v) ** exponent. The total mass stays. Cells
-    without mass have weight 0.
+    targets: for each dimension an exponent, by which value v gets a share in
+    proportion to (mass of v) ** exponent, or stated shares by value. The total
+    mass stays. Cells without mass, and cells of values whose share is 0, have
+    weight 0. Dimensions have no NULLs. The fit ends when all marginals are met
+    to ``converged``, or after ``rounds`` passes; ``marginals`` reports what is left.
     """
-    everything = Window.partitionBy(F.lit(0))
+    size, total = cells.agg(F.count("*"), F.coalesce(F.sum(mass), F.lit(0)).cast("double")).first()
+    small = size <= SMALL_CELLS
     out = cells.withColumn("weight", F.col(mass).cast("double"))
-    if cells.count() <= SMALL_CELLS:
-        out = out.coalesce(1)
-    for dim, exponent in targets.items():
-        own = F.sum("weight").over(Window.partitionBy(dim))
-        out = out.withColumn("__m", own)
-        share = F.when(F.col("__m") > 0, F.pow("__m", F.lit(float(exponent)))).otherwise(0.0)
-        # each value's share is spread over its cells, so that the sum over cells counts it once
-        spread = F.when(F.col("__m") > 0, F.col("weight") / F.col("__m")).otherwise(0.0)
-        out = out.withColumn("__s", share).withColumn("__all", F.sum(F.col("__s") * spread).over(everything)).withColumn("__total", F.sum("weight").over(everything))
-        out = out.withColumn(f"__t_{dim}", F.when(F.col("__all") > 0, F.col("__s") / F.col("__all") * F.col("__total")).otherwise(0.0)).drop("__m", "__s", "__all", "__total")
+    for dim, wish in targets.items():
+        target = _target(cells, dim, wish, mass).select(dim, (F.col("share") * total).alias(f"__t_{dim}"))
+        out = out.join(F.broadcast(target) if small else target, dim, "left").withColumn(f"__t_{dim}", F.coalesce(f"__t_{dim}", F.lit(0.0)))
+
+    def written(df: DataFrame) -> DataFrame:
+        df = settle(df, "raked")
+        return df.coalesce(1) if small else df
+
+    out = written(out)
     for i in range(rounds):
         for dim in targets:
-            now = F.sum("weight").over(Window.partitionBy(dim))
-            out = out.withColumn("__now", now).withColumn("weight", F.when(F.col("__now") > 0, F.col("weight") * F.col(f"__t_{dim}") / F.col("__now")).otherwise(0.0)).drop("__now")
+            if small:
+                out = out.withColumn("__now", F.sum("weight").over(Window.partitionBy(dim)))
+            else:
+                out = out.join(out.groupBy(dim).agg(F.sum("weight").alias("__now")), dim)
+            out = out.withColumn("weight", F.when(F.col("__now") > 0, F.col("weight") * F.col(f"__t_{dim}") / F.col("__now")).otherwise(0.0)).drop("__now")
+            out = out if small else written(out)
         if i % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1 and i + 1 < rounds:
-            out = settle(out, "raked")
-            if cells.count() <= SMALL_CELLS:
-                out = out.coalesce(1)
+            out = written(out) if small else out
+            if _off(out, targets) <= converged:
+                break
     return out.drop(*[f"__t_{d}" for d in targets])
 
 
@@ -102,20 +136,32 @@ def ratio_of_one(fitted: DataFrame, rate: float | None = None) -> float:
         unit, certain = min(unit, free / (budget - taken)), n
 
 
-def _fitted(docs: DataFrame, temper: Mapping[str, float], id_col: str, text_col: str, rate: float | None) -> tuple[DataFrame, DataFrame]:
-    """(every row with its dimensions and ``n_tokens``, the table of cells with ``weight`` and ``probability``)."""
-    dims = {d: (topic(F.col(text_col)) if d == "topic" else F.coalesce(F.col(d), F.lit("(none)"))) for d in temper}
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("__id"), words(F.col(text_col)).alias("n_tokens"), *[c.alias(d) for d, c in dims.items()])
-    cells = settle(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
+def _dimensions(temper: Mapping[str, Wish], text_col: str, dims: Mapping[str, Column] | None) -> dict[str, Column]:
+    """The column of each dimension: the one given, else ``topic`` of the text, else the column of that name. NULL is a value of its own."""
+    own = {d: topic(F.col(text_col)) if d == "topic" else F.col(d) for d in temper} | dict(dims or {})
+    return {d: F.coalesce(own[d].cast("string"), F.lit("(none)")) for d in temper}
+
+
+def _fitted(counted: DataFrame, temper: Mapping[str, Wish], rate: float | None) -> DataFrame:
+    """The table of cells with ``weight`` and ``probability``, from rows with dimensions and ``n_tokens``."""
+    cells = settle(counted.groupBy(*temper).agg(F.sum("n_tokens").alias("tokens")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    fitted = settle(rake(cells, temper).select(*dims, "tokens", ratio.alias("weight")), "fitted")
+    fitted = settle(rake(cells, temper).select(*temper, "tokens", ratio.alias("weight")), "fitted")
     one = F.lit(ratio_of_one(fitted, rate))
-    return rows, fitted.withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") / one)).otherwise(0.0))
+    return fitted.withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") / one)).otherwise(0.0))
+
 
+def _chosen(rows: DataFrame, fitted: DataFrame, temper: Mapping[str, Wish], seed: int) -> DataFrame:
+    fitted = fitted.drop("tokens")
+    joined = rows.join(F.broadcast(fitted) if fitted.count() <= SMALL_CELLS else fitted, list(temper))
+    return joined.withColumn("chosen", uniform(F.col("__id"), seed) < F.col("probability"))
 
-def calibrated(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float | None = None) -> DataFrame:
+
+def calibrated(docs: DataFrame, temper: Mapping[str, Wish] = TEMPER, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float | None = None, dims: Mapping[str, Column] | None = None) -> DataFrame:
     """Every row as the struct ``row``, with its dimensions, ``n_tokens``, ``weight``, ``probability`` and ``chosen``.
 
+    temper: for each dimension an exponent for its own shares, or the target share of
+    each value. dims: columns for dimensions that are not columns by that name.
     ``weight`` is the fitted over the present token mass of the row's cell.
     Without ``rate`` probabilities are in proportion to it, with 1 for the
     largest, so that the expected mix has the target marginals and the sample is
@@ -126,34 +172,37 @@ def calibrated(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: st
     and the seed lies below its probability: the same rows on every run, and
     repeated rows together. NULL dimensions are a value of their own ('(none)'),
     NULL texts have no tokens; rows of cells without tokens have weight and
-    probability 0.
+    probability 0. Whole texts are counted, however long; an empty table gives no
+    rows.
     """
-    rows, fitted = _fitted(docs, temper, id_col, text_col, rate)
-    fitted = fitted.drop("tokens")
-    joined = rows.join(F.broadcast(fitted) if fitted.count() <= SMALL_CELLS else fitted, list(temper))
-    return joined.withColumn("chosen", uniform(F.col("__id"), seed) < F.col("probability"))
+    columns = [c.alias(d) for d, c in _dimensions(temper, text_col, dims).items()]
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("__id"), words(F.col(text_col)).alias("n_tokens"), *columns)
+    return _chosen(rows, _fitted(rows.select("n_tokens", *temper), temper, rate), temper, seed)
 
 
-def marginals(docs: DataFrame, temper: Mapping[str, float] = TEMPER, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None) -> DataFrame:
+def marginals(docs: DataFrame, temper: Mapping[str, Wish] = TEMPER, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None, dims: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per dimension and value: ``target`` and ``expected`` share of the sample's tokens, and whether it is ``met`` (within TOLERANCE)."""
-    fitted = _fitted(docs, temper, id_col, text_col, rate)[1]
+    columns = [c.alias(d) for d, c in _dimensions(temper, text_col, dims).items()]
+    fitted = settle(_fitted(docs.select(words(F.col(text_col)).alias("n_tokens"), *columns), temper, rate), "fitted")
+    total = fitted.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
     out = []
-    for dim, exponent in temper.items():
-        own = fitted.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("m"), F.sum(F.col("tokens") * F.col("probability")).alias("e"))
-        own = own.where("m > 0").withColumn("m", F.pow("m", F.lit(float(exponent))))
-        total = own.agg(F.sum("m").alias("all_m"), F.sum("e").alias("all_e"))
-        out.append(own.crossJoin(F.broadcast(total)).select(F.lit(dim).alias("dimension"), "value", (F.col("m") / F.col("all_m")).alias("target"), (F.col("e") / F.col("all_e")).alias("expected")))
+    for dim, wish in temper.items():
+        expected = fitted.groupBy(dim).agg((F.sum(F.col("tokens") * F.col("probability")) / F.lit(float(total))).alias("expected"))
+        out.append(_target(fitted, dim, wish).join(expected, dim).select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), F.col("share").alias("target"), "expected"))
     return reduce(DataFrame.unionByName, out).withColumn("met", F.abs(F.col("expected") - F.col("target")) <= F.col("target") * TOLERANCE)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The chosen rows of ``docs``, with their columns as they were."""
+    """The chosen rows of ``docs``, with their columns as they were (see ``calibrated``); repeated rows stay or go together."""
     return calibrated(docs, **how).where("chosen").select("row.*")
 
 
+@tidy("mix")
 def sample_report(docs: DataFrame) -> DataFrame:
     """One row per document: id, dimensions, tokens, weight and probability (6 decimals), and whether it is chosen."""
-    out = calibrated(docs)
+    columns = [c.alias(d) for d, c in _dimensions(TEMPER, "text", None).items()]
+    rows = settle(docs.select(F.col("doc_id").alias("__id"), words(F.col("text")).alias("n_tokens"), *columns), "counted")  # texts are read once
+    out = _chosen(rows, _fitted(rows, TEMPER, None), TEMPER, SEED)
     return out.select(F.col("__id").alias("doc_id"), *TEMPER, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), F.col("chosen").alias("kept"))
 
 
