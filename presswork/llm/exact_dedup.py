@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.session import settle
+from presswork.session import settle, tidy
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 256
@@ -20,7 +20,8 @@ PREFIX_CHARS = 256
 BROADCAST_PAIRS = 1_000_000
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+@tidy("exact")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), broadcast_pairs: int = BROADCAST_PAIRS, hash_col: str | None = None) -> DataFrame:
     """Class of equal texts for each document: id, ``keep_id``, ``group_size``, ``kept``, and the ``carry`` columns.
 
     Texts are equal when identical; a NULL text counts as the empty text, and
@@ -28,8 +29,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (NULL ids are smaller than all others), ``group_size`` its number of rows.
     A row repeated with the same id and text is one document and is returned
     once; it counts in ``group_size`` as often as it occurs. The same id with
-    different texts gives a row for each text. Columns other than those named are
-    not read, so clashing names do no harm. An empty table gives no rows.
+    different texts gives a row for each text. Whole texts count, however long. With
+    ``hash_col``, a column of the texts' SHA-256 that the caller needs anyway,
+    no text is hashed twice. Columns other than those named are not read, so
+    clashing names do no harm. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     length, prefix = F.octet_length(text), F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
@@ -39,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = settle(heads.where("n > 1").join(lengths, "len", "left_semi").select("len", "ph", F.lit(True).alias("again")), "pairs")
     # Level 3: the full hash, for survivors only.
     rows = docs.select(F.col(id_col).alias("__id"), length.alias("len"), prefix.alias("ph"), text.alias("__t"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    full, kept_cols = F.sha2(F.col("__t"), 256), ["__id", *[f"__c{i}" for i in range(len(carry))]]
+    full, kept_cols = F.sha2(F.col("__t"), 256) if hash_col is None else F.col(f"__c{carry.index(hash_col)}"), ["__id", *[f"__c{i}" for i in range(len(carry))]]
     if pairs.count() <= broadcast_pairs:
         marked = rows.join(F.broadcast(pairs), ["len", "ph"], "left").select(*kept_cols, F.when(F.col("again"), full).alias("full"))
     else:  # the text is hashed before the exchange, so that it need not travel
@@ -48,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.where("full IS NULL").select(*kept_cols, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     several = marked.where("full IS NOT NULL")
     classes = settle(several.groupBy(F.col("full").alias("of")).agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
-    once = several.groupBy("full", "__id").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in kept_cols[1:]])
+    once = several.groupBy("full", "__id").agg(*[F.min(c).alias(c) for c in kept_cols[1:]]) if kept_cols[1:] else several.select("full", "__id").distinct()
     # A class may hold a third of all rows: both sides are written first, so that the
     # join reads plain exchanges and adaptive execution can split the class.
     once = settle(once, "members")

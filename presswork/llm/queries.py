@@ -61,7 +61,7 @@ SELECT DISTINCT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM
 )
 def op8(spark, d):
     docs = table(spark, d, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return exact_dedup.exact_dedup(docs, carry=("text_sha256",))
+    return exact_dedup.exact_dedup(docs, carry=("text_sha256",), hash_col="text_sha256")
 
 
 @R.add("op9_ftrl_toxicity")
