@@ -4,8 +4,10 @@ Two permutations make the whole signature: the first scatters the shingles of a
 document over 2**32 places, the second, circularly shifted by k, gives the
 order whose minimum is coordinate k. Texts with the same set of shingles are one
 class, so copies cost a row each and no pairs. Every bucket links its members to
-its first member; only buckets that this leaves in several components go on to
-further pairs, and of these only pairs that an exact bound lets through.
+its first member. Buckets that this leaves in several components get further
+pivots, one outside the components of the pivots before, as long as that halves
+the pairs that are left to look at; then only pairs of different components are
+looked at, and of these only pairs that an exact bound lets through are verified.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from presswork.llm.components import components
 from presswork.llm.wordhash import U, chunks, mix, shingles, word_hashes
-from presswork.session import settle
+from presswork.session import bound_batches, settle, tidy
 
 #: 32 bands of 4: a pair at Jaccard 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Bits of the odd sketch: bit i tells whether a set has an odd number of shingles in place i.
+#: Bits of the odd sketch: bit i tells whether a set has an odd number of shingles in place i. Sets of twice as many
+#: shingles and more have a wide sketch besides, of a bit for one or two shingles, so that the bound it gives stays sharp.
 ODD_BITS = 1024
+#: Further pivots are tried while buckets leave more than so many pairs a row, at most so often.
+PAIRS_A_ROW, PIVOTS = 8, 6
 #: At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SIGMA = U(0xA0761D6478BD642F)
@@ -65,12 +70,33 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     return out
 
 
-def odd_sketch(s: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each of ODD_BITS places."""
-    places = np.bincount((s >> U(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS)
+def odd_sketch(s: np.ndarray, bits: int = ODD_BITS) -> bytes:
+    """The parity of the number of shingles in each of ``bits`` places (a power of two)."""
+    places = np.bincount((s >> U(40)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((places & 1).astype(np.uint8)).tobytes()
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray | None:
+    """An odd sketch of the largest power of two up to the set's size, as 64-bit integers; None for sets that ODD_BITS suit."""
+    return np.frombuffer(odd_sketch(s, 1 << (len(s).bit_length() - 1)), dtype=np.int64) if len(s) >= 2 * ODD_BITS else None
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many places two odd sketches differ."""
+    return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(ODD_BITS // 64)])
+
+
+def _wide_apart(x: str, y: str) -> Column:
+    """The same for wide sketches: of one twice as wide as the other, the halves are laid on each other first."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(c: str, to: Column) -> Column:
+        return F.when(F.size(c) > to, F.zip_with(F.slice(c, F.lit(1), to), F.slice(c, to + 1, to), xor)).otherwise(F.col(c))
+
+    least = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(folded(x, least), folded(y, least), xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
 def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """id, number of shingles, digest of the set (NULL for empty sets), band keys, odd sketch."""
 
@@ -87,11 +113,12 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in part], pa.binary()),
                         pa.array([next(keys) if len(s) else None for s in part], pa.list_(pa.int64())),
                         pa.array([np.frombuffer(odd_sketch(s), dtype=np.int64) for s in part], pa.list_(pa.int64())),
+                        pa.array([wide_sketch(s) for s in part], pa.list_(pa.int64())),
                     ],
-                    names=["id", "size", "digest", "keys", "odd"],
+                    names=["id", "size", "digest", "keys", "odd", "wide"],
                 )
 
-    return docs.mapInArrow(run, "id long, size long, digest binary, keys array<long>, odd array<long>")
+    return docs.mapInArrow(run, "id long, size long, digest binary, keys array<long>, odd array<long>, wide array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -123,34 +150,65 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     component may be missing, a pair that joins two components may not.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     sketched = settle(_sketch(docs, n, bands, rows), "sketch")
     whole = sketched.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = settle(whole.groupBy("digest").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("odd").alias("odd")), "classes")
+    classes = settle(whole.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "keys", "odd", "wide")]), "classes")
     buckets = settle(classes.select(F.col("rep").alias("id"), "size", F.posexplode("keys").alias("band", "key")), "buckets")
     heads = settle(buckets.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1"), "heads")
     members = buckets.join(heads, ["band", "key"])
     near = (F.col("size") * 100 >= F.col("other") * percent) & (F.col("other") * 100 >= F.col("size") * percent)
-    first = settle(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    linked = settle(_verified(first, docs, n, percent), "linked")
-    # Buckets of three or more that the links so far leave in several components.
-    known = components(linked)
-    labelled = members.where("members > 2").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = settle(labelled, "labelled")
-    split = settle(labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key"), "split")
-    rest = settle(labelled.join(split, ["band", "key"], "left_semi").where("id <> pivot"), "rest")
-    # Odd sketches differ in no more places than the sets differ in shingles: an exact bound, and no set need be read.
-    again = settle(rest.join(classes.select(F.col("rep").alias("id"), "odd"), "id").select("band", "key", "id", "size", "component", "odd"), "again")
-    x = again.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"), F.col("odd").alias("oa"))
-    y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"), F.col("odd").alias("ob"))
-    apart = reduce(Column.__add__, [F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(ODD_BITS // 64)])
-    close = apart * (100 + percent) <= (F.col("size") + F.col("other")) * (100 - percent)
-    second = x.join(y, ["band", "key"]).where("a < b AND ca <> cb").where(near).where(close).select("a", "b").distinct()
-    second = settle(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        linked = linked.union(settle(_verified(second, docs, n, percent), "linked"))
-    return sketched.drop("keys", "odd").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left").drop("of"), linked
-
+    checked = settle(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    linked = settle(_verified(checked, docs, n, percent), "linked")
+    # An id with several texts is one document: the classes of its texts are linked.
+    several = settle(whole.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id"), "several")
+    if several.limit(1).count():
+        same = whole.join(several, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        linked = linked.union(settle(same.where("a <> b").distinct(), "linked"))
 
+    # Odd sketches differ in no more places than the sets differ in shingles: an exact bound, and no set need be read.
+    room = (F.col("size") + F.col("other")) * (100 - percent)
+    close = near & (_apart("oa", "ob") * (100 + percent) <= room) & F.when(F.col("wa").isNull() | F.col("wb").isNull(), True).otherwise(_wide_apart("wa", "wb") * (100 + percent) <= room)
+    large = settle(members.where("members > 2").select("band", "key", "id", "size", "pivot"), "large")
+    tried, before = large.select("band", "key", "pivot").distinct(), None
+    for turn in range(PIVOTS + 1):
+        # Buckets of three or more that the links so far leave in several components.
+        known = components(linked).select(F.col("node").alias("id"), "component")
+        labelled = settle(large.drop("pivot").join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+        counts = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+        split = counts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside")).where("parts > 1")
+        split = settle(split, "split")
+        left, members_left = split.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("m") - F.col("inside")), F.lit(0.0)) / 2, F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not left:
+            return _classed(sketched, classes), linked
+        again = labelled.join(split.select("band", "key"), ["band", "key"], "left_semi").join(classes.select(F.col("rep").alias("id"), "odd", "wide"), "id")
+        again = settle(again.select("band", "key", "id", "size", "component", "odd", "wide"), "again")
+        y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"), F.col("odd").alias("ob"), F.col("wide").alias("wb"))
+        last = turn == PIVOTS or left <= PAIRS_A_ROW * members_left or before is not None and left > before / 2
+        before = left
+        if last:
+            x, apart = again, F.col("a") < F.col("b")
+        else:  # the first member outside the components of the pivots so far, against all others
+            done = again.join(tried.withColumnRenamed("pivot", "id"), ["band", "key", "id"], "left_semi").select("band", "key", "component").distinct()
+            x = again.join(done, ["band", "key", "component"], "left_anti").groupBy("band", "key").agg(F.min_by(F.struct("id", "size", "component", "odd", "wide"), "id").alias("p")).select("band", "key", "p.*")
+            x, apart = settle(x, "pivots"), F.lit(True)
+            tried = tried.union(x.select("band", "key", F.col("id").alias("pivot")))
+        x = x.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"), F.col("odd").alias("oa"), F.col("wide").alias("wa"))
+        pairs = x.join(y, ["band", "key"]).where(apart & (F.col("ca") != F.col("cb"))).where(close)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = settle(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            linked, checked = linked.union(settle(_verified(pairs, docs, n, percent), "linked")), checked.union(pairs)
+        if last:
+            return _classed(sketched, classes), linked
+
+
+def _classed(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sketches with the representative of their class."""
+    return sketched.select("id", "size", "digest").join(classes.select(F.col("digest").alias("of"), "rep"), F.col("digest") == F.col("of"), "left").drop("of")
+
+
+@tidy("near")
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """Component of near duplicates of every document: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -159,8 +217,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     without words have none, are linked with nothing and stay. Documents are
     linked when 100 * |A and B| >= percent * |A or B| on the full sets;
     ``component_id`` is the smallest id reachable over links, and the document
-    with that id is kept. Ids should be unique. A repeated row is returned once
-    for each time it occurs; a row without id is linked with nothing and kept
+    with that id is kept. Rows with the same id are one document, linked by each
+    of its texts; every row is returned, as often as it occurs. Whole texts are
+    read, however long; an empty table gives no rows. A row without id is linked with nothing and kept
     (its ``component_id`` is NULL). Only the two named columns are read.
     """
     sketched, linked = links(docs, n, percent, id_col, text_col, **how)

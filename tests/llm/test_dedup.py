@@ -92,6 +92,46 @@ def test_near_ties_and_nulls(spark):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (8, a), (9, c)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (8, 3, False), (9, 9, True)}
+
+
+@pytest.mark.parametrize("pairs_a_row", [minhash.PAIRS_A_ROW, 0])
+def test_large_buckets_of_several_families(spark, monkeypatch, pairs_a_row):
+    """Families that share half of their text meet in large buckets; further pivots or pairs must part them, and find all links."""
+    monkeypatch.setattr(minhash, "PAIRS_A_ROW", pairs_a_row)
+    r = random.Random(11)
+    shared, rows = [f"t{i}" for i in range(150)], []
+    for family in range(4):
+        base = shared + [f"f{family}x{i}" for i in range(60 + 30 * family)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"r{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows, 5, 80)
+
+
+def test_wide_sketches(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows, want = [], []
+    for _ in range(30):
+        x = np.unique(r.integers(0, 1 << 63, r.integers(2100, 9000)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(len(x) * r.uniform(0.4, 1))], r.integers(0, 1 << 63, len(x) // 6).astype(np.uint64)]))
+        if len(y) >= 2 * minhash.ODD_BITS and max(len(x), len(y)) * 0.8 <= min(len(x), len(y)):
+            rows.append((minhash.wide_sketch(x).tolist(), minhash.wide_sketch(y).tolist()))
+            want.append(len(np.setxor1d(x, y)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "i int, wa array<long>, wb array<long>")
+    got = {x["i"]: x["d"] for x in df.select("i", minhash._wide_apart("wa", "wb").alias("d")).collect()}
+    assert len(rows) > 5 and all(0 < got[i] <= n for i, n in enumerate(want))
+
+
 def test_odd_sketch_is_a_lower_bound():
     import numpy as np
 
