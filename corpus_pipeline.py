@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.llm import decontaminate, minhash, mixing, token_files, toxicity
 from presswork.llm.queries import tokenizer
-from presswork.session import settle, table
+from presswork.session import table, tidy
 
 #: Ids of duplicates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
@@ -25,8 +25,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id stay or go together; rows without id stay.
     """
-    out = minhash.near_duplicates(docs, n=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = settle(out, "gone")
+    found = minhash.near_duplicates(docs, n=5, percent=80)  # written, and read twice
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
@@ -61,8 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each stage returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return docs
+    """Apply the stages to ``documents``; what each stage returns is written and read again, and deleted after its last reader.
+
+    Every stage takes NULLs in any column, empty and very long texts, repeated
+    rows, empty tables and further columns of any name, and returns the columns
+    that it was given; the last returns a row of the token files for each document.
+    """
+
+    def after(k: int) -> DataFrame:
+        name, stage = STAGES[k]
+        return tidy(name)(lambda: stage(spark, after(k - 1) if k else table(spark, sf_dir, "documents"), sf_dir))()
+
+    return after(len(STAGES) - 1)
