@@ -187,3 +187,27 @@ def test_pipeline_on_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_pipeline_on_awkward_documents(spark, tmp_path):
+    """NULLs, empty and very long texts, repeated rows and further columns with clashing names go through every stage."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(60000))
+    rows = [(1, None, None, None, None), (None, "plain words of a text", "en", "s", 1), (2, "", "en", "s", 0), (3, long, "en", "s", 9), (4, "some words stand here", None, "t", 3), (4, "some words stand here", None, "t", 3), (5, long, "de", None, 9), (7, "Quite another passage about rivers\nand bridges in spring", "en", "s", 2)]
+    rows += [(100 + i, f"text number {i} with words {i * 7} {i * 11} of its own", "en", "s", 5) for i in range(60)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, matches string, weight string, component_id string, toxic int, __gone string, `a b` int"
+    docs = spark.createDataFrame([(*r, "x", 0.5, "m", "w", "c", 1, "g", 7) for r in rows], extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 1), (100, 0, 0)], "doc_id long, quality int, toxic int").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "another passage about rivers and bridges"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, left, str(tmp_path))
+        assert out.columns == docs.columns, name
+        left = out
+        counts.append(left.count())
+    assert counts[0] == len(rows)  # nothing is labelled
+    assert counts[1] == len(rows) - 1  # of the two long texts one stays
+    assert counts[2] == counts[1] - 1  # the text of the benchmark
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[3]
