@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,14 +22,10 @@ INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad\u2060\u2061\u2062\u2063\
 LOOKALIKES = ("аеорсхуіѕјԁһνοραεικτυΙΟΑЕРСХМТ", "aeopcxyisjdhvopaeiktuIOAEPCXMT")
 LEET = ("013457@$", "oieastas")
 
-_VERB = "(?:ignore|disregard|forget|override|bypass|skip|discard)"
-_WHAT = r"(?:instructions?|prompts?|rules?|directions?|guidelines?|commands?|context|system\s+prompt)"
-_WHERE = "(?:above|below|previous|prior|preceding|earlier|foregoing|last)"
-_ORDER = "(?:ignore|disregard|show|repeat|output|reveal|print|mark|classify|rate|answer|respond|return|act|behave"
-# The patterns of instructions to a model, in the order in which they are reported.
+# The patterns of instructions to a model, in the order in which they are reported; all ignore case.
 INJECTION = (
-    rf"\b{_VERB}\s+(?:(?:the\s+)?{_WHERE}\s+{_WHAT}|(?:all\s+)?(?:previous|prior|earlier|system)?\s*{_WHAT}|(?:the\s+)?{_WHERE}\s+(?:and|then)\s+(?:classify|label|rate|mark|score|tag|answer|respond|return|act|behave|reply|output|print|reveal|show|repeat))",
-    rf"(?m)(?:^|[\n\r>#*\[\|])\s*(?:system|assistant|user|developer)\s*[:\]]\s*{_ORDER}|override|bypass|skip)",
+    r"\b(?:ignore|disregard|forget|override|bypass|skip|discard)\s+(?:(?:the\s+)?(?:above|below|previous|prior|preceding|earlier|foregoing|last)\s+(?:instructions?|prompts?|rules?|directions?|guidelines?|commands?|context|system\s+prompt)|(?:all\s+)?(?:previous|prior|earlier|system)?\s*(?:instructions?|prompts?|rules?|directions?|guidelines?|commands?|context|system\s+prompt)|(?:the\s+)?(?:above|below|previous|prior|preceding|earlier|foregoing|last)\s+(?:and|then)\s+(?:classify|label|rate|mark|score|tag|answer|respond|return|act|behave|reply|output|print|reveal|show|repeat))",
+    r"(?:^|[\n\r>#*\[\|])\s*(?:system|assistant|user|developer)\s*[:\]]\s*(?:ignore|disregard|show|repeat|output|reveal|print|mark|classify|rate|answer|respond|return|act|behave|override|bypass|skip)",
     r"<\|?\s*im_(?:start|end)\s*\|?>",
     r"\[/?\s*(?:INST|SYS)\s*\]",
     r"\byou\s+(?:are|must|should|will)\s+now\b",
@@ -40,8 +36,10 @@ INJECTION = (
     r"\b(?:developer|god|admin|debug|dan)\s+mode\b",
     r"\bpretend\s+(?:you|to\s+be)\b",
 )
-#: Quoted attack strings in coverage of such attacks exempt the view that has them.
-REPORTED = rf'"[^"]*(?:system|assistant|user|developer)\s*:\s*{_ORDER})[^"]*".*(?:style attack|article|research|study|report|example)'
+#: The pattern whose ^ stands for the start of any line.
+BY_LINE = 1
+# Fixed value: quoted attack strings in coverage of such attacks exempt the view that has them.
+REPORTED = r'"[^"]*(?:system|assistant|user|developer)\s*:\s*(?:ignore|disregard|show|repeat|output|reveal|print|mark|classify|rate|answer|respond|return|act|behave)[^"]*".*(?:style attack|article|research|study|report|example)'
 HIDDEN = "[\u200b-\u200f\ufeff\u00ad\u2060-\u2064]"
 
 
@@ -52,8 +50,9 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def normalised(text: Column) -> Column:
     """Folded for matching only: compatibility forms, invisibles, look-alikes, case, leet, separators inside words, white space."""
-    out = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
-    return _folded(out)
+    ascii_only = text.rlike(r"^\p{ASCII}*$")
+    # Python is called for every row, whatever stands around it: ASCII texts are held back in its argument.
+    return _folded(F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text))))
 
 
 def _folded(text: Column) -> Column:
@@ -74,7 +73,7 @@ def decoded_views(text: Column) -> Column:
 
 def _first_hit(view: Column, name: Column) -> Column:
     """Which pattern a view matches first; NULL for none or for reported speech."""
-    found = F.coalesce(*[F.when(view.rlike("(?iu)" + p), F.concat(F.lit("injection_pattern["), name, F.lit(f"]:{p[:48]}"))) for p in INJECTION])
+    found = F.coalesce(*[F.when(view.rlike(("(?ium)" if i == BY_LINE else "(?iu)") + p), F.concat(F.lit("injection_pattern["), name, F.lit(f"]:{p[:48]}"))) for i, p in enumerate(INJECTION)])
     return F.when(~view.rlike("(?iu)" + REPORTED), found)
 
 
@@ -112,6 +111,23 @@ def verdict(text: Column, longest: int = MAX_COMMENT) -> Column:
     return F.get(F.transform(found, told), F.lit(0))
 
 
+def totals(screened: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """Rows by reason ('passed' for none), each with the numbers of all ``screened`` and all ``quarantined`` rows.
+
+    The verdicts are reduced to one row for each reason first.
+    """
+    reason = F.coalesce(F.col(f"{verdict}.reason"), F.lit("passed"))
+    counts = screened.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("screened"), F.coalesce(F.sum(F.when(F.col("reason") != "passed", F.col("n"))), F.lit(0)).alias("quarantined"))
+    return counts.crossJoin(F.broadcast(every))  # one row
+
+
+def article_text(title: str | Column, body: str | Column) -> Column:
+    """What is screened of an article: title, blank line and body."""
+    t, b = (F.col(x) if isinstance(x, str) else x for x in (title, body))
+    return F.concat(F.coalesce(t, F.lit("")), F.lit("\n\n"), F.coalesce(b, F.lit("")))
+
+
 def junk(text: Column) -> Column:
     """empty, deleted_removed, mod_removed, bot_boilerplate or too_short, the first that holds; NULL for none."""
     t = F.coalesce(text, F.lit(""))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that are cut out before paragraphs are read.
@@ -228,39 +228,91 @@ def sentences(text: str | Column, newlines: bool = True) -> Column:
     return F.filter(trimmed, lambda s: s != "")
 
 
-def chunks(text: str | Column, title: str | Column | None = None, size: int = 480) -> Column:
+_SPACES = r"[ \t\n\x0B\f\r]+"
+CHUNK_TOKENS, WINDOW_TOKENS = 480, 500
+
+
+def count_words(texts: Column) -> Column:
+    """The number of words of each text of an array: the default token counter."""
+    return F.transform(texts, lambda t: F.size(F.split(t, _SPACES)))
+
+
+def _units(pieces: Column, counts: Column, size: int) -> Column:
+    """Sentences as they are, and those longer than a chunk as their words; ``of`` is 0 for a sentence, else tells words of one sentence from others."""
+
+    def unit(x: Column, i: Column) -> Column:
+        words = F.transform(F.split(x["pieces"], _SPACES), lambda w: F.struct(w.alias("text"), (i + 1).alias("of")))
+        return F.when(x["counts"] > size, words).otherwise(F.array(F.struct(x["pieces"].alias("text"), F.lit(0).alias("of"))))
+
+    return F.flatten(F.transform(F.arrays_zip(pieces.alias("pieces"), counts.alias("counts")), unit))
+
+
+def _packed(units: Column, counts: Column, size: int) -> Column:
+    """Chunks of units: one fold over the counts finds where chunks begin, then the units are cut there."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(-1).alias("of"), F.array().cast("array<int>").alias("begin"))
+
+    def step(s: Column, u: Column) -> Column:
+        begins = (s["of"] != u["units"]["of"]) | (s["n"] + u["counts"] > size)
+        return F.struct((s["i"] + 1).alias("i"), F.when(begins, u["counts"]).otherwise(s["n"] + u["counts"]).alias("n"), u["units"]["of"].alias("of"), F.when(begins, F.concat(s["begin"], F.array(s["i"]))).otherwise(s["begin"]).alias("begin"))
+
+    def cut(x: Column) -> Column:
+        ends = F.concat(F.slice(x["begin"], 2, F.greatest(F.size(x["begin"]), F.lit(1))), F.array(F.size(x["units"])))
+        return F.transform(x["begin"], lambda b, k: F.struct(
+            F.array_join(F.transform(F.slice(x["units"], b + 1, F.get(ends, k) - b), lambda u: u["text"]), " ").alias("text"),
+            F.aggregate(F.slice(x["counts"], b + 1, F.get(ends, k) - b), F.lit(0), lambda n, c: n + c).alias("tokens"),
+        ))
+
+    def bound(x: Column) -> Column:
+        begin = F.aggregate(F.arrays_zip(x["units"].alias("units"), x["counts"].alias("counts")), state, step, lambda s: s["begin"])
+        return F.get(F.transform(F.array(F.struct(x["units"].alias("units"), x["counts"].alias("counts"), begin.alias("begin"))), cut), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(units.alias("units"), counts.cast("array<int>").alias("counts"))), bound), F.lit(0))
+
+
+def _body(text: str | Column, title: str | Column | None) -> Column:
+    body = _c(text)
+    return body if title is None else F.when(present(title), F.concat(F.trim(_c(title)), F.lit(". "), F.trim(body))).otherwise(body)
+
+
+def chunks(text: str | Column, title: str | Column | None = None, size: int = CHUNK_TOKENS) -> Column:
     """Sentence-aligned chunks of at most ``size`` words, as array<struct<text, tokens>>.
 
     The title, if any, goes in front. A sentence longer than a chunk is cut by
-    words and never shares a chunk. One fold over the row's own sentences.
+    words and never shares a chunk.
+    """
+    bound = lambda f, of: F.get(F.transform(F.array(of), f), F.lit(0))  # noqa: E731  f of a value that is worked out once
+    units = bound(lambda p: _units(p, count_words(p), size), sentences(_body(text, title)))
+    return bound(lambda u: _packed(u, count_words(F.transform(u, lambda x: x["text"])), size), units)
+
+
+def chunked(df: DataFrame, text: str | Column, title: str | Column | None = None, size: int = CHUNK_TOKENS, count: Callable[[Column], Column] = count_words, name: str = "chunks") -> DataFrame:
+    """The rows with their chunks under any token counter.
+
+    ``count`` takes an array of texts and returns an array of their token counts;
+    it may be a pandas or Arrow UDF. Words of a sentence longer than a chunk are
+    packed by the sum of their own counts.
     """
-    body = _c(text)
-    if title is not None:
-        body = F.when(present(title), F.concat(F.trim(_c(title)), F.lit(". "), F.trim(body))).otherwise(body)
-    chunk = "array<struct<text:string,tokens:int>>"
-    ws = r"[ \t\n\x0B\f\r]+"
 
-    def sized(s: Column) -> Column:
-        return F.struct(s.alias("text"), F.size(F.split(s, ws)).alias("tokens"))
+    def apart(rows: DataFrame, **columns: Column) -> DataFrame:
+        """Columns behind a generator of one row each: the optimiser must not lay the counter into the functions that read its counts."""
+        return rows.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__s")).select(*rows.columns, "__s.*")
 
-    def by_words(s: Column) -> Column:
-        words = F.split(s, ws)
-        cuts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int"))
-        return F.transform(cuts, lambda i: sized(F.array_join(F.slice(words, i * size + 1, size), " ")))
+    out = df.withColumn("__p", sentences(_body(text, title)))
+    out = out.withColumn("__n", count(F.col("__p")))
+    out = apart(out, __u=_units(F.col("__p"), F.col("__n"), size)).drop("__p", "__n")
+    out = out.withColumn("__m", count(F.transform("__u", lambda u: u["text"])))
+    return apart(out, **{name: _packed(F.col("__u"), F.col("__m"), size)}).drop("__u", "__m")
 
-    zero = F.struct(F.array().cast(chunk).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(F.array_join(acc["open"], " ").alias("text"), acc["n"].alias("tokens"))))).otherwise(acc["done"])
+def windows(text: str | Column, size: int = WINDOW_TOKENS) -> Column:
+    """The first version of chunks: fixed windows of ``size`` words, whatever the sentences, without the title."""
+    words = F.filter(F.split(F.coalesce(_c(text), F.lit("")), _SPACES), lambda w: w != "")
 
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(F.split(s, ws))
-        huge = F.struct(F.concat(closed(acc), by_words(s)).alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-        fresh = F.struct(closed(acc).alias("done"), F.array(s).alias("open"), n.alias("n"))
-        more = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(s)).alias("open"), (acc["n"] + n).alias("n"))
-        return F.when(n > size, huge).when(acc["n"] + n > size, fresh).otherwise(more)
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i * size + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(w) - i * size).alias("tokens")))
 
-    return F.aggregate(sentences(body), zero, step, closed)
+    return F.get(F.transform(F.array(words), cut), F.lit(0))
 
 
 def prompt(template: str, title: str | Column, text: str | Column, chars: int = 8000) -> Column:

@@ -94,3 +94,26 @@ def with_baseline(df: DataFrame, group: str, label: str, labels: Sequence[str])
     known = df.where(F.col(label).isin(*labels))
     out = known.rollup(group).agg(*label_counts(label, labels), F.grouping(group).alias("g"))
     return out.select(F.when(F.col("g") == 1, "All").otherwise(F.col(group)).alias("label"), *labels, "total", (F.col("g") == 1).alias("is_baseline"))
+
+
+OUTLIER_PREFIX = "-1"
+TOP_TOPICS, NEWEST_ROWS = 10, 200
+
+
+def distribution(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
+    """(label, n, share) of each known label that occurs, and of all other labels as ``other``; blank labels count nowhere."""
+    name = F.lower(F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))))
+    counts = df.where(name != "").groupBy(F.when(name.isin(*labels), name).otherwise("other").alias("label")).agg(F.count("*").alias("n"))  # a row a label
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+def most_common(df: DataFrame, topic: str, limit: int = TOP_TOPICS) -> DataFrame:
+    """The ``limit`` most common topic labels (count, then name), with ``counted``: the rows of all of them. Blank and outlier topics count nowhere."""
+    name = F.trim(F.coalesce(F.col(topic).cast("string"), F.lit("")))
+    counts = df.where((name != "") & ~F.startswith(name, F.lit(OUTLIER_PREFIX))).groupBy(name.alias("label")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc("label")).limit(limit).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("counted"))))
+
+
+def newest_rows(df: DataFrame, ts: str, key: str, limit: int = NEWEST_ROWS) -> DataFrame:
+    """The newest ``limit`` rows, undated last, ties by key."""
+    return df.orderBy(F.desc_nulls_last(ts), F.asc(key)).limit(limit)

@@ -40,11 +40,13 @@ def stage_flags(stages: DataFrame) -> DataFrame:
 def coverage(runs: DataFrame, written: DataFrame, labelled: DataFrame) -> DataFrame:
     """Rows written in each run's window (both ends included), and how many of them have a row in another table.
 
-    runs: (run_id, started_at, finished_at), a small table that is joined to the writes by range.
+    runs: (run_id, started_at, finished_at). A run has a row for each day of its
+    window, so that writes find the runs of their day by an equal key.
     """
     has = labelled.select("article_id").distinct().withColumn("__has", F.lit(True))
-    marked = written.join(has, "article_id", "left")
-    inside = marked.join(F.broadcast(runs), F.col("written_at").between(F.col("started_at"), F.col("finished_at")))
+    marked = written.join(has, "article_id", "left").withColumn("__day", F.to_date("written_at"))
+    days = runs.where("started_at <= finished_at").withColumn("__day", F.explode(F.sequence(F.to_date("started_at"), F.to_date("finished_at"))))
+    inside = marked.join(days, "__day").where(F.col("written_at").between(F.col("started_at"), F.col("finished_at")))
     return inside.groupBy("run_id").agg(F.count("*").alias("written"), F.count_if("__has").cast("long").alias("covered"))
 
 

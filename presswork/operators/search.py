@@ -65,7 +65,7 @@ def search_comments(comments: DataFrame, articles: DataFrame, q: str, limit: int
     """
     passed = comments.where("screened AND NOT quarantined").where(contains_ci("body_text", q))
     titles = articles.select(F.col("id").alias("article_id"), F.col("title").alias("article_title"))
-    matched = passed.join(titles, "article_id")
+    matched = settle(passed.join(titles, "article_id").select("comment_id", "article_id", "article_title", "created_at", "recommendation_count", "body_text"), "matched")  # found once, read twice
     total = matched.agg(F.count("*").alias("total"))
     top = matched.orderBy(F.desc_nulls_last("created_at"), F.asc("comment_id")).limit(limit)
     return top.crossJoin(F.broadcast(total)).select("comment_id", "article_id", "article_title", "created_at", "recommendation_count", snippet("body_text", q).alias("snippet"), "total")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.operators.components import components
+from presswork.operators.search import numbered
+from presswork.session import settle
+
 OUTLIER = -1
 MIN_TOPIC_SIZE = 10
+#: Topics of a model that travel to the vectors at once.
+MODEL_BLOCK = 4096
 
 
 def _product(a: Column, b: Column) -> Column:
@@ -23,16 +31,76 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
 def assign(vectors: DataFrame, model: DataFrame, threshold: float = 0.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The nearest topic by cosine, or OUTLIER below the threshold; never trains.
 
-    model: one row per topic (topic_id, centroid). It is the stated query set,
-    a few dozen rows, and travels to the vectors; ties go to the lower topic id.
+    model: one row per topic (topic_id, centroid). It is the stated query set and
+    travels to the vectors in blocks of at most MODEL_BLOCK topics; ties go to the
+    lower topic id.
     """
-    topics = model.agg(F.array_sort(F.collect_list(F.struct("topic_id", "centroid"))).alias("topics"))
+    blocks = max(1, -(-model.count() // MODEL_BLOCK))
     norm = lambda v: F.sqrt(_product(v, v))
-    scored = vectors.crossJoin(F.broadcast(topics)).select(
-        id_col, F.transform("topics", lambda t: F.struct(F.round(_product(F.col(vector), t["centroid"]) / (norm(F.col(vector)) * norm(t["centroid"])), 6).alias("similarity"), (-t["topic_id"]).alias("order"))).alias("s")
-    )
-    best = F.array_max("s")
-    return scored.select(id_col, F.when(best["similarity"] >= threshold, -best["order"]).otherwise(OUTLIER).cast("int").alias("topic_id"), best["similarity"].alias("similarity"))
+    out = vectors.select(id_col, vector)
+    for i in range(blocks):
+        part = model.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == i)
+        topics = part.agg(F.array_sort(F.collect_list(F.struct("topic_id", "centroid"))).alias("topics"))  # a block
+        similar = F.transform("topics", lambda t: F.struct(F.round(_product(F.col(vector), t["centroid"]) / (norm(F.col(vector)) * norm(t["centroid"])), 6).alias("similarity"), (-t["topic_id"]).alias("order")))
+        out = out.crossJoin(F.broadcast(topics)).withColumn(f"__b{i}", F.array_max(similar)).drop("topics")
+    best = F.array_max(F.array(*[f"__b{i}" for i in range(blocks)]))
+    return out.select(id_col, F.when(best["similarity"] >= threshold, -best["order"]).otherwise(OUTLIER).cast("int").alias("topic_id"), best["similarity"].alias("similarity"))
+
+
+def _cells(points: DataFrame, width: float, dims: int) -> DataFrame:
+    """The grid cell of each point, as its whole coordinates."""
+    return points.withColumn("cell", F.transform("point", lambda x: F.floor(x / width).cast("int")))
+
+
+def _grown(counts: DataFrame, dims: int, dense: int) -> DataFrame:
+    """(cell, topic): dense cells, joined where they touch; a topic is the least key of its cells."""
+    cells = settle(counts.where(F.col("n") >= dense).select("cell", F.xxhash64("cell").alias("k")), "cells")
+    steps = F.lit([list(s) for s in itertools.product((-1, 0, 1), repeat=dims) if s > (0,) * dims])  # one of two opposite steps
+    beside = cells.select(F.col("k").alias("a"), F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda x, d: x + d))).alias("cell"))
+    links = beside.join(cells, "cell").select("a", F.col("k").alias("b"))
+    joined = components(links).select(F.col("node").alias("k"), "component")
+    return cells.join(joined, "k", "left").select("cell", F.coalesce("component", "k").alias("topic"))
+
+
+def discover_dense(vectors: DataFrame, min_size: int = MIN_TOPIC_SIZE, dims: int = 3, levels: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Topics as dense regions of reduced vectors; their number is found, not given. Returns id and ``topic_id`` (0 is the largest).
+
+    Unit vectors are reduced to ``dims`` principal components. A grid is laid over
+    them; cells with several rows are dense, and dense cells that touch are one
+    region. Of grids from coarse to fine (the spread over 2, 4, 8 ...) the one with
+    the most regions of ``min_size`` rows counts, of equals the one that leaves
+    fewest rows out. Rows outside such regions are OUTLIER. Only counts of cells
+    are shuffled for the choice. Fewer than ten rows are refused.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if vectors.limit(10).count() < 10:
+        raise ValueError("topic discovery needs at least 10 documents")
+    v = F.transform(vector, lambda x: x.cast("double"))
+    unit = F.transform(v, lambda x: x / F.greatest(F.sqrt(_product(v, v)), F.lit(1e-12)))
+    rows = vectors.select(id_col, array_to_vector(unit).alias("features"))
+    reduced = PCA(k=dims, inputCol="features", outputCol="reduced").fit(rows).transform(rows)
+    points = settle(reduced.select(id_col, vector_to_array("reduced").alias("point")), "points")
+    spread = points.select(F.explode("point").alias("x")).agg(F.stddev_pop("x")).first()[0] or 1.0
+    dense, best = max(2, min_size // 3), None
+    for level in range(1, levels + 1):
+        width = 4 * spread / (1 << level)
+        counts = settle(_cells(points, width, dims).groupBy("cell").agg(F.count("*").alias("n")), "counts")
+        grown = settle(_grown(counts, dims, dense), "grown")
+        regions = counts.join(grown, "cell").groupBy("topic").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size)
+        found, inside = regions.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if best is None or (found, inside) > best[:2]:
+            best = (found, inside, width, grown, regions)
+    _, _, width, grown, regions = best
+    numbered = numbered_by_size(settle(regions, "regions"))
+    topic = grown.join(numbered, "topic").select("cell", "topic_id")
+    return _cells(points, width, dims).join(topic, "cell", "left").select(id_col, F.coalesce("topic_id", F.lit(OUTLIER)).alias("topic_id"))
+
+
+def numbered_by_size(regions: DataFrame) -> DataFrame:
+    """(topic, topic_id): numbers from 0 in descending order of size."""
+    return numbered(regions, F.desc("n"), F.asc("topic")).select("topic", (F.col("position") - 1).cast("int").alias("topic_id"))
 
 
 def discover(vectors: DataFrame, k: int, min_size: int = MIN_TOPIC_SIZE, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

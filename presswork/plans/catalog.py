@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from presswork.plans import figures, merge, monitor, search, text
+from presswork.plans import figures, landed, merge, monitor, search, text
 
-MODULES = (figures, merge, search, text, monitor)
+MODULES = (figures, merge, search, text, monitor, landed)
 
 
 def queries() -> dict:

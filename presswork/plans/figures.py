@@ -128,8 +128,18 @@ def breakdown_with_baseline(spark, d):
     """WITH g AS (SELECT CASE WHEN o_orderstatus IN ('O','F') THEN o_orderstatus ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, round(n / (SELECT sum(n) FROM g)::DOUBLE, 6) AS share FROM g""",
 )
 def distribution_with_other(spark, d):
-    g = table(spark, d, "orders").groupBy(F.when(F.col("o_orderstatus").isin("O", "F"), F.col("o_orderstatus")).otherwise("other").alias("label")).agg(F.count("*").alias("n"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("all")))).select("label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+    rows = figures.distribution(table(spark, d, "orders"), "o_orderstatus", ("o", "f"))
+    return rows.select(F.when(F.col("label") == "other", "other").otherwise(F.upper("label")).alias("label"), "n", "share")
+
+
+@R.add("a26_most_common", "SELECT p_type AS label, count(*) AS n, (SELECT count(*) FROM part WHERE p_type <> '')::BIGINT AS counted FROM part WHERE p_type <> '' GROUP BY 1 ORDER BY n DESC, label LIMIT 10")
+def most_common(spark, d):
+    return figures.most_common(table(spark, d, "part"), "p_type")
+
+
+@R.add("a26_newest_rows", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 200")
+def newest_rows(spark, d):
+    return figures.newest_rows(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
 @R.add("o3_by_negative_share", f"""{CORPUS}, b AS (SELECT topic AS label, {COUNTS} FROM c WHERE sentiment IN ('O','F','P') AND topic <> '' GROUP BY topic)

@@ -186,6 +186,12 @@ def topic_discovery(spark, d):
     return topics.discover(table(spark, d, "embeddings"), k=10)
 
 
+@R.add("m2_dense_topics")
+def dense_topics(spark, d):
+    """Topics whose number is found."""
+    return topics.discover_dense(table(spark, d, "embeddings"))
+
+
 STOP = ("the", "and", "der", "die", "que", "les")
 TERMS = f"""WITH t AS (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents), k AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN ({', '.join(f"'{s}'" for s in STOP)})),
 tf AS (SELECT lang, term, count(*) AS tf FROM k GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), w AS (SELECT lang, term, round(tf * ln(1 + (SELECT sum(tf) / count(DISTINCT lang)::DOUBLE FROM tf) / f), 6) AS weight FROM tf JOIN f USING (term)),
@@ -214,14 +220,27 @@ def labelling_stage(spark, d):
     return labelling.run_stage(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), done, rule).withColumn("error", F.col("error").cast("string"))
 
 
-@R.add("m4_row_isolated_labels")
+LETTERS = "(1000 * length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))) // length(text)"
+
+
+def _first_letters(t: str) -> tuple[str, float]:
+    share = 1000 * sum(c.isupper() for c in t) // len(t)  # an empty text is an error of its row alone
+    return ("positive" if share > 50 else "neutral"), share / 1000
+
+
+@R.add("m4_row_isolated_labels", f"SELECT doc_id AS id, CASE WHEN text <> '' THEN CASE WHEN {LETTERS} > 50 THEN 'positive' ELSE 'neutral' END END AS label, CASE WHEN text <> '' THEN {LETTERS} / 1000 END AS confidence, CASE WHEN text = '' THEN 'ZeroDivisionError: integer division or modulo by zero' END AS error FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN '' ELSE text END AS text FROM documents)")
 def row_isolated_labels(spark, d):
-    def first_letter(t: str) -> tuple[str, float]:
-        share = sum(c.isupper() for c in t) / len(t)  # an empty text is an error of its row alone
-        return ("positive" if share > 0.5 else "neutral"), share
+    """French rows have no text here."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", "").otherwise(F.col("text")).alias("text"))
+    return labelling.RowLabeller("capitals", _first_letters).label(rows)
+
 
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return labelling.RowLabeller("capitals", first_letter).label(rows)
+@R.add("m5_fallback_labels", f"SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN CASE WHEN n_chars >= 500 THEN 'neutral' END WHEN {LETTERS} > 50 THEN 'positive' ELSE 'neutral' END AS label, CASE WHEN lang = 'fr' THEN CASE WHEN n_chars >= 500 THEN 0.5 END ELSE {LETTERS} / 1000 END AS confidence, CASE WHEN lang <> 'fr' THEN 'capitals' WHEN n_chars >= 500 THEN 'length_rule' END AS method, CASE WHEN lang = 'fr' AND n_chars < 500 THEN 'no label' END AS error FROM documents")
+def fallback_labels(spark, d):
+    """The first labeller fails on French rows (it gets no text); the rule after it knows long ones only."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", "").otherwise(F.col("text")).alias("text"), "n_chars")
+    rule = labelling.ExpressionLabeller("length_rule", F.when(F.col("n_chars") >= 500, "neutral"), F.when(F.col("n_chars") >= 500, F.lit(0.5)))
+    return labelling.with_fallback(rows, labelling.RowLabeller("capitals", _first_letters), rule)
 
 
 # --- runs: a user's events are a run's stages ----------------------------------------------------

@@ -22,22 +22,28 @@ def _articles(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
 
 
-def news_api(spark: SparkSession, path: str) -> DataFrame:
-    """JSON replies with an ``articles`` list; content falls back to the description, then to ''. Broken files give no rows."""
-    rows = spark.read.schema(_NEWS).option("multiLine", True).json(path).select(F.explode("articles").alias("a")).select("a.*")
+def news_api(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON replies with an ``articles`` list, a file each or (``lines``) a line each; content falls back to the description, then to ''. Broken replies give no rows."""
+    rows = spark.read.schema(_NEWS).option("multiLine", not lines).json(path).select(F.explode("articles").alias("a")).select("a.*")
     return _articles(rows, title=F.col("title"), author=F.col("author"), source=F.col("source.name"), url=F.col("url"), published_date=parse_date("publishedAt"), content=F.coalesce("content", "description", F.lit("")))
 
 
-def rss(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items; the source is the feed's title, else the feed's address."""
-    rows = spark.read.schema("title string, link string, item array<struct<title:string,link:string,author:string,pubDate:string,description:string>>").format("xml").option("rowTag", "channel").load(path)
+_CHANNEL = "title string, link string, item array<struct<title:string,link:string,author:string,pubDate:string,description:string>>"
+
+
+def rss(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """RSS items, from files of channels or (``lines``) a channel a line; the source is the feed's title, else the feed's address."""
+    if lines:
+        rows = spark.read.text(path).select(F.from_xml("value", _CHANNEL).alias("c")).select("c.*")
+    else:
+        rows = spark.read.schema(_CHANNEL).format("xml").option("rowTag", "channel").load(path)
     items = rows.select(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "link").alias("feed"), F.explode("item").alias("i"))
     return _articles(items, title=F.col("i.title"), author=F.col("i.author"), source=F.col("feed"), url=F.col("i.link"), published_date=parse_date("i.pubDate"), content=F.coalesce("i.description", F.lit("")))
 
 
-def open_platform(spark: SparkSession, path: str) -> DataFrame:
-    """Open-platform JSON; the discussion key comes from the short address, and an article is commentable if its fields say so at all."""
-    rows = spark.read.schema(_OPEN).option("multiLine", True).json(path).select(F.explode("response.results").alias("r")).select("r.*")
+def open_platform(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Open-platform JSON, a reply a file or (``lines``) a line; the discussion key comes from the short address, and an article is commentable if its fields say so at all."""
+    rows = spark.read.schema(_OPEN).option("multiLine", not lines).json(path).select(F.explode("response.results").alias("r")).select("r.*")
     fields = F.col("fields")
     get = lambda k: F.try_element_at(fields, F.lit(k))
     return _articles(
@@ -50,19 +56,26 @@ Reader = Callable[[SparkSession, str], DataFrame]
 SOURCES: dict[str, Reader] = {"news_api": news_api, "rss": rss, "open_platform": open_platform}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or pattern) names anything that Spark can read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def broken(spark: SparkSession, path: str, schema: str, lines: bool = False) -> int:
+    """How many replies at a path are no JSON of this schema; readers pass over these."""
+    text = spark.read.text(path, wholetext=not lines)
+    return text.where(F.trim("value") != "").select(F.from_json("value", f"{schema}, __broken string", {"columnNameOfCorruptRecord": "__broken"}).alias("r")).where("r.__broken IS NOT NULL").count()
+
+
 def fetch_all(spark: SparkSession, paths: Mapping[str, str], sources: Iterable[str] | None = None, known: Mapping[str, Reader] = SOURCES) -> DataFrame:
-    """Union of the named sources (all by default). An unknown name is an error; a source that cannot be read is left out."""
+    """Union of the named sources (all by default). An unknown name is an error; a source without files is left out, broken replies give no rows."""
     names = list(known if sources is None else sources)
     if unknown := [n for n in names if n not in known]:
         raise ValueError(f"unknown sources: {', '.join(unknown)}")
-    found = []
-    for n in names:
-        try:
-            found.append(known[n](spark, paths[n]).withColumn("fetched_from", F.lit(n)))
-        except Exception as e:  # one dead source must not stop the others
-            if n not in paths or "PATH_NOT_FOUND" in str(e):
-                continue
-            raise
+    readable = [n for n in names if n in paths and _exists(spark, paths[n])]
+    found = [known[n](spark, paths[n]).withColumn("fetched_from", F.lit(n)) for n in readable]
     if not found:
         return spark.createDataFrame([], ARTICLE + ", fetched_from string")
     return reduce(DataFrame.unionByName, found)

@@ -35,14 +35,22 @@ def read_mixed(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame,
     return posts, comments, counts
 
 
+def _cp1252(c: Column) -> Column:
+    """Text that was read as ISO-8859-1, as cp1252: the two differ in 27 of the bytes from 0x80 to 0x9F."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return F.translate(c, "".join(a for a, x in pairs if x), "".join(x for _, x in pairs))
+
+
 def read_labelled(spark: SparkSession, path: str, required: Sequence[str] = ("article_id", "human_stance")) -> DataFrame:
-    """A filled-in label file with a ``line`` number: ; or , by the header, UTF-8 with or without mark, else Latin-1."""
+    """A filled-in label file with a ``line`` number: ; or , by the header, UTF-8 with or without mark, else cp1252 (plain CSV of a spreadsheet)."""
     head = spark.read.text(path).limit(1).first()
     header = head[0] if head else ""
     valid = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
     sep = ";" if header.count(";") > header.count(",") else ","
     rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', encoding="UTF-8" if valid else "ISO-8859-1")
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    if not valid:
+        rows = rows.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in rows.columns])
     if missing := sorted(set(required) - set(rows.columns)):
         raise ValueError(f"{path} has no {' or '.join(missing)} column")
     return rows.withColumn("line", F.monotonically_increasing_id())

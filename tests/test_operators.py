@@ -204,3 +204,56 @@ def test_topics(spark):
 def test_run_outcomes(spark):
     df = spark.createDataFrame([(1, "collection", "failed"), (1, "topic", "succeeded"), (2, "topic", "failed"), (2, "stance", "succeeded"), (3, "topic", "failed"), (4, "topic", "succeeded")], "run_id long, stage_name string, status string")
     assert {r["run_id"]: r["status"] for r in monitor.run_outcome(df).collect()} == {1: "failed", 2: "completed_with_errors", 3: "failed", 4: "completed"}
+
+
+def test_dense_topics_find_their_number(spark):
+    import numpy as np
+
+    from presswork.operators import topics
+
+    r = np.random.default_rng(4)
+    centres = np.eye(8)[:4] * 3
+    rows = [(i, (centres[i % 4] + r.normal(0, 0.15, 8)).tolist()) for i in range(400)] + [(1000 + i, r.normal(0, 1, 8).tolist()) for i in range(15)]
+    got = topics.discover_dense(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by_topic = {}
+    for x in got:
+        if x["vec_id"] < 1000:
+            by_topic.setdefault(x["topic_id"], set()).add(x["vec_id"] % 4)
+    real = {t: c for t, c in by_topic.items() if t >= 0}
+    assert len(real) == 4 and all(len(c) == 1 for c in real.values())  # one region for each centre, none shared
+    assert sum(x["topic_id"] >= 0 for x in got if x["vec_id"] < 1000) > 350
+    with pytest.raises(ValueError):
+        topics.discover_dense(spark.createDataFrame(rows[:9], "vec_id long, embedding array<double>"))
+
+
+def test_topic_models_in_blocks(spark, monkeypatch):
+    from presswork.operators import topics
+
+    vectors = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2)]) for i in range(9)], "vec_id long, embedding array<double>")
+    model = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0])], "topic_id int, centroid array<double>")
+    whole = {r["vec_id"]: r["topic_id"] for r in topics.assign(vectors, model).collect()}
+    monkeypatch.setattr(topics, "MODEL_BLOCK", 1)
+    assert {r["vec_id"]: r["topic_id"] for r in topics.assign(vectors, model).collect()} == whole == {i: i % 3 for i in range(9)}
+
+
+def test_chunks_under_another_counter(spark):
+    from presswork.functions import text
+
+    df = spark.createDataFrame([(1, "One two. Three four five. Six. " + "x " * 12 + ". Last one."), (2, ""), (3, None)], "id long, t string")
+    by_udf = F.pandas_udf(lambda col: col.map(lambda a: [len(t.split()) for t in a]), "array<int>")
+    own = {r["id"]: [(c["text"], c["tokens"]) for c in r["c"]] for r in df.select("id", text.chunks("t", size=5).alias("c")).collect()}
+    other = {r["id"]: [(c["text"], c["tokens"]) for c in r["chunks"]] for r in text.chunked(df, "t", size=5, count=by_udf).collect()}
+    assert own == other
+    assert own[1][:2] == [("One two. Three four five.", 5), ("Six.", 1)] and own[1][-1] == ("Last one.", 2) and own[2] == own[3] == []
+    titled = df.where("id = 1").select(text.chunks("t", title=F.lit(" Head "), size=5).alias("c")).first()["c"]
+    assert titled[0]["text"].startswith("Head. One two.")
+    assert [c["tokens"] for c in df.where("id = 1").select(text.windows("t", 10).alias("c")).first()["c"]] == [10, 10, 1]
+
+
+def test_runs_over_several_days(spark):
+    from presswork.operators import monitor
+
+    runs = spark.sql("SELECT 1 AS run_id, TIMESTAMP '2026-01-01 22:00:00' AS started_at, TIMESTAMP '2026-01-03 01:00:00' AS finished_at UNION ALL SELECT 2, TIMESTAMP '2026-01-02 00:00:00', TIMESTAMP '2026-01-02 00:00:00'")
+    written = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2026-01-01 22:00:00'), (2, TIMESTAMP '2026-01-02 00:00:00'), (3, TIMESTAMP '2026-01-03 01:00:01') AS t(article_id, written_at)")
+    got = {r["run_id"]: (r["written"], r["covered"]) for r in monitor.coverage(runs, written, spark.sql("SELECT 1 AS article_id")).collect()}
+    assert got == {1: (2, 1), 2: (1, 0)}

@@ -82,6 +82,26 @@ def test_labelled_files(spark, tmp_path, encoding, sep):
         files.read_labelled(spark, str(p))
 
 
+def test_labelled_files_of_spreadsheets(spark, tmp_path):
+    p = tmp_path / "l.csv"
+    p.write_bytes("article_id;human_stance;title\n1;favor;“It’s” – 5 € Œuvre\n".encode("cp1252"))
+    assert files.read_labelled(spark, str(p)).first()["title"] == "“It’s” – 5 € Œuvre"
+
+
+def test_forty_levels_of_replies(spark, tmp_path):
+    nested = []
+    for i in reversed(range(40)):
+        nested = [{"id": f"c{i}", "body": "x", "status": "visible", "responses": nested}]
+    (tmp_path / "t.json").write_text(json.dumps({"discussion": {"comments": nested}}))
+    assert threads.flatten_threads(threads.read_threads(spark, str(tmp_path / "t.json"), F.lit(5))).count() == 40
+
+
+def test_broken_replies_are_counted(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"articles": [{"title": "A", "url": "u"}]}\n{"articles": [{"title": \n')
+    assert feeds.news_api(spark, str(tmp_path / "r.json"), lines=True).count() == 1
+    assert feeds.broken(spark, str(tmp_path / "r.json"), feeds._NEWS, lines=True) == 1
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "snap")
     for run, day in ((1, "2026-01-01"), (2, "2026-01-02")):
