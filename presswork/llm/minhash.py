@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 4
 #: shingles and more have a wide sketch besides, of a bit for one or two shingles, so that the bound it gives stays sharp.
 ODD_BITS = 1024
 #: Further pivots are tried while buckets leave more than so many pairs a row, at most so often.
-PAIRS_A_ROW, PIVOTS = 8, 6
+PAIRS_A_ROW, PIVOTS = 1000, 6
 #: At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SIGMA = U(0xA0761D6478BD642F)
