@@ -4,10 +4,11 @@ Two permutations make the whole signature: the first scatters the shingles of a
 document over 2**32 places, the second, circularly shifted by k, gives the
 order whose minimum is coordinate k. Texts with the same set of shingles are one
 class, so copies cost a row each and no pairs. Every bucket links its members to
-its first member. Buckets that this leaves in several components get further
-pivots, one outside the components of the pivots before, as long as that halves
-the pairs that are left to look at; then only pairs of different components are
-looked at, and of these only pairs that an exact bound lets through are verified.
+its first member. In buckets that this leaves in several components only pairs of
+different components are looked at, and of these only pairs that an exact bound
+lets through are verified. Where pairs to look at are many, a few further pivots
+from each bucket's largest component first take in what is near to them, as long
+as that halves what is left.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS, ROWS = 32, 4
 #: Bits of the odd sketch: bit i tells whether a set has an odd number of shingles in place i. Sets of twice as many
 #: shingles and more have a wide sketch besides, of a bit for one or two shingles, so that the bound it gives stays sharp.
 ODD_BITS = 1024
-#: Further pivots are tried while buckets leave more than so many pairs a row, at most so often.
-PAIRS_A_ROW, PIVOTS = 1000, 6
+#: About so many further pivots a bucket are tried if more than so many pairs a row are left to look at, and again until one a row is left, at most so often.
+PIVOTS, PAIRS_A_ROW, ROUNDS = 6, 128, 8
 #: At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SIGMA = U(0xA0761D6478BD642F)
@@ -169,38 +170,36 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     # Odd sketches differ in no more places than the sets differ in shingles: an exact bound, and no set need be read.
     room = (F.col("size") + F.col("other")) * (100 - percent)
     close = near & (_apart("oa", "ob") * (100 + percent) <= room) & F.when(F.col("wa").isNull() | F.col("wb").isNull(), True).otherwise(_wide_apart("wa", "wb") * (100 + percent) <= room)
-    large = settle(members.where("members > 2").select("band", "key", "id", "size", "pivot"), "large")
-    tried, before = large.select("band", "key", "pivot").distinct(), None
-    for turn in range(PIVOTS + 1):
+    large = settle(members.where("members > 2").select("band", "key", "id", "size"), "large")
+    before = None
+    for turn in range(ROUNDS + 1):
         # Buckets of three or more that the links so far leave in several components.
         known = components(linked).select(F.col("node").alias("id"), "component")
-        labelled = settle(large.drop("pivot").join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+        labelled = settle(large.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
         counts = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-        split = counts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside")).where("parts > 1")
+        split = counts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("largest")).where("parts > 1")
         split = settle(split, "split")
-        left, members_left = split.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("m") - F.col("inside")), F.lit(0.0)) / 2, F.coalesce(F.sum("m"), F.lit(0))).first()
+        left, inside = split.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("m") - F.col("inside")), F.lit(0.0)) / 2, F.coalesce(F.sum("m"), F.lit(0))).first()
         if not left:
-            return _classed(sketched, classes), linked
-        again = labelled.join(split.select("band", "key"), ["band", "key"], "left_semi").join(classes.select(F.col("rep").alias("id"), "odd", "wide"), "id")
-        again = settle(again.select("band", "key", "id", "size", "component", "odd", "wide"), "again")
-        y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"), F.col("odd").alias("ob"), F.col("wide").alias("wb"))
-        last = turn == PIVOTS or left <= PAIRS_A_ROW * members_left or before is not None and left > before / 2
+            break
+        again = labelled.join(split.select("band", "key", "main", "largest"), ["band", "key"]).join(classes.select(F.col("rep").alias("id"), "odd", "wide"), "id")
+        again = settle(again.select("band", "key", "id", "size", "component", "odd", "wide", "main", "largest"), "again")
+        x = again.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"), F.col("odd").alias("oa"), F.col("wide").alias("wa"), "main", "largest")
+        y = again.select("band", "key", F.col("id").alias("b"), F.col("size").alias("other"), F.col("component").alias("cb"), F.col("odd").alias("ob"), F.col("wide").alias("wb"), "main", "largest")
+        last = turn == ROUNDS or left <= (PAIRS_A_ROW * inside if turn == 0 else inside) or before is not None and left > before / 2
         before = left
         if last:
-            x, apart = again, F.col("a") < F.col("b")
-        else:  # the first member outside the components of the pivots so far, against all others
-            done = again.join(tried.withColumnRenamed("pivot", "id"), ["band", "key", "id"], "left_semi").select("band", "key", "component").distinct()
-            x = again.join(done, ["band", "key", "component"], "left_anti").groupBy("band", "key").agg(F.min_by(F.struct("id", "size", "component", "odd", "wide"), "id").alias("p")).select("band", "key", "p.*")
-            x, apart = settle(x, "pivots"), F.lit(True)
-            tried = tried.union(x.select("band", "key", F.col("id").alias("pivot")))
-        x = x.select("band", "key", F.col("id").alias("a"), "size", F.col("component").alias("ca"), F.col("odd").alias("oa"), F.col("wide").alias("wa"))
-        pairs = x.join(y, ["band", "key"]).where(apart & (F.col("ca") != F.col("cb"))).where(close)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = x.drop("main", "largest").join(y.drop("main", "largest"), ["band", "key"]).where("a < b AND ca <> cb").where(close).select("a", "b").distinct()
+        else:  # some of the largest component against what lies outside it; of each row the nearest, chosen where pairs are made
+            pivot = F.pmod(F.xxhash64("a", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("largest") / PIVOTS))) == 0
+            near_pivots = x.where((F.col("ca") == F.col("main")) & pivot).join(y.where(F.col("cb") != F.col("main")).drop("main", "largest"), ["band", "key"]).where(close)
+            pairs = near_pivots.groupBy("b").agg(F.min_by("a", F.struct(_apart("oa", "ob"), "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = settle(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             linked, checked = linked.union(settle(_verified(pairs, docs, n, percent), "linked")), checked.union(pairs)
         if last:
-            return _classed(sketched, classes), linked
+            break
+    return _classed(sketched, classes), linked
 
 
 def _classed(sketched: DataFrame, classes: DataFrame) -> DataFrame:
@@ -219,8 +218,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     ``component_id`` is the smallest id reachable over links, and the document
     with that id is kept. Rows with the same id are one document, linked by each
     of its texts; every row is returned, as often as it occurs. Whole texts are
-    read, however long; an empty table gives no rows. A row without id is linked with nothing and kept
-    (its ``component_id`` is NULL). Only the two named columns are read.
+    read, however long; an empty table gives no rows. A row without id is linked
+    with nothing and kept (its ``component_id`` is NULL). Only the two named
+    columns are read.
     """
     sketched, linked = links(docs, n, percent, id_col, text_col, **how)
     found = components(linked).select(F.col("node").alias("rep"), F.col("component"))
