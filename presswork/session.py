@@ -65,12 +65,6 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(size))
 
 
-@contextlib.contextmanager
-def text_batches(spark: SparkSession) -> Iterator[None]:
-    bound_batches(spark)
-    yield
-
-
 @contextlib.contextmanager
 def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Jobs inside delete their shuffle files when they end: what they wrote is read from the shared folder."""
