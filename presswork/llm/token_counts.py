@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.wordhash import Kept, U, chunks, hashes_of, spread
+from presswork.llm.wordhash import Kept, chunks, hashes_of, spread
 from presswork.session import bound_batches
 
 LIMIT = 1024

@@ -211,3 +211,41 @@ def test_pipeline_on_awkward_documents(spark, tmp_path):
     assert counts[1] == len(rows) - 1  # of the two long texts one stays
     assert counts[2] == counts[1] - 1  # the text of the benchmark
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[3]
+
+
+def test_stated_shares(spark, monkeypatch):
+    """Shares that the caller states are met, in one task and by shuffles alike."""
+    r = random.Random(12)
+    rows = [(i, r.choice("aaaab"), r.choice(["en", "de"]), "word " * r.randint(1, 60)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    wish = {"source": {"a": 0.4, "b": 0.6, "absent": 1.0}, "lang": {"de": 3, "en": 1}}
+    found = {}
+    for small in (mixing.SMALL_CELLS, 0):
+        monkeypatch.setattr(mixing, "SMALL_CELLS", small)
+        got = {(m["dimension"], m["value"]): m for m in mixing.marginals(df, wish, rate=0.2).collect()}
+        assert got["source", "b"]["target"] == pytest.approx(0.6) and got["lang", "de"]["target"] == pytest.approx(0.75)
+        assert all(m["met"] for m in got.values()) and len(got) == 4
+        found[small] = sorted((x["row"]["doc_id"], round(x["probability"], 9)) for x in mixing.calibrated(df, wish, rate=0.2).select("row", "probability").collect())
+    a, b = found.values()
+    assert a == b and len(a) == 2000
+    only = mixing.mixed(df, temper={"source": {"b": 1.0}}).select("source").distinct().collect()
+    assert [x["source"] for x in only] == ["b"]
+
+
+@pytest.mark.parametrize("page", [
+    '<article><p>Hello this is the story of many words in a line today ok.<script src=/js/app/>code()</script> More of it.</p></article>',
+    '<script src="/a.js"/>code()</script><article><p>Hello this is the story of many words in a line today ok. More of it.</p></article>',
+    '<div class="search-results"><article><p>Hello this is the story of many words in a line today ok. More of it.</p></article></div>',
+    '<article><p class="form">Hello this is the story of many words in a line today ok. More of it.</p></article>',
+])
+def test_signs_that_mislead(page):
+    assert html_text.main_text(page) == "Hello this is the story of many words in a line today ok. More of it."
+
+
+@pytest.mark.parametrize("part", ["<div></p>", "<head>", "<svg><div>", "<template><div></div>", "<button>", "<video></div>", '<a ">', "<select><option>"])
+def test_hostile_pages_are_read_in_time(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<section>" + part * (1_000_000 // len(part)) + "</section></template></button></svg></video></select>")
+    assert time.process_time() - began < 8  # 1 to 2 seconds on an idle core; a quadratic reader takes minutes

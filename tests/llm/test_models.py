@@ -109,3 +109,44 @@ def test_ppm_edges(spark):
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
     assert math.isclose(untrained[0]["score"] if untrained[0]["doc_id"] == 1 else untrained[1]["score"], -4 * math.log10(256))
     assert ppm.ppm_scores(df.where("false"), ppm.held_out_fold()).count() == 0
+
+
+def test_ftrl_against_a_plain_one():
+    """The vectorised learner gives the weights of one that goes through the coordinates one by one."""
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["good", "bad", "vile", "kind", "the", "a", "day"]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    rows = [(f, int("vile" in t or "bad bad" in t)) for f, t in zip(toxicity.features(texts), texts, strict=True)]
+    at, weights = toxicity.ftrl(rows)
+    z, n = defaultdict(float), defaultdict(float)
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        if i != bias and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        if i == bias:
+            return -z[i] / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA)
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, label in rows:
+            own = [*f.tolist(), bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in list(z) if weight(i)}
+    got = dict(zip(at.tolist(), weights.tolist(), strict=True))
+    assert got.keys() == want.keys() and len(got) > 3
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+
+
+def test_ppm_slabs(spark, monkeypatch):
+    """With slabs of two blocks the sums go through several levels, and nothing changes."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(r.choice(["aa", "ab", "ba", "c"]) for _ in range(r.randint(0, 40)))) for i in range(80)], "doc_id long, text string")
+    key = lambda x: (x["doc_id"], x["n_known"], x["train_tokens"], round(x["base_score"], 9), round(x["score"], 9))
+    whole = sorted(key(x) for x in ppm.ppm_scores(df, ppm.held_out_fold()).collect())
+    monkeypatch.setattr(ppm, "SLAB", 2)
+    assert sorted(key(x) for x in ppm.ppm_scores(df, ppm.held_out_fold(), block_bytes=1000).collect()) == whole

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from presswork.llm import token_counts, token_files  # noqa: E402
@@ -77,3 +78,44 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
     assert [r["ids"] for r in token_files.read_tokens(spark, str(tmp_path / "ids"), [0]).collect()] == [[2]]
     assert token_files.tokenise_to_files(df.where("false"), path, 2).count() == 0
+
+
+def test_stored_steps_answer_questions(spark, bpe):
+    counter, count = bpe
+    rows = [(i, t) for i, t in enumerate(["", "word " * 300, "x\n\ny  z", *texts(60, 30, 6)])]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), limit=5)
+    asked = got.select("doc_id", token_counts.tokens_within("prefix_steps", 7).alias("within"), token_counts.longest_fit("prefix_steps", 4).alias("fit")).collect()
+    for r in asked:
+        t = dict(rows)[r["doc_id"]]
+        assert r["within"] == count(t[:7])
+        assert r["fit"] == max(p for p in range(len(t) + 1) if count(t[:p]) <= 4)
+
+
+def test_files_have_stripes_indexes_and_filters(spark, tmp_path):
+    from pyarrow import orc
+
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.choice('abcdefgh')}{r.randrange(9999)}" for _ in range(400))) for i in range(3000)]
+    path = str(tmp_path / "ids")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), path, 2)
+    files = sorted(str(p) for p in (tmp_path / "ids").glob("part-*.orc"))
+    assert sum(orc.ORCFile(f).nrows for f in files) == 3000
+    largest = max(files, key=lambda f: orc.ORCFile(f).nrows)
+    assert orc.ORCFile(largest).nstripes > 1 and orc.ORCFile(largest).row_index_stride == 1000
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(largest), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    columns = spark.sparkContext._gateway.new_array(jvm.boolean, 5)
+    for i in range(5):
+        columns[i] = True
+    index = reader.rows().readRowIndex(0, columns, columns)
+    assert index.getBloomFilterIndex()[1].getBloomFilterCount() > 0  # column 1 is doc_id
+    assert index.getRowGroupIndex()[1].getEntryCount() > 0
+    assert {x["doc_id"] for x in token_files.read_tokens(spark, path, [5, 2999, 4000]).collect()} == {5, 2999}
+
+
+def test_more_files_than_names_in_order(spark):
+
+    names = spark.range(100_020).select(F.format_string("part-%05d-x-c000.zstd.orc", "id").alias("file"), F.lit(2).cast("long").alias("n"), "id")
+    starts = token_files.file_starts(names.select("file", "n")).join(names, "file")
+    assert starts.where("offset <> 2 * id").count() == 0
