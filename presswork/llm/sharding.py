@@ -9,6 +9,7 @@ pieces, so that no task ever holds a whole shard.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,15 +115,15 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, part_by
     allowed = tolerance * total / parts
     targets = [total * i // parts for i in range(1, parts)]
     found = _search(rows, "h", targets, allowed)
-    out = []
-    for (cut, below, lo, size), t in zip(found, targets, strict=True):
-        if abs(below - t) <= max(allowed, 1) or size <= part_bytes:
-            out.append((cut, LOW))
-            continue
-        # one key hash holds too much: go on inside it, by id
+    out, inside = [(cut, LOW) for cut, _, _, _ in found], defaultdict(list)
+    for i, ((_, below, lo, size), t) in enumerate(zip(found, targets, strict=True)):
+        if abs(below - t) > max(allowed, 1) and size > part_bytes:
+            inside[lo].append(i)
+    for lo, at in inside.items():  # these key hashes hold too much: go on inside each, by id
         start = _histogram(rows, "h", [lo])[lo]
-        near, b, _, _ = _search(rows, "id", [t], allowed, within=lo, base=start)[0]
-        out.append((lo, near) if abs(b - t) < abs(below - t) else (cut, LOW))
+        for i, (near, b, _, _) in zip(at, _search(rows, "id", [targets[i] for i in at], allowed, within=lo, base=start), strict=True):
+            if abs(b - targets[i]) < abs(found[i][1] - targets[i]):
+                out[i] = (lo, near)
     return sorted(out)
 
 
