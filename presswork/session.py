@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch: whole texts are wide, and a batch is in memory several times on its way to Python and back.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 #: Written tables of the innermost ``tidy`` call, which nobody reads once its result is written.
