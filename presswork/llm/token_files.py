@@ -25,7 +25,7 @@ from presswork.session import bound_batches, scratch, settle, tidy
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 #: Words whose ids a worker keeps (about 30 bytes each) before it starts anew, and the longest that it keeps.
-CACHE, LONGEST = 1 << 20, 256
+CACHE, LONGEST = 1 << 19, 256
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",

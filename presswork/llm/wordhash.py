@@ -13,7 +13,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes of text hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
