@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, html_text, merkle, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -74,6 +74,12 @@ def op10(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
 
 
+@R.add("op12_merkle_manifest", merkle.manifest_sql())
+def op12(spark, d):
+    rows = merkle.manifest(table(spark, d, "documents"), claimed=merkle.tampered())
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
     return dict(R.queries)
 
