@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, html_text, merkle, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, hard_negatives, html_text, merkle, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -74,6 +74,13 @@ def op10(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
 
 
+@R.add("op11_fagin_hard_negatives", hard_negatives.mined_sql())
+def op11(spark, d):
+    rows = table(spark, d, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 @R.add("op12_merkle_manifest", merkle.manifest_sql())
 def op12(spark, d):
     rows = merkle.manifest(table(spark, d, "documents"), claimed=merkle.tampered())

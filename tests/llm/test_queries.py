@@ -22,7 +22,8 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted("|".join(plain(r[c]) for c in columns) for r in df.collect())
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
