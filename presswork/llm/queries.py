@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.llm import decontaminate, exact_dedup, hard_negatives, html_text, merkle, minhash, mixing, ppm, sharding, token_counts, token_files, toxicity
+from presswork.llm import decontaminate, exact_dedup, hard_negatives, html_text, merkle, minhash, mixing, pii, ppm, sharding, token_counts, token_files, toxicity
 from presswork.plans.registry import Registry
 from presswork.session import table
 
@@ -87,6 +87,11 @@ def op12(spark, d):
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
 
 
+@R.add("op13_bootstrapped_pii")
+def op13(spark, d):
+    return pii.report(pii.find_pii(table(spark, d, "documents")))
+
+
 def queries() -> dict:
     return dict(R.queries)
 

@@ -32,7 +32,7 @@ def test_sql(spark, name):
 
 COLUMNS = {
     "op3": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id n_bytes n_tokens over_limit", "op5": "doc_id held_out n_tokens n_known train_tokens base_score score",
-    "op6": "doc_id start n_tokens ids_crc32", "op7": "page_id url text n_chars", "op9": "doc_id held_out score predicted", "op10": "doc_id n_shingles component_id kept",
+    "op6": "doc_id start n_tokens ids_crc32", "op7": "page_id url text n_chars", "op9": "doc_id held_out score predicted", "op10": "doc_id n_shingles component_id kept", "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
 }
 
 
