@@ -27,9 +27,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical; a NULL text counts as the empty text, and
     all empty texts are one class. ``keep_id`` is the largest id of the class
     (NULL ids are smaller than all others), ``group_size`` its number of rows.
-    A row repeated with the same id and text is one document and is returned
-    once; it counts in ``group_size`` as often as it occurs. The same id with
-    different texts gives a row for each text. Whole texts count, however long. With
+    Every row is returned, repeated rows and rows without id too; those that
+    share the largest id of a class are kept together. Whole texts count, however long. With
     ``hash_col``, a column of the texts' SHA-256 that the caller needs anyway,
     no text is hashed twice. Columns other than those named are not read, so
     clashing names do no harm. An empty table gives no rows.
@@ -51,11 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.where("full IS NULL").select(*kept_cols, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     several = marked.where("full IS NOT NULL")
     classes = settle(several.groupBy(F.col("full").alias("of")).agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
-    once = several.groupBy("full", "__id").agg(*[F.min(c).alias(c) for c in kept_cols[1:]]) if kept_cols[1:] else several.select("full", "__id").distinct()
-    # A class may hold a third of all rows: both sides are written first, so that the
+    # A class may hold a third of all rows: both sides are written tables, so that the
     # join reads plain exchanges and adaptive execution can split the class.
-    once = settle(once, "members")
-    members = once.join(classes, F.col("full") == F.col("of")).select(*kept_cols, "keep_id", "group_size")
+    members = several.join(classes, F.col("full") == F.col("of")).select(*kept_cols, "keep_id", "group_size")
     out = alone.unionByName(members)
     return out.select(
         F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -57,7 +57,7 @@ def op7(spark, d):
     "op8_progressive_exact_dedup",
     """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
-SELECT DISTINCT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)""",
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)""",
 )
 def op8(spark, d):
     docs = table(spark, d, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
