@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import text
-from presswork.operators import evaluate, labelling, monitor, search, topics
+from presswork.operators import density, embed, evaluate, labelling, monitor, search, topics
 from presswork.plans.merge import ROWS, label_rows
 from presswork.plans.registry import Registry
-from presswork.session import table
+from presswork.session import settle, table
 
 R = Registry()
 PAIRS = "(SELECT x.stakeholder_category AS label_a, y.stakeholder_category AS label_b, count(*) AS n FROM r x JOIN r y ON x.article_id = y.article_id AND x.classifier = 'model' AND y.classifier = 'baseline_keyword' GROUP BY 1, 2)"
@@ -192,6 +192,34 @@ def dense_topics(spark, d):
     return topics.discover_dense(table(spark, d, "embeddings"))
 
 
+def _topic_invariants(found, ids, key, min_size):
+    """One row about a discovery: rows, ids that are the table's, and whether sizes and numbers are as they should be."""
+    sizes = found.where("topic_id >= 0").groupBy("topic_id").agg(F.count("*").alias("n"))
+    order = sizes.agg(F.array_sort(F.collect_list(F.struct("topic_id", "n"))).alias("s"))  # a row for each topic
+    numbers, counts = F.transform("s", lambda x: x["topic_id"]), F.transform("s", lambda x: x["n"])
+    right = order.select(
+        F.coalesce(F.array_min(counts) >= min_size, F.lit(True)).alias("large_enough"), (numbers == F.slice(F.sequence(F.lit(0), F.size("s")), 1, F.size("s"))).alias("numbered"),
+        (counts == F.reverse(F.array_sort(counts))).alias("by_size"),
+    )
+    whole = found.join(ids.select(key), key, "left_semi").agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_ids"))
+    return whole.crossJoin(F.broadcast(right))  # one row each
+
+
+@R.add("m2_density_topics", "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, true AS large_enough, true AS numbered, true AS by_size FROM embeddings")
+def density_topics(spark, d):
+    """Clusters by stability over a graph of nearest neighbours."""
+    vectors = table(spark, d, "embeddings")
+    return _topic_invariants(settle(density.discover(vectors), "topics"), vectors, "vec_id", 10)
+
+
+@R.add("m2_topics_from_texts", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, true AS large_enough, true AS numbered, true AS by_size FROM documents")
+def topics_from_texts(spark, d):
+    """Discovery from texts alone: hashed TF-IDF, a randomised decomposition, density."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    vectors = settle(embed.fit(docs, stop_words=STOP).apply(docs).select("doc_id", "embedding"), "vectors")
+    return _topic_invariants(settle(density.discover(vectors, id_col="doc_id"), "topics"), docs, "doc_id", 10)
+
+
 STOP = ("the", "and", "der", "die", "que", "les")
 TERMS = f"""WITH t AS (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents), k AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN ({', '.join(f"'{s}'" for s in STOP)})),
 tf AS (SELECT lang, term, count(*) AS tf FROM k GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), w AS (SELECT lang, term, round(tf * ln(1 + (SELECT sum(tf) / count(DISTINCT lang)::DOUBLE FROM tf) / f), 6) AS weight FROM tf JOIN f USING (term)),
