@@ -52,12 +52,15 @@ def normalised(text: Column) -> Column:
     """Folded for matching only: compatibility forms, invisibles, look-alikes, case, leet, separators inside words, white space."""
     ascii_only = text.rlike(r"^\p{ASCII}*$")
     # Python is called for every row, whatever stands around it: ASCII texts are held back in its argument.
-    return _folded(F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text))))
+    return _folded(F.when(ascii_only, text).otherwise(_plain_letters(_nfkc(F.when(~ascii_only, text)))))
+
+
+def _plain_letters(text: Column) -> Column:
+    return F.translate(F.translate(text, INVISIBLE, ""), *LOOKALIKES)
 
 
 def _folded(text: Column) -> Column:
-    out = F.translate(text, INVISIBLE, "")
-    out = F.lower(F.translate(out, *LOOKALIKES))
+    out = F.lower(text)
     out = F.regexp_replace(F.translate(out, *LEET), r"(?<=[a-z])[._\-*|/]+(?=[a-z])", "")
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
@@ -71,10 +74,50 @@ def decoded_views(text: Column) -> Column:
     return F.filter(texts, lambda t: (F.length(t) >= 8) & (F.length(F.regexp_replace(t, r"(?U)[^\p{Print}\s]", "")) > 0.9 * F.length(t)))
 
 
-def _first_hit(view: Column, name: Column) -> Column:
-    """Which pattern a view matches first; NULL for none or for reported speech."""
-    found = F.coalesce(*[F.when(view.rlike(("(?ium)" if i == BY_LINE else "(?iu)") + p), F.concat(F.lit("injection_pattern["), name, F.lit(f"]:{p[:48]}"))) for i, p in enumerate(INJECTION)])
-    return F.when(~view.rlike("(?iu)" + REPORTED), found)
+#: What a text must hold for each pattern to match at all: some word of every group. The group that rules out most stands first.
+REQUIRED = (
+    (("ignore", "disregard", "forget", "override", "bypass", "skip", "discard"), ("instruction", "prompt", "rule", "direction", "guideline", "command", "context", "and", "then")),
+    (("system", "assistant", "user", "developer"), (":", "]")),
+    (("im_",), ("<",)),
+    (("[",), ("inst", "sys")),
+    (("now",), ("you",)),
+    ((":",), ("instruction", "rule", "task", "directive"), ("new", "updated", "revised")),
+    (("if",), ("act", "behave", "respond", "reply", "classify", "label", "rate", "mark", "score")),
+    (("regardless", "matter", "irrespective", "whatever"), ("classify", "label", "rate", "mark", "score", "tag")),
+    (("prompt",), ("reveal", "show", "print", "repeat", "output", "dump")),
+    (("mode",), ("developer", "god", "admin", "debug", "dan")),
+    (("pretend",),),
+)
+
+
+def _plain_case(text: Column) -> Column:
+    """Lower case; the four other letters that match a Latin one when case is ignored become that one."""
+    for odd, plain in zip("\u017f\u0131\u0130\u212a", "siik", strict=True):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
+def _may_match(low: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    every = F.lit(True)
+    for words in groups:
+        some = F.lit(False)
+        for w in words:
+            some = some | low.contains(w)
+        every = every & some
+    return every
+
+
+def _first_hit(view: Column, low: Column, name: Column) -> Column:
+    """Which pattern a view matches first; NULL for none or for reported speech. ``low`` is the view in plain case.
+
+    A pattern is only tried on texts that hold its required words, which are looked for as plain substrings.
+    """
+    hits = [
+        F.when(_may_match(low, REQUIRED[i]) & view.rlike(("(?ium)" if i == BY_LINE else "(?iu)") + p), F.concat(F.lit("injection_pattern["), name, F.lit(f"]:{p[:48]}")))
+        for i, p in enumerate(INJECTION)
+    ]
+    found = F.coalesce(*hits)
+    return F.when(found.isNotNull(), F.when(~view.rlike("(?iu)" + REPORTED), found))
 
 
 def injection(text: Column) -> Column:
@@ -83,16 +126,17 @@ def injection(text: Column) -> Column:
     Views are elements of an array, so that each is made once for all patterns.
     """
 
-    def view(name: str, of: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), of.alias("text"))
+    def view(name: str, of: Column, low: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("name"), of.alias("text"), (_plain_case(of) if low is None else low).alias("low"))
 
     def views(flat: Column) -> Column:
-        hidden = F.transform(decoded_views(t), lambda v: view("base64", _folded(v)))
-        return F.concat(F.array(view("raw", t), view("normalized", flat), view("reversed", F.reverse(flat))), hidden)
+        low = F.replace(flat, F.lit("\u0131"), F.lit("i"))  # the only one of these letters that folding leaves
+        hidden = F.transform(decoded_views(t), lambda v: view("base64", _folded(_plain_letters(v))))
+        return F.concat(F.array(view("raw", t), view("normalized", flat, low), view("reversed", F.reverse(flat), F.reverse(low))), hidden)
 
     t = F.coalesce(text, F.lit(""))
     every = F.get(F.transform(F.array(normalised(t)), views), F.lit(0))
-    hits = F.filter(F.transform(every, lambda v: _first_hit(v["text"], v["name"])), lambda h: h.isNotNull())
+    hits = F.filter(F.transform(every, lambda v: _first_hit(v["text"], v["low"], v["name"])), lambda h: h.isNotNull())
     return F.coalesce(F.get(hits, F.lit(0)), F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import classify, screening, text
+from presswork.operators import terms
 from presswork.plans.registry import Registry
 from presswork.session import table
 from presswork.sources.files import blind_sample, export_rows
@@ -77,7 +78,14 @@ def relevance(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.relevant(F.lit(None).cast("string"), F.col("text"), FIRST, SECOND).alias("relevant"))
 
 
-@R.add("x5_subject_relevance")
+def relevance_sql(patterns) -> str:
+    """Some pattern occurs; word borders are those of Unicode, which DuckDB's own are not."""
+    other = "[^\\p{L}\\p{M}\\p{N}_]"
+    said = [f"(?:^|{other})" + p.removeprefix(r"\b").removesuffix(r"\b") + (f"(?:$|{other})" if p.endswith(r"\b") else "") for p in patterns]
+    return f"regexp_matches(text, '(?i)(?:{'|'.join(said)})')"
+
+
+@R.add("x5_subject_relevance", f"SELECT doc_id, {relevance_sql(classify.AI_PATTERNS)} AND {relevance_sql(classify.EDUCATION_PATTERNS)} AS relevant FROM documents")
 def subject_relevance(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.relevant(F.lit(None).cast("string"), F.col("text")).alias("relevant"))
 
@@ -107,16 +115,26 @@ def hits_sql(terms) -> str:
     return " + ".join(f"(length(t) - length(replace(t, '{x}', ''))) / {len(x)}" for x in terms)
 
 
-@R.add(
-    "x9_j11_stakeholder_scores",
-    f"""WITH l AS (SELECT doc_id, ' ' || lower(text) AS t FROM documents), h AS (SELECT doc_id, {', '.join(f'({hits_sql(v)})::BIGINT AS {k}' for k, v in GROUPS.items())} FROM l), s AS (SELECT *, {' + '.join(GROUPS)} AS total, greatest({', '.join(GROUPS)}) AS best FROM h)
-SELECT doc_id, CASE WHEN total = 0 OR best / total::DOUBLE < 0.15 THEN 'undetermined' {' '.join(f"WHEN {k} = best THEN '{k}'" for k in GROUPS)} END AS label, CASE WHEN total > 0 THEN round(best / total::DOUBLE, 3) ELSE 0 END AS confidence FROM s""",
-)
+def scores_sql(groups) -> str:
+    """The group with most hits of its terms as substrings."""
+    names = [f"g{i}" for i in range(len(groups))]
+    return f"""WITH l AS (SELECT doc_id, ' ' || lower(text) AS t FROM documents), h AS (SELECT doc_id, {', '.join(f'({hits_sql(v)})::BIGINT AS {k}' for k, v in zip(names, groups.values()))} FROM l), s AS (SELECT *, {' + '.join(names)} AS total, greatest({', '.join(names)}) AS best FROM h)
+SELECT doc_id, CASE WHEN total = 0 OR best / total::DOUBLE < 0.15 THEN 'undetermined' {' '.join(f"WHEN {k} = best THEN '{g}'" for k, g in zip(names, groups))} END AS label, CASE WHEN total > 0 THEN round(best / total::DOUBLE, 3) ELSE 0 END AS confidence FROM s"""
+
+
+@R.add("x9_j11_stakeholder_scores", scores_sql(GROUPS))
 def stakeholder_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.stakeholder(F.lit(None).cast("string"), F.col("text"), GROUPS).alias("s")).select("doc_id", "s.label", "s.confidence")
 
 
-@R.add("x9_subject_stakeholders")
+@R.add("x9_j11_f4_dictionary_table", scores_sql(GROUPS))
+def dictionary_scores(spark, d):
+    """The same scores with the dictionary as a table, found by one automaton."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    return terms.best_group(docs, terms.dictionary(spark, GROUPS), F.col("t")).select("doc_id", "label", "confidence")
+
+
+@R.add("x9_subject_stakeholders", scores_sql(classify.STAKEHOLDER_TERMS))
 def subject_stakeholders(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.stakeholder(F.lit(None).cast("string"), F.col("text")).alias("s")).select("doc_id", "s.label", "s.confidence")
 
