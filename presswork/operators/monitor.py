@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.search import recent
+from presswork.operators.search import recent, running_totals
 
 GATES = ("collection", "security")
 
@@ -40,14 +40,23 @@ def stage_flags(stages: DataFrame) -> DataFrame:
 def coverage(runs: DataFrame, written: DataFrame, labelled: DataFrame) -> DataFrame:
     """Rows written in each run's window (both ends included), and how many of them have a row in another table.
 
-    runs: (run_id, started_at, finished_at). A run has a row for each day of its
-    window, so that writes find the runs of their day by an equal key.
+    runs: (run_id, started_at, finished_at). Writes and the two ends of every run
+    are sorted by time once, with running totals over the writes; a run's figures
+    are the totals at its end less those at its start. So a run costs two rows,
+    however long it is and however many writes fall into it or into other runs.
+    Runs without writes, or that end before they start, are left out.
     """
-    has = labelled.select("article_id").distinct().withColumn("__has", F.lit(True))
-    marked = written.join(has, "article_id", "left").withColumn("__day", F.to_date("written_at"))
-    days = runs.where("started_at <= finished_at").withColumn("__day", F.explode(F.sequence(F.to_date("started_at"), F.to_date("finished_at"))))
-    inside = marked.join(days, "__day").where(F.col("written_at").between(F.col("started_at"), F.col("finished_at")))
-    return inside.groupBy("run_id").agg(F.count("*").alias("written"), F.count_if("__has").cast("long").alias("covered"))
+    has = labelled.select("article_id").distinct().withColumn("__has", F.lit(1))
+    marked = written.join(has, "article_id", "left").where("written_at IS NOT NULL")
+    none = F.lit(None)
+    # At equal times a start stands before the writes, and an end behind them.
+    writes = marked.select(F.col("written_at").alias("at"), F.lit(1).alias("side"), F.xxhash64("article_id").alias("tie"), F.lit(1).alias("n"), F.coalesce("__has", F.lit(0)).alias("covered"), none.cast(runs.schema["run_id"].dataType).alias("run_id"))
+    ends = runs.where("started_at <= finished_at").select("run_id", F.explode(F.array(F.struct(F.col("started_at").alias("at"), F.lit(0).alias("side")), F.struct(F.col("finished_at").alias("at"), F.lit(2).alias("side")))).alias("e"))
+    ends = ends.select("e.at", "e.side", F.xxhash64("run_id").alias("tie"), F.lit(0).alias("n"), F.lit(0).alias("covered"), "run_id")
+    placed = running_totals(writes.unionByName(ends), [F.col("at"), F.col("side"), F.col("tie")], {"n": "n_before", "covered": "covered_before"})
+    sign = F.when(F.col("side") == 2, 1).otherwise(-1)
+    figures = placed.where("side <> 1").groupBy("run_id").agg(F.sum(sign * F.col("n_before")).alias("written"), F.sum(sign * F.col("covered_before")).alias("covered"))
+    return figures.where("written > 0")
 
 
 def footprint(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -108,6 +108,22 @@ def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame
     return joined.withColumn(name, F.col("__m").bitwiseAND(F.lit(low)) + F.col("__o") + 1).drop("__m", "__p", "__o")
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], sums: Mapping[str, str]) -> DataFrame:
+    """Every row with the sums of columns over all rows before it and itself, under an order of the whole table.
+
+    Rows are dealt by range and summed inside their partition; one row of sums
+    for each partition gives what came before it. sums: column to name of its total.
+    """
+    laid = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "laid")
+    laid = laid.withColumn("__p", F.shiftright("__m", 33))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    parts = laid.groupBy("__p").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums]).select("__p", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums])
+    inside = Window.partitionBy("__p").orderBy("__m")
+    within = laid.select("*", *[F.sum(c).over(inside).alias(f"__w_{c}") for c in sums])
+    joined = within.join(F.broadcast(parts), "__p")
+    return joined.select(*df.columns, *[(F.col(f"__w_{c}") + F.col(f"__o_{c}")).alias(name) for c, name in sums.items()])
+
+
 def reproducible_sample(df: DataFrame, key: str, n: int | None = 50, seed: int = 42) -> DataFrame:
     """n rows (or all) by a hash of key and seed: the same rows however the data are partitioned."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

@@ -95,7 +95,7 @@ def thread_json(spark, d):
         return F.concat(F.lit("["), F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"responses":'), inner, F.lit("}]"))
 
     nested = F.aggregate("t", F.lit("[]"), around)
-    level = turns.select(F.col("conv_id").alias("article_id"), F.from_json(nested, threads.COMMENTS, threads.JSON_OPTIONS).alias("comments"))
+    level = turns.select(F.col("conv_id").alias("article_id"), nested.alias("comments"))
     return threads.flatten_threads(level).select("article_id", "comment_id", "parent_comment_id", "recommendation_count")
 
 

@@ -2,51 +2,133 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from presswork.functions.text import plain_line
-from presswork.session import settle
+from presswork.session import bound_batches, settle
 
-#: Comments of one level; replies stay JSON text until their level is read, so that no depth is fixed.
+#: Comments that Spark has parsed; replies stay JSON text. Its JSON reader goes down to 500 levels, so deeper threads are given as text.
 COMMENTS = "array<struct<id:string,body:string,status:string,isoDateTime:string,numRecommends:int,userProfile:struct<userId:string>,responses:string>>"
-#: The parser's own limit of nested brackets is 1000; two are needed for each level.
 JSON_OPTIONS = {"maxNestingDepth": "1000000"}
 
 
 def read_threads(spark: SparkSession, path: str, article_id: Column) -> DataFrame:
-    """Discussion files as (article_id, comments)."""
-    raw = spark.read.schema(f"discussion struct<comments:{COMMENTS}>").options(multiLine=True, **JSON_OPTIONS).json(path)
-    return raw.select(article_id.cast("long").alias("article_id"), F.col("discussion.comments").alias("comments"))
+    """Discussion files as (article_id, comments), the latter as the text of the file."""
+    return spark.read.text(path, wholetext=True).select(article_id.cast("long").alias("article_id"), F.col("value").alias("comments"))
+
+
+REPLIES = "array<struct<id:string,body:string,visible:boolean,isoDateTime:string,numRecommends:int,userId:string,parent:string>>"
+_TOKEN = re.compile(r'("(?:[^"\\]|\\.)*+")|([{}\[\],:])|([^\s{}\[\],:"]++)', re.S)
+
+
+class _Literal(str):
+    """A number, true, false or null, as written."""
+
+
+def parse_json(text: str) -> object:
+    """The value of a JSON text, however deeply nested, without recursion; literals stay as written. ValueError where brackets do not match."""
+    root: list = []
+    stack: list = [root]
+    keys: list[str | None] = [None]
+    for m in _TOKEN.finditer(text):
+        string, mark, literal = m.groups()
+        if mark in ("}", "]"):
+            if len(stack) == 1 or isinstance(stack.pop(), dict) != (mark == "}"):
+                raise ValueError("brackets do not match")
+            keys.pop()
+            continue
+        if mark in (",", ":"):
+            continue
+        top = stack[-1]
+        if string is not None:
+            value: object = string[1:-1] if "\\" not in string else json.loads(string, strict=False)
+            if isinstance(top, dict) and keys[-1] is None:
+                keys[-1] = value
+                continue
+        else:
+            value = {} if mark == "{" else [] if mark == "[" else _Literal(literal)
+        if isinstance(top, dict):
+            top[keys[-1]] = value
+            keys[-1] = None
+        else:
+            top.append(value)
+        if mark is not None:
+            stack.append(value)
+            keys.append(None)
+    if len(stack) > 1 or len(root) > 1:
+        raise ValueError("brackets do not match")
+    return root[0] if root else None
+
+
+def _replies(text: str | None, parent: str | None) -> list[dict]:
+    """All replies below a comment, with the nearest visible comment above each; none where the text is no list."""
+
+    def said(x: object) -> str | None:
+        return None if x is None or x == "null" and isinstance(x, _Literal) or isinstance(x, dict | list) else str(x)
+
+    try:
+        found = parse_json(text or "")
+    except ValueError:
+        return []
+    if isinstance(found, dict):  # a whole discussion
+        found = found["discussion"].get("comments") if isinstance(found.get("discussion"), dict) else None
+    out, waiting = [], [(found, parent)]
+    while waiting:
+        comments, above = waiting.pop()
+        for c in comments if isinstance(comments, list) else []:
+            if isinstance(c, dict):
+                visible, n, profile = said(c.get("status")) == "visible", c.get("numRecommends"), c.get("userProfile")
+                number = int(n) if isinstance(n, _Literal) and re.fullmatch(r"-?\d{1,9}", n) else None
+                out.append({
+                    "id": said(c.get("id")), "body": said(c.get("body")), "visible": visible, "isoDateTime": said(c.get("isoDateTime")), "numRecommends": number,
+                    "userId": said(profile.get("userId")) if isinstance(profile, dict) else None, "parent": above,
+                })
+                waiting.append((c.get("responses"), said(c.get("id")) if visible else above))
+    return out
 
 
 def flatten_threads(threads: DataFrame) -> DataFrame:
-    """One row per visible comment; replies to a hidden one take the nearest visible ancestor as parent.
+    """One row per visible comment of (article_id, comments); comments are JSON text (a list, or a discussion with one) or parsed (COMMENTS).
 
-    Level by level until a level is empty: each level's replies (JSON text or
-    arrays) carry the id of the nearest visible comment above them. The body
-    becomes one plain line, the user a hash; of repeated comment ids the one with
-    the smallest parent stays.
+    Replies to a hidden comment take the nearest visible ancestor as parent.
+    A thread's replies are read in one pass over its text, whatever their
+    depth, so the number of jobs does not depend on it. The body becomes one
+    plain line, the user a hash; of repeated comment ids the one with the
+    smallest parent stays. Replies that are no JSON list are left out.
     """
-    level = settle(threads.select("article_id", F.explode("comments").alias("c"), F.lit(None).cast("string").alias("parent")), "level")
-    visible, levels = F.col("c.status") == "visible", []
-    while not levels or level.limit(1).count():
-        levels.append(level.where(visible).select(
-            F.col("c.id").alias("comment_id"), "article_id", F.col("parent").alias("parent_comment_id"), plain_line("c.body").alias("body_text"),
-            F.when(F.length("c.userProfile.userId") > 0, F.sha2(F.col("c.userProfile.userId"), 256)).alias("author_hash"), F.try_to_timestamp("c.isoDateTime").alias("created_at"), F.coalesce("c.numRecommends", F.lit(0)).alias("recommendation_count"),
-        ))
-        kind = level.schema["c"].dataType
-        if "responses" not in kind.names:
-            break
-        replies = F.from_json("c.responses", COMMENTS, JSON_OPTIONS) if isinstance(kind["responses"].dataType, StringType) else F.col("c.responses")
-        level = level.select("article_id", F.explode(replies).alias("r"), F.when(visible, F.col("c.id")).otherwise(F.col("parent")).alias("parent")).withColumnRenamed("r", "c")
-        level = settle(level, "level")
-    out = reduce(DataFrame.unionByName, levels)
+    kind = pa.list_(pa.struct([(n, {"boolean": pa.bool_(), "int": pa.int32()}.get(t, pa.string())) for n, t in (x.split(":") for x in REPLIES[len("array<struct<") : -2].split(","))]))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, parents in batches:
+            yield pa.array([_replies(t.as_py(), p.as_py()) for t, p in zip(texts, parents, strict=True)], kind)
+
+    bound_batches(threads.sparkSession)
+    replies = F.arrow_udf(run, REPLIES)
+    if isinstance(threads.schema["comments"].dataType, StringType):
+        top = threads.select("article_id", replies(F.col("comments"), F.lit(None).cast("string")).alias("every"))
+    else:
+        top = threads.select("article_id", F.explode("comments").alias("c"))
+        visible = F.coalesce(F.col("c.status") == "visible", F.lit(False))
+        own = F.struct(F.col("c.id").alias("id"), F.col("c.body").alias("body"), visible.alias("visible"), F.col("c.isoDateTime").alias("isoDateTime"), F.col("c.numRecommends").alias("numRecommends"), F.col("c.userProfile.userId").alias("userId"), F.lit(None).cast("string").alias("parent"))
+        every, fields = F.array(own).cast(REPLIES), top.schema["c"].dataType
+        if "responses" in fields.names:
+            text = F.col("c.responses") if isinstance(fields["responses"].dataType, StringType) else F.to_json("c.responses")
+            every = F.concat(every, replies(text, F.when(visible, F.col("c.id"))))
+        top = top.select("article_id", every.alias("every"))
+    rows = top.select("article_id", F.explode("every").alias("r")).where("r.visible AND r.id IS NOT NULL")
+    out = rows.select(
+        F.col("r.id").alias("comment_id"), "article_id", F.col("r.parent").alias("parent_comment_id"), plain_line("r.body").alias("body_text"), F.when(F.length("r.userId") > 0, F.sha2(F.col("r.userId"), 256)).alias("author_hash"),
+        F.try_to_timestamp("r.isoDateTime").alias("created_at"), F.coalesce("r.numRecommends", F.lit(0)).alias("recommendation_count"),
+    )
     columns = [c for c in out.columns if c != "comment_id"]
-    return out.where("comment_id IS NOT NULL").groupBy("comment_id").agg(F.min(F.struct(F.coalesce("parent_comment_id", F.lit("")).alias("o"), *columns)).alias("r")).select("comment_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+    return out.groupBy("comment_id").agg(F.min(F.struct(F.coalesce("parent_comment_id", F.lit("")).alias("o"), *columns)).alias("r")).select("comment_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 def visible_parents(edges: DataFrame) -> DataFrame:
