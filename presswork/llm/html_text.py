@@ -39,8 +39,24 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus"
     " footer login masthead menu modal nav navbar navigation newsletter notification pager pagination paywall popup promo promoted"
-    " recommended related replies respond rss sidebar signup skyscraper sponsor sponsored subscribe subscription toolbar widget".split()
+    " recommended related replies respond rss sidebar signup skyscraper sponsor sponsored subscribe subscription toolbar adbox adslot adunit adwrap".split()
 )
+#: Names that say together what their words do not.
+BAD_NAMES = frozenset("widget widget-area more-stories more-news more-articles read-more read-next you-may-like also-like most-read most-popular back-to-top".split())
+#: Signs of readers' comments: these hold however much text the element has.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Names of one word that hold too; other names may also be a wrapper's.
+FIRM_NAMES = COMMENT_WORDS | frozenset("ad ads adbox adslot adunit adwrap advert advertisement advertising adsense breadcrumb breadcrumbs cookie cookies footer hidden nav navbar navigation newsletter pager pagination promo promoted recommended related rss sidebar signup skyscraper sponsor sponsored".split())
+#: A name with one of these tells about a layout ('no-sidebar', 'has-banner', 'content-with-sidebar'); so does one that begins with a layout word, or ends in a state ('menu-closed').
+LAYOUT_PARTS = frozenset("no not has have with without is".split())
+LAYOUT_STARTS = frozenset("layout grid template columns".split())
+STATES = frozenset("open opened closed enabled disabled active inactive collapsed expanded on off shown visible".split())
+#: Endings that say nothing about what an element holds.
+ENDINGS = frozenset("area bar block body box col column container content group holder inner item items list outer panel row section slot text unit wrap wrapper".split())
+#: Elements that are pieces of text: a compound name on one of them is a weak sign only.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
+#: What a notice for browsers without scripts speaks of.
+_NOTICE = re.compile(r"java\s?script|browser|cookies", re.I)
 #: Words that name boilerplate on some pages and parts of an article on others.
 VAGUE_WORDS = frozenset("byline disclaimer footnotes form header hidden legal notice notices notifications reply search share sharing skip social tags toc tracking".split())
 #: Certain signs as a whole class name or id only ('overflow-hidden' and 'entry-header' are none).
@@ -61,6 +77,18 @@ class Element:
     good: float = 0.0  # cost of calling it boilerplate
     marked: bool = False  # in an element that is the article by its kind
     named: bool = False  # in an element with one of the GOOD_WORDS
+    sign: Sign | None = None  # the nearest class name or form around that speaks for boilerplate
+    notice: bool = False  # in a noscript element
+
+
+@dataclass
+class Sign:
+    """A class name, id or form that speaks for boilerplate, unless its element holds most of the page's paragraphs or the article."""
+
+    around: Sign | None
+    firm: bool  # holds in any case
+    mass: int = 0  # characters of long, unlinked blocks inside
+    holds: bool = True
 
 
 @dataclass
@@ -72,29 +100,55 @@ class Block:
     boilerplate: float = field(default=0.0)
 
 
-def _names(attributes: str) -> tuple[set[str], dict[str, str]]:
+def _names(attributes: str) -> tuple[list[list[str]], dict[str, str]]:
+    """The class names and the id, each as its words in order, and all attributes."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    return words, found
-
-
-def _open(tag: str, attributes: str, parent: Element) -> Element:
-    """A new element; bad signs add to those of the elements around it, good signs of a kind count once."""
-    e = Element(tag, parent, parent.depth + 1, parent.bad, parent.good, parent.marked, parent.named)
-    words, found = _names(attributes) if attributes and "=" in attributes or "hidden" in attributes else (set(), {})
-    if tag in BOILERPLATE or found.get("role", "").lower() in ROLES:
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return [re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower()) for n in names], found
+
+
+def _kind(parts: list[str], piece: bool) -> str:
+    """What a name says: 'comment', 'bad', 'vague' or nothing. Names of layouts and states say nothing."""
+    if not parts or LAYOUT_PARTS & set(parts) or parts[0] in LAYOUT_STARTS or parts[-1] in STATES:
+        return ""
+    if "-".join(parts) in BAD_NAMES:
+        return "bad"
+    stem = list(parts)
+    while len(stem) > 1 and stem[-1] in ENDINGS:
+        stem.pop()
+    if len(parts) == 1 and parts[0] in WHOLE_NAMES:
+        return "bad"
+    said = set(parts) & BAD_WORDS
+    if said:
+        if piece and len(parts) > 1 or not {stem[0], stem[-1]} & BAD_WORDS:
+            return "vague"
+        return "comment" if said & COMMENT_WORDS else "bad"
+    return "vague" if set(parts) & VAGUE_WORDS else ""
+
+
+def _open(tag: str, attributes: str, parent: Element, signs: list[Sign]) -> Element:
+    """A new element; certain signs add to those of the elements around it, good signs of a kind count once."""
+    e = Element(tag, parent, parent.depth + 1, parent.bad, parent.good, parent.marked, parent.named, parent.sign, parent.notice or tag == "noscript")
+    names, found = _names(attributes) if attributes and "=" in attributes or "hidden" in attributes else ([], {})
+    whole = tag in ("form", "fieldset")
+    if tag in BOILERPLATE and not whole or found.get("role", "").lower() in ROLES:
         e.bad += CERTAIN
     elif tag == "header" and not parent.good:  # a page's header; an article's own holds its heading
         e.bad += CERTAIN
-    outer = tag in ("html", "body", "article", "main")
-    if not outer and (words & BAD_WORDS or WHOLE_NAMES & set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())):
-        e.bad += CERTAIN
-    elif words & GOOD_WORDS and tag not in ("html", "body"):
+    outer = tag in ("html", "body", "main") or tag == "article" and not parent.marked
+    said = {_kind(n, tag in PIECES) for n in names}
+    article = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+    if article and not parent.marked and not (e.sign and e.sign.firm):
+        e.sign = None  # the article inside a wrapper, whatever that is called
+    if whole or "comment" in said and tag not in ("html", "body", "main") or not outer and "bad" in said:
+        e.sign = Sign(e.sign, not outer and ("comment" in said or any(len(n) == 1 and n[0] in FIRM_NAMES for n in names)))
+        signs.append(e.sign)
+    elif tag not in ("html", "body") and any(set(n) & GOOD_WORDS for n in names):
         e.good += 0.0 if e.named else PLAIN
         e.named = True
-    elif not outer and words & VAGUE_WORDS:
+    elif not outer and "vague" in said:
         e.bad += PLAIN
-    if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
+    if article:
         e.good += 0.0 if e.marked else STRONG
         e.marked = True
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
@@ -102,6 +156,22 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     return e
 
 
+def _weigh(found: list[Block], signs: list[Sign]) -> None:
+    """Decide which signs hold: one whose element has more than half of the page's paragraphs is a wrapper's, if it is not firm."""
+    total = 0
+    for b in found:
+        if b.element.bad < CERTAIN and b.text.count(" ") >= 11:
+            n = max(0, len(b.text) - 2 * b.linked)
+            total += n
+            if b.element.sign:
+                b.element.sign.mass += n
+    for s in reversed(signs):  # what is inside comes after what is around it
+        if s.around:
+            s.around.mass += s.mass
+    for s in signs:
+        s.holds = s.firm or 2 * s.mass <= total or (s.around is not None and s.around.holds)
+
+
 class _Ends:
     """Where opaque elements of one page end; each end tag is searched for once, so that hostile pages take linear time."""
 
@@ -151,6 +221,7 @@ class _Ends:
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; a block ends where a block element begins or ends."""
+    signs: list[Sign] = []
     root = Element("", None, 0)
     here, out = root, []
     text: list[str] = []
@@ -207,10 +278,11 @@ def blocks(page: str) -> list[Block]:
         while here.parent is not None and (here.tag in CLOSES.get(tag, ()) or (here.tag == "p" and tag not in INLINE)):
             opened[here.tag] -= 1
             here = here.parent
-        here = _open(tag, m[3] or "", here)
+        here = _open(tag, m[3] or "", here, signs)
         opened[tag] += 1
     add(page[at:])
     flush()
+    _weigh(out, signs)
     return out
 
 
@@ -220,6 +292,8 @@ def _costs(b: Block) -> None:
     share = b.linked / n
     b.boilerplate = b.element.good  # paid when content is called boilerplate
     b.content = b.element.bad  # paid when boilerplate is called content
+    if b.element.sign and b.element.sign.holds or b.element.notice and _NOTICE.search(b.text):
+        b.content += CERTAIN
     if share > 0.5:
         b.content += PLAIN + (STRONG if not b.element.good else 0.0)
     if words >= 12:
