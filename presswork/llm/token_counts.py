@@ -27,6 +27,8 @@ from presswork.session import bound_batches
 LIMIT = 1024
 #: Units of text whose prefix counts a worker keeps (about 30 bytes each), and entries of its dictionaries, before they are emptied.
 CACHE, ENTRIES = 2_000_000, 400_000
+#: Bytes of kept pieces, about; what one call brings may go beyond it until the next.
+PIECE_BYTES = 64 << 20
 #: Bytes by whose tokens the search for a last token is narrowed.
 SUFFIX = 4
 #: Bytes of a unit beyond which its text is not looked up by hash.
@@ -70,6 +72,7 @@ class PrefixCounter:
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.fits: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         self.units = Kept(np.int8, CACHE)
         self.runs = {a + b: self._of(a + b) - self._of(a) for a in " \n" for b in " \n"}
 
@@ -138,8 +141,11 @@ class PrefixCounter:
 
     def _learn(self, pieces: set[str]) -> None:
         """Keep the steps of new pieces: by how much each character changes the token count."""
-        if len(self.pieces) + len(pieces) > ENTRIES:
+        size = sum(5 * len(p) + 150 for p in pieces)  # of strings of up to four bytes a character, steps and the entry
+        if len(self.pieces) + len(pieces) > ENTRIES or self.held + size > PIECE_BYTES:
             self.pieces.clear()
+            self.held = 0
+        self.held += size
         raw = sorted((p.encode(), p) for p in pieces)
         for (b, piece), counted in zip(raw, self.prefix_counts([b for b, _ in raw]), strict=True):
             if piece[0] == "'" and len(piece) > 2:  # a contraction cut short is a quote and letters

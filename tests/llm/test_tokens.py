@@ -43,6 +43,14 @@ def test_long_pieces(bpe):
         assert counter.total(t) == count(t)
 
 
+def test_kept_pieces_are_bounded_by_bytes(bpe, monkeypatch):
+    (counter, _), rng = bpe, random.Random(1)
+    monkeypatch.setattr(token_counts, "PIECE_BYTES", 1 << 20)
+    for _ in range(12):  # runs of letters that are each one piece
+        counter.steps_of("".join(rng.choices("abcdefgh", k=60_000)))
+    assert sum(map(len, counter.pieces)) <= 4 * 60_000
+
+
 def test_count_rows(spark, bpe):
     _, count = bpe
     rows = [(i, t) for i, t in enumerate([None, "", "word " * 3000, *texts(40, 30, 2)])] + [(None, "x"), (1, "y"), (1, "y")]
