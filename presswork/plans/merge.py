@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from presswork.operators import merge, monitor
 from presswork.plans.registry import Registry
-from presswork.session import scratch, table
-from presswork.sources import files
+from presswork.session import discard, scratch, settle, table
+from presswork.sources import files, keyed
 
 R = Registry()
 
@@ -187,6 +187,39 @@ def upsert(spark, d):
     return merge.upsert(target, rows.where(INCOMING).drop("o_orderstatus"), key, "o_orderkey")
 
 
+KEPT = f"""WITH t AS (SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey FROM orders WHERE {STORED} GROUP BY 1, 2), n AS (SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, min(o_orderkey) AS lowest FROM orders WHERE {INCOMING} GROUP BY 1, 2)"""
+
+
+def _written(spark, d, write):
+    """A table written by key from the stored rows, then twice with the incoming ones, as read again."""
+    rows, path = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus"), scratch(spark, "keyed")
+    stored = keyed.KeyedTable(spark, path, ["o_custkey", "o_orderpriority"], parts=8)
+    stored.upsert(rows.where(STORED).drop("o_orderstatus"), "o_orderkey")
+    for _ in range(2):
+        write(stored, rows.where(INCOMING).drop("o_orderstatus"))
+    out = settle(stored.read(), "written")
+    discard(spark, path)
+    return out
+
+
+@R.add("s9_persisted_upsert", f"{KEPT} SELECT o_custkey, o_orderpriority, o_orderkey FROM n UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.o_custkey = t.o_custkey AND n.o_orderpriority = t.o_orderpriority)")
+def persisted_upsert(spark, d):
+    """An upsert that rewrites the touched partitions of a stored table, and is repeated."""
+    return _written(spark, d, lambda t, rows: t.upsert(rows, "o_orderkey"))
+
+
+@R.add("s10_persisted_append", f"{KEPT} SELECT * FROM t UNION ALL SELECT o_custkey, o_orderpriority, lowest FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE n.o_custkey = t.o_custkey AND n.o_orderpriority = t.o_orderpriority)")
+def persisted_append(spark, d):
+    """Only missing keys are added to a stored table, and a repeated write adds none."""
+    return _written(spark, d, lambda t, rows: t.append_missing(rows, "o_orderkey"))
+
+
+@R.add("j4_not_found_among_some", "SELECT DISTINCT user_id::VARCHAR AS source_id, 'not_found' AS reason FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def not_found_among_some(spark, d):
+    read = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    return monitor.missing_ids(table(spark, d, "events").select(F.col("user_id").alias("id")), read)
+
+
 @R.add("s11_first_assignment_tally", f"""WITH i AS (SELECT DISTINCT o_custkey FROM orders WHERE {INCOMING}), t AS (SELECT DISTINCT o_custkey FROM orders WHERE {STORED})
 SELECT count(*) FILTER (o_custkey NOT IN (SELECT o_custkey FROM t)) AS inserted, count(*) FILTER (o_custkey IN (SELECT o_custkey FROM t)) AS preserved FROM i""")
 def first_assignment_tally(spark, d):

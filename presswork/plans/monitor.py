@@ -263,6 +263,26 @@ def row_isolated_labels(spark, d):
     return labelling.RowLabeller("capitals", _first_letters).label(rows)
 
 
+class VowelLabeller:
+    """A labeller of its own kind: all that the contract asks for is a name and ``label``."""
+
+    name = "vowels"
+
+    def label(self, df):
+        share = F.regexp_count("text", F.lit("[aeiou]")) / F.greatest(F.length("text"), F.lit(1))
+        return df.select("id", F.when(share > 0.3, "positive").otherwise("negative").alias("label"), F.round(share, 3).alias("confidence"), F.lit(None).cast("string").alias("error"))
+
+
+VOWELS = "(length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) / greatest(length(text), 1)::DOUBLE"
+
+
+@R.add("f1_labeller_contract", f"SELECT doc_id AS article_id, CASE WHEN {VOWELS} > 0.3 THEN 'positive' ELSE 'negative' END AS label, round({VOWELS}, 3) AS confidence, 'vowels' AS method, NULL::VARCHAR AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def labeller_contract(spark, d):
+    """A stage runs any object with a name and ``label``."""
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.lit("vowels").alias("method"))
+    return labelling.run_stage(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), done, VowelLabeller()).withColumn("error", F.col("error").cast("string"))
+
+
 @R.add("m5_fallback_labels", f"SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN CASE WHEN n_chars >= 500 THEN 'neutral' END WHEN {LETTERS} > 50 THEN 'positive' ELSE 'neutral' END AS label, CASE WHEN lang = 'fr' THEN CASE WHEN n_chars >= 500 THEN 0.5 END ELSE {LETTERS} / 1000 END AS confidence, CASE WHEN lang <> 'fr' THEN 'capitals' WHEN n_chars >= 500 THEN 'length_rule' END AS method, CASE WHEN lang = 'fr' AND n_chars < 500 THEN 'no label' END AS error FROM documents")
 def fallback_labels(spark, d):
     """The first labeller fails on French rows (it gets no text); the rule after it knows long ones only."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from presswork.functions import text
 from presswork.operators import search
 from presswork.plans.registry import Registry
-from presswork.session import table
-from presswork.sources import threads
+from presswork.session import discard, scratch, settle, table
+from presswork.sources import text_index, threads
 
 R = Registry()
 WS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -64,6 +64,17 @@ def keyword_search(spark, d):
     return search.apply_filters(articles(spark, d), {"q": "License"}).select("id", "title", "snippet")
 
 
+@R.add("p5_indexed_search", f"{ARTICLES} SELECT id, title, {snippet_sql('clean_content', Q)} AS snippet FROM a WHERE contains(lower(clean_content), '{Q}') OR contains(lower(title), '{Q}')")
+def indexed_search(spark, d):
+    """The same search over a stored table, of which the index leaves some blocks to be read."""
+    path = scratch(spark, "index")
+    text_index.build(articles(spark, d).select("id", "title", "clean_content"), path, ("title", "clean_content"), "id", block_rows=16, part_blocks=4)
+    found = text_index.search(spark, path, "License", ("title", "clean_content"), part_blocks=4)
+    out = settle(found.select("id", "title", text.snippet("clean_content", Q).alias("snippet")), "found")
+    discard(spark, path)
+    return out
+
+
 COMMENTS = "c AS (SELECT conv_id || ':' || turn AS comment_id, conv_id AS article_id, text AS body_text, turn AS n, role = 'user' AS screened, contains(text, 'http') AS quarantined FROM conversations)"
 
 
