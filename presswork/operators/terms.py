@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ class Matcher:
     """Finds all terms in one pass. Each term counts without overlapping itself; different terms may overlap."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
+        import ahocorasick  # needed by this class only
+
         self.places: list[int] = []
         terms: dict[str, list[int]] = defaultdict(list)
         for place, term in rows:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.text import collapse, lenient_int, parse_utc
 from presswork.operators.merge import pick
+from presswork.session import settle
 
 IMPORT_COLUMNS = ("type", "id", "post_id", "subreddit", "specific_subreddit", "title", "text", "created_utc", "score", "num_comments", "stakeholder_group")
 EXPORT_COLUMNS = ("id", "title", "url", "source", "published_date", "source_type", "stakeholder", ("topic_id", "stable_topic_id"), "topic", "sentiment", "stance")
@@ -42,18 +43,24 @@ def _cp1252(c: Column) -> Column:
 
 
 def read_labelled(spark: SparkSession, path: str, required: Sequence[str] = ("article_id", "human_stance")) -> DataFrame:
-    """A filled-in label file with a ``line`` number: ; or , by the header, UTF-8 with or without mark, else cp1252 (plain CSV of a spreadsheet)."""
+    """Filled-in label files with a ``line`` number that runs from 1 through all files in the order of their names (a row of several lines counts once): ; or , by the header, UTF-8 with or without mark, else cp1252 (plain CSV of a spreadsheet)."""
     head = spark.read.text(path).limit(1).first()
     header = head[0] if head else ""
     valid = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
     sep = ";" if header.count(";") > header.count(",") else ","
     rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', encoding="UTF-8" if valid else "ISO-8859-1")
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    plain = [c.lstrip("﻿") for c in rows.columns]
+    # a file of quoted cells with line breaks is read by one task, so the numbers grow along it
+    rows = rows.select("*", F.col("_metadata.file_path"), F.monotonically_increasing_id()).toDF(*plain, "__file", "__place")
     if not valid:
-        rows = rows.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in rows.columns])
+        rows = rows.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in plain], "__file", "__place")
     if missing := sorted(set(required) - set(rows.columns)):
         raise ValueError(f"{path} has no {' or '.join(missing)} column")
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    rows = settle(rows, "labelled")
+    first = rows.groupBy(F.col("__file").alias("__of")).agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over a row for each file
+    first = first.select("__of", "__first", before.alias("__before"))
+    return rows.join(first, F.col("__file") == F.col("__of")).select(*[f"`{c}`" for c in plain], (F.col("__place") - F.col("__first") + 1 + F.col("__before")).alias("line"))
 
 
 def safe_cell(value: str | Column) -> Column:

@@ -124,3 +124,11 @@ def test_stream_labels_once(spark, tmp_path):
         label_stream(spark, landed, "id long, text string", results, str(tmp_path / "ckpt"), rule).awaitTermination()
         spark.createDataFrame([(2, "b"), (3, "c")], "id long, text string").write.mode("append").parquet(landed)
     assert sorted(r["article_id"] for r in spark.read.parquet(results).collect()) == [1, 2, 3]
+
+
+def test_labelled_lines_are_numbered_through_all_files(spark, tmp_path):
+    for name, ids in (("b", range(30, 40)), ("a", range(25))):
+        body = "".join(f'{i};favor;"two\r\nlines {i}"\r\n' for i in ids)
+        (tmp_path / f"{name}.csv").write_bytes("﻿article_id;human_stance;note\r\n".encode() + body.encode())
+    got = sorted((r["line"], r["article_id"]) for r in files.read_labelled(spark, str(tmp_path)).collect())
+    assert got == [(n + 1, str(i)) for n, i in enumerate([*range(25), *range(30, 40)])]
