@@ -284,17 +284,22 @@ def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     Rows where ``held_out`` is true are not learned from. ``base_score`` is the
     add-one unigram score of the words and the end; ``score`` the model's log10
     probability of the text in token form. NULL counts as the empty text, whose
-    one token is the end. Whole texts are coded, however long: a text longer than
-    a block is a block of its own. Repeated rows are scored each and learned from
+    one token is the end. Whole texts are coded, however long. Texts of more than
+    an eighth of a block lie in blocks apart, of which there are four for each
+    such text, so that few meet; the others fill blocks of about ``block_bytes``
+    by their hash. Repeated rows are scored each and learned from
     each (they meet in one block, where they are kept once with their number).
     With nothing to learn from every symbol has probability 1/256. Only the
     columns that are named are read; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("train")).first()
-    blocks, train_docs = max(1, -(-(size["bytes"] or 0) // block_bytes)), size["train"]
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long")).repartition("block")
+    n, long = F.octet_length("text"), F.octet_length("text") > block_bytes // 8
+    size = docs.agg(F.sum(F.when(~long, n)).alias("bytes"), F.count_if(long).alias("long"), F.count_if(~F.col("held")).alias("train")).first()
+    short, train_docs = max(1, -(-(size["bytes"] or 0) // block_bytes)), size["train"]
+    blocks = short + 4 * size["long"]
+    own = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks - short))) + short
+    placed = docs.withColumn("block", F.when(long, own).otherwise(F.pmod(F.xxhash64("id", "text"), F.lit(short))).cast("long")).repartition("block")
     placed = placed.groupBy("block", "id", "text", "held").agg(F.count("*").alias("times"))  # stays where it is
     answers = _answers(placed, -(-blocks // SLAB))
 
