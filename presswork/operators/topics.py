@@ -6,8 +6,10 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from presswork.operators.components import components
+from presswork.operators.nearest import DECIMALS, Points, search, unit
 from presswork.operators.search import numbered
 from presswork.session import settle
 
@@ -28,23 +30,33 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
     return ordered.select(F.col(label).alias("topic_id"), F.transform("p", lambda s: s["v"]).alias("centroid"))
 
 
-def assign(vectors: DataFrame, model: DataFrame, threshold: float = 0.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The nearest topic by cosine, or OUTLIER below the threshold; never trains.
+def assign(vectors: DataFrame, model: DataFrame, threshold: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", counted: bool = False) -> DataFrame:
+    """The nearest topic by cosine (6 decimals), or OUTLIER below the threshold; never trains.
 
     model: one row per topic (topic_id, centroid). It is the stated query set and
     travels to the vectors in blocks of at most MODEL_BLOCK topics; ties go to the
-    lower topic id.
+    lower topic id. Topics lie in groups round pivots, and groups that cannot hold a
+    nearer one are passed over (``nearest``); ``counted`` adds ``compared``, the
+    topics and pivots that a row was held against. Rows stay where they lie.
+    Vectors without a direction (NULL, empty, all 0, NULL or non-finite components,
+    or another size than the model's) are OUTLIER with a NULL similarity; such
+    centroids are never nearest. An empty model leaves only outliers.
     """
-    blocks = max(1, -(-model.count() // MODEL_BLOCK))
-    norm = lambda v: F.sqrt(_product(v, v))
-    out = vectors.select(id_col, vector)
+    size, count = model.agg(F.max(F.size("centroid")), F.count("*")).first()
+    size, blocks = max(size or 0, 0), max(1, -(-count // MODEL_BLOCK))
+    placed = model.select(F.col("topic_id").cast("long").alias("topic_id"), F.col("centroid").cast("array<double>").alias("centroid"))
+    schema = StructType([vectors.schema[id_col], StructField(vector, ArrayType(DoubleType()))]).add("similarity", "double").add("topic_id", "long").add("compared", "long")
+    out = vectors.select(id_col, F.col(vector).cast("array<double>").alias(vector), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("topic_id"), F.lit(0).cast("long").alias("compared"))
     for i in range(blocks):
-        part = model.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == i)
-        topics = part.agg(F.array_sort(F.collect_list(F.struct("topic_id", "centroid"))).alias("topics"))  # a block
-        similar = F.transform("topics", lambda t: F.struct(F.round(_product(F.col(vector), t["centroid"]) / (norm(F.col(vector)) * norm(t["centroid"])), 6).alias("similarity"), (-t["topic_id"]).alias("order")))
-        out = out.crossJoin(F.broadcast(topics)).withColumn(f"__b{i}", F.array_max(similar)).drop("topics")
-    best = F.array_max(F.array(*[f"__b{i}" for i in range(blocks)]))
-    return out.select(id_col, F.when(best["similarity"] >= threshold, -best["order"]).otherwise(OUTLIER).cast("int").alias("topic_id"), best["similarity"].alias("similarity"))
+        block = placed.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == i).toArrow()  # a block
+        ids, centroids = block["topic_id"].to_numpy(), unit(block["centroid"].combine_chunks(), size)
+
+        def run(batches, ids=ids, centroids=centroids):
+            return search(batches, Points(ids, centroids), size)
+
+        out = out.mapInArrow(run, schema)
+    topic = F.when(F.col("similarity") >= threshold, F.col("topic_id")).otherwise(OUTLIER).cast("int")
+    return out.select(id_col, topic.alias("topic_id"), F.round("similarity", DECIMALS).alias("similarity"), *(["compared"] if counted else []))
 
 
 def _cells(points: DataFrame, width: float, dims: int) -> DataFrame:
