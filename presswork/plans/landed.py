@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.plans.registry import Registry
 from presswork.session import scratch, table
-from presswork.sources import feeds, files, threads
+from presswork.sources import feeds, files, replies, threads
 
 R = Registry()
 EDGES = "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$"
@@ -84,6 +84,14 @@ def fetch_all(spark, d):
     return shaped(feeds.fetch_all(spark, paths, known=feeds.SOURCES | by_line), "fetched_from")
 
 
+@R.add("f2_replies_source", f"SELECT {SHAPE}, 'news_api' AS fetched_from FROM ({NEWS}) UNION ALL SELECT {SHAPE}, 'open_platform' FROM ({OPEN}) UNION ALL SELECT {SHAPE}, 'rss' FROM ({RSS})")
+def replies_source(spark, d):
+    """All three sources through the data source for landed replies."""
+    paths = {"news_api": news(spark, d), "open_platform": platform(spark, d), "rss": feed(spark, d)}
+    found = [feeds.articles(replies.read(spark, path, lines="true"), name).withColumn("fetched_from", F.lit(name)) for name, path in paths.items()]
+    return shaped(functools.reduce(DataFrame.unionByName, found), "fetched_from")
+
+
 @R.add("s7_thread_json", """WITH c AS (SELECT conv_id, turn, text, role = 'user' AS visible FROM conversations)
 SELECT conv_id AS article_id, conv_id || ':' || turn AS comment_id, (SELECT conv_id || ':' || max(p.turn) FROM c p WHERE p.conv_id = c.conv_id AND p.visible AND p.turn < c.turn GROUP BY p.conv_id) AS parent_comment_id, turn::INTEGER AS recommendation_count FROM c WHERE visible""")
 def thread_json(spark, d):

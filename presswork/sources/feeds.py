@@ -24,7 +24,11 @@ def _articles(df: DataFrame, **columns: Column) -> DataFrame:
 
 def news_api(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """JSON replies with an ``articles`` list, a file each or (``lines``) a line each; content falls back to the description, then to ''. Broken replies give no rows."""
-    rows = spark.read.schema(_NEWS).option("multiLine", not lines).json(path).select(F.explode("articles").alias("a")).select("a.*")
+    return _news_articles(spark.read.schema(_NEWS).option("multiLine", not lines).json(path))
+
+
+def _news_articles(replies: DataFrame) -> DataFrame:
+    rows = replies.select(F.explode("articles").alias("a")).select("a.*")
     return _articles(rows, title=F.col("title"), author=F.col("author"), source=F.col("source.name"), url=F.col("url"), published_date=parse_date("publishedAt"), content=F.coalesce("content", "description", F.lit("")))
 
 
@@ -37,13 +41,21 @@ def rss(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
         rows = spark.read.text(path).select(F.from_xml("value", _CHANNEL).alias("c")).select("c.*")
     else:
         rows = spark.read.schema(_CHANNEL).format("xml").option("rowTag", "channel").load(path)
-    items = rows.select(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "link").alias("feed"), F.explode("item").alias("i"))
+    return _feed_articles(rows)
+
+
+def _feed_articles(channels: DataFrame) -> DataFrame:
+    items = channels.select(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "link").alias("feed"), F.explode("item").alias("i"))
     return _articles(items, title=F.col("i.title"), author=F.col("i.author"), source=F.col("feed"), url=F.col("i.link"), published_date=parse_date("i.pubDate"), content=F.coalesce("i.description", F.lit("")))
 
 
 def open_platform(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Open-platform JSON, a reply a file or (``lines``) a line; the discussion key comes from the short address, and an article is commentable if its fields say so at all."""
-    rows = spark.read.schema(_OPEN).option("multiLine", not lines).json(path).select(F.explode("response.results").alias("r")).select("r.*")
+    return _open_articles(spark.read.schema(_OPEN).option("multiLine", not lines).json(path))
+
+
+def _open_articles(replies: DataFrame) -> DataFrame:
+    rows = replies.select(F.explode("response.results").alias("r")).select("r.*")
     fields = F.col("fields")
     get = lambda k: F.try_element_at(fields, F.lit(k))
     return _articles(
@@ -56,6 +68,24 @@ Reader = Callable[[SparkSession, str], DataFrame]
 SOURCES: dict[str, Reader] = {"news_api": news_api, "rss": rss, "open_platform": open_platform}
 
 
+def _parsers() -> dict[str, tuple[Column, Callable[[DataFrame], DataFrame]]]:
+    """What a payload of each source is parsed to, and how articles come out of that."""
+    channel = F.regexp_extract("payload", r"(?s)<channel\b.*</channel>", 0)
+    return {
+        "news_api": (F.from_json("payload", _NEWS), _news_articles),
+        "rss": (F.from_xml(channel, _CHANNEL), _feed_articles),
+        "open_platform": (F.from_json("payload", _OPEN), _open_articles),
+    }
+
+
+def articles(replies: DataFrame, source: str) -> DataFrame:
+    """Articles of a source from replies in a column ``payload``, be it a table or a stream (``replies.read``, ``replies.stream``). Broken and NULL payloads give no rows."""
+    if source not in (known := _parsers()):
+        raise ValueError(f"unknown source: {source}")
+    parsed, shape = known[source]
+    return shape(replies.select(parsed.alias("p")).where("p IS NOT NULL").select("p.*"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a path (or pattern) names anything that Spark can read."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
