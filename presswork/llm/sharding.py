@@ -3,8 +3,9 @@ refined until every splitter is close enough, then one exchange.
 
 The key of a row is (hash of its text, id), so equal texts are neighbours and
 part only where a boundary would fall inside a class of copies that is too large
-to go to one side. Shards are key ranges of near-equal bytes. A shard is cut into
-pieces, so that no task ever holds a whole shard.
+to go to one side. Shards are key ranges of near-equal bytes. They are cut into
+pieces of near-equal numbers of rows, also inside a class of equal texts, so that no
+task ever holds a whole shard, or a class of very many short texts.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from presswork.session import settle, tidy
 TOLERANCE = 0.001
 #: A class of equal texts of up to this share of a shard's bytes is never parted: the boundary goes to its nearer edge.
 PART_SHARE = 0.02
-#: Text bytes of a piece, of which one task sorts the narrow rows; with more than MAX_PIECES pieces they become larger.
-PIECE_BYTES, MAX_PIECES = 256 << 20, 1 << 14
+#: Bytes of a piece's narrow rows, which one task sorts, at ROW_BYTES each; with more than MAX_PIECES pieces they become larger.
+PIECE_BYTES, ROW_BYTES, MAX_PIECES = 256 << 20, 64, 1 << 14
 #: Candidate boundaries put into each open bracket in each round.
 PROBES = 255
-#: Boundaries counted in one round over all brackets (the driver gets at most 32 bytes for each); with very many pieces each bracket gets fewer and rounds become more.
+#: Boundaries counted in one round over all brackets (the driver gets at most 32 bytes for each); with very many targets each bracket gets fewer, or waits for a later round, and rounds become more.
 MAX_PROBES = 1 << 16
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -83,25 +84,28 @@ def _search(rows: DataFrame, column: str, targets: list[int], tolerance: float,
 
     Each round counts up to PROBES cuts in every bracket that is still too wide, all
     in one pass, and narrows the brackets, until the nearest end of each is
-    within the tolerance or no key lies inside it.
+    within the tolerance or no key lies inside it. Never more than MAX_PROBES cuts
+    are counted at once, however many targets there are; of what is known, only
+    the ends of brackets are kept.
     """
     known = {LOW: 0} | _histogram(rows, column, [], within)
     probes = max(1, min(PROBES, MAX_PROBES // max(1, len(targets))))
     while True:
         keys = sorted(known)
         sums = np.array([known[k] for k in keys]) + base
-        out, cuts = [], set()
-        for t in targets:
-            j = max(0, int(np.searchsorted(sums, t, side="right")) - 1)
+        out, cuts, ends = [], set(), {LOW}
+        for t, j in zip(targets, np.searchsorted(sums, np.array(targets), side="right").tolist(), strict=True):
+            j = max(0, j - 1)
             lo, hi = keys[j], keys[min(j + 1, len(keys) - 1)]
+            ends |= {lo, hi}
             near = lo if abs(known[lo] + base - t) <= abs(known[hi] + base - t) else hi
             out.append((near, known[near] + base, lo, known[hi] - known[lo]))
-            if abs(known[near] + base - t) > tolerance and hi - lo > 1:
+            if abs(known[near] + base - t) > tolerance and hi - lo > 1 and len(cuts) + probes <= MAX_PROBES:
                 cuts |= {lo + (hi - lo) * i // (probes + 1) for i in range(1, probes + 1)}
         cuts -= known.keys()
         if not cuts:
             return out
-        known |= _histogram(rows, column, sorted(cuts), within)
+        known = {k: known[k] for k in ends} | _histogram(rows, column, sorted(cuts), within)
 
 
 def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, part_bytes: float = 0) -> list[tuple[int, int]]:
@@ -142,6 +146,20 @@ def place(cuts: list[tuple[int, int]]) -> Callable[[Column, Column], Column]:
     return F.arrow_udf(run, "int")
 
 
+def pieces(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> tuple[list[tuple[int, int]], list[int]]:
+    """Boundaries of all pieces, and the shard of each piece (one more than boundaries).
+
+    Boundaries of shards are splitters by bytes; between them lie splitters by
+    rows, which may part equal texts, as the pieces of a shard are put together again.
+    """
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    by_bytes = splitters(rows, shards, tolerance, PART_SHARE * total / shards)
+    parts = min(-(-count * ROW_BYTES // piece_bytes), MAX_PIECES)
+    by_rows = splitters(rows.withColumn("size", F.lit(1).cast("long")), parts, 0.1) if parts > 1 else []
+    cuts = sorted([(c, 1) for c in by_bytes] + [(c, 0) for c in by_rows])
+    return [c for c, _ in cuts], np.cumsum([0] + [new for _, new in cuts]).tolist()
+
+
 @tidy("shards")
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Shard and place of every row under the law ``bytes``: shards hold near-equal numbers of bytes.
@@ -152,20 +170,19 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     A splitter misses its target by at most ``tolerance`` of a shard, by one row
     where rows are larger than that, or by half a class of equal texts where the
     class has up to PART_SHARE of a shard: such a class lies in one shard. Repeated rows each get a slot, and rows
-    with equal key stay together. Fewer rows than shards leave shards empty; an
+    with equal key stay together, in one task. Fewer rows than shards leave shards empty; an
     empty table gives no rows. No other columns are read.
     """
     rows = settle(sized(docs, id_col, text_col), "sized")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, min(-(-total // (shards * piece_bytes)), MAX_PIECES // shards))
-    cuts = splitters(rows, shards * per_shard, tolerance, PART_SHARE * total / shards)
+    cuts, shard_of = pieces(rows, shards, tolerance, piece_bytes)
     placed = rows.withColumn("piece", place(cuts)("h", "id")).repartition("piece")
     ranked = settle(placed.withColumn("rank", F.row_number().over(Window.partitionBy("piece").orderBy("h", F.asc_nulls_first("id"), "size")) - 1), "ranked")
     # Rows of a shard's earlier pieces come before: a table of one row for each piece.
     counts = ranked.groupBy("piece").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.floor(F.col("piece") / per_shard)).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    known = docs.sparkSession.createDataFrame(list(enumerate(shard_of)), "piece int, shard int")
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(F.broadcast(known), "piece").select("piece", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return ranked.join(F.broadcast(offsets), "piece").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
-        F.floor(F.col("piece") / per_shard).cast("int").alias("shard"), (F.col("rank") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "shard", (F.col("rank") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -24,6 +24,8 @@ from presswork.session import bound_batches, scratch, settle, tidy
 
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
+#: Files at most, as the driver keeps a boundary for each; beyond that they become larger.
+MAX_FILES = 1 << 14
 #: Words whose ids a worker keeps (about 30 bytes each) before it starts anew, and the longest that it keeps.
 CACHE, LONGEST = 1 << 19, 256
 ORC = {
@@ -154,7 +156,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     """Write every document's ids, then ``end_id``, to ORC files at ``path`` in ascending order of id.
 
     Files are in the order of their part numbers, each with about ``file_bytes``
-    of text; a row has the ids, and in ``before`` how many ids its file holds
+    of text, or more where that would be over MAX_FILES files (their stripes are read
+    apart); a row has the ids, and in ``before`` how many ids its file holds
     before it. NULL ids come first; rows with the same id are ordered by text, and
     one id may span files (parted by the first bytes of the texts). A NULL text is empty and leaves only
     the end id; a very long one is a file of its own. Other columns are not read.
@@ -166,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     # The splitters' key: first the id, then the first bytes of the text.
     rows = settle(narrow.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("h"), F.col("th").alias("id"), (F.octet_length("text") + 1).cast("long").alias("size")), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    files = max(1, min(-(-total // file_bytes), MAX_FILES))
     cuts = splitters(rows, files, tolerance=0.02)
     ordered = narrow.withColumn("file", place(cuts)(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("th"))).repartitionById(files, F.col("file"))
     ordered = ordered.select("doc_id", "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.llm import sharding
 
@@ -51,3 +52,38 @@ def test_equal_texts_stay_together(spark):
     for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, tolerance=0.05).collect():
         of[r["text_crc32"]].add(r["shard"])
     assert all(len(s) == 1 for s in of.values())
+
+
+def test_very_many_targets_on_few_rows(spark, monkeypatch):
+    rows = sharding.sized(spark.createDataFrame([(i, "x" * (50 + i % 7)) for i in range(40)], "doc_id long, text string"), "doc_id", "text")
+    rows, asked = rows.cache(), []
+    count = sharding._histogram
+
+    def counted(rows, column, cuts, within=None):
+        asked.append(len(cuts))
+        return count(rows, column, cuts, within)
+
+    monkeypatch.setattr(sharding, "_histogram", counted)
+    cuts = sharding.splitters(rows, 100_000)
+    assert len(cuts) == 99_999 and cuts == sorted(cuts) and max(asked) <= sharding.MAX_PROBES
+    monkeypatch.setattr(sharding, "MAX_PROBES", 8)
+    asked.clear()
+    few = sharding.splitters(rows, 20, tolerance=0.1)
+    assert max(asked) <= 8
+    monkeypatch.setattr(sharding, "MAX_PROBES", 1 << 16)
+    for got, want in zip(few, sharding.splitters(rows, 20, tolerance=0.1), strict=True):  # the same rows on either side
+        below = [rows.where(F.expr(f"h < {h} OR (h = {h} AND id < {i})")).count() for h, i in (got, want)]
+        assert below[0] == below[1]
+
+
+def test_a_class_of_short_texts_is_sorted_in_several_tasks(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.repeat(F.col("id").cast("string"), F.lit(200))).alias("text"))
+    narrow = sharding.sized(rows, "doc_id", "text")
+    cuts, shard_of = sharding.pieces(narrow, 4, piece_bytes=1000 * sharding.ROW_BYTES)
+    held = narrow.withColumn("piece", sharding.place(cuts)("h", "id")).groupBy("piece").agg(F.count("*").alias("n"), F.count_if(F.col("size") == 1).alias("empty")).collect()
+    assert max(r["n"] for r in held) <= 1300 and sum(r["empty"] > 0 for r in held) >= 8
+    assert len({shard_of[r["piece"]] for r in held if r["empty"]}) == 1
+    got = sharding.shard(rows, 4, piece_bytes=1000 * sharding.ROW_BYTES).collect()
+    check([(i, None if i % 2 == 0 else str(i) * 200) for i in range(20_000)], 4, got, 12_000)
+    empty = [r for r in got if r["size"] == 1]
+    assert len(empty) == 10_000 and len({r["shard"] for r in empty}) == 1
