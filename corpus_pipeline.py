@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, rate=MIXED_RATE)
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left as token ids in ORC files; returns a row per document, read from the files."""
-    return token_files.tokenise_to_files(docs, tokenizer("word_bpe_49k.json"), end_id=2)
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All that is left as token ids in ORC files at ``path`` (or a new folder beside the checkpoints); returns a row per document, read from the files."""
+    return token_files.tokenise_to_files(docs, tokenizer("word_bpe_49k.json"), end_id=2, path=path)
 
 
 STAGES = [
@@ -60,9 +62,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Apply the stages to ``documents``; what each stage returns is written and read again, and deleted after its last reader.
 
+    path: where the token files shall lie, for ``token_files.read_tokens``.
+
     Every stage takes NULLs in any column, empty and very long texts, repeated
     rows, empty tables and further columns of any name, and returns the columns
     that it was given; the last returns a row of the token files for each document.
@@ -70,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def after(k: int) -> DataFrame:
         name, stage = STAGES[k]
+        stage = functools.partial(stage, path=path) if path and k == len(STAGES) - 1 else stage
         return tidy(name)(lambda: stage(spark, after(k - 1) if k else table(spark, sf_dir, "documents"), sf_dir))()
 
     return after(len(STAGES) - 1)
