@@ -20,35 +20,35 @@ def day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.date_add(F.lit("2026-01-01").cast("date"), F.pmod("doc_id", F.lit(300)).cast("int")))
 
 
-def landed(rows: DataFrame, tag: str) -> str:
-    """The one text column of ``rows`` as lines of files, and where they lie."""
+def landed(rows: DataFrame, tag: str, packed: str = "none") -> str:
+    """The one text column of ``rows`` as lines of files, ``packed`` as said, and where they lie."""
     path = scratch(rows.sparkSession, tag)
-    rows.write.text(path)
+    rows.write.text(path, compression=packed)
     return path
 
 
-def news(spark, d) -> str:
+def news(spark, d, packed="none") -> str:
     """A reply a line, with one article each; every article of a German document has its text as description."""
     german = F.col("lang") == "de"
     article = F.struct(
         F.col("lang").alias("title"), F.struct(F.col("source").alias("name")).alias("source"), F.concat(F.lit("https://n.example/"), F.col("doc_id")).alias("url"), F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("publishedAt"),
         F.when(~german, F.col("text")).alias("content"), F.when(german, F.col("text")).alias("description"),
     )
-    return landed(day(table(spark, d, "documents")).select(F.to_json(F.struct(F.array(article).alias("articles")))), "news")
+    return landed(day(table(spark, d, "documents")).select(F.to_json(F.struct(F.array(article).alias("articles")))), "news", packed)
 
 
-def platform(spark, d) -> str:
+def platform(spark, d, packed="none") -> str:
     fields = F.map_filter(F.create_map(F.lit("bodyText"), F.col("text"), F.lit("byline"), F.col("source"), F.lit("shortUrl"), F.concat(F.lit("https://o.example/p/x"), F.col("doc_id")), F.lit("commentable"), F.when(F.col("lang") == "en", "true").when(F.col("lang") == "fr", "false")), lambda k, v: v.isNotNull())
     result = F.struct(F.col("lang").alias("webTitle"), F.concat(F.lit("https://o.example/"), F.col("doc_id")).alias("webUrl"), F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("webPublicationDate"), fields.alias("fields"))
-    return landed(day(table(spark, d, "documents")).select(F.to_json(F.struct(F.struct(F.array(result).alias("results")).alias("response")))), "platform")
+    return landed(day(table(spark, d, "documents")).select(F.to_json(F.struct(F.struct(F.array(result).alias("results")).alias("response")))), "platform", packed)
 
 
-def feed(spark, d) -> str:
+def feed(spark, d, packed="none") -> str:
     """A channel a line; French documents' channels have no title."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("&#10;"))
     item = F.concat(F.lit("<item><title>"), F.col("lang"), F.lit("</title><link>https://r.example/"), F.col("doc_id"), F.lit("</link><pubDate>"), F.date_format("day", "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT</pubDate><description>"), escaped(F.col("text")), F.lit("</description></item>"))
     channel = F.concat(F.lit("<channel>"), F.when(F.col("lang") != "fr", F.concat(F.lit("<title>"), F.col("source"), F.lit("</title>"))).otherwise(""), F.lit("<link>https://r.example/</link>"), item, F.lit("</channel>"))
-    return landed(day(table(spark, d, "documents")).select(channel), "feed")
+    return landed(day(table(spark, d, "documents")).select(channel), "feed", packed)
 
 
 SHAPE = "title, author, source, url, strftime(day, '%Y-%m-%d') AS day, content, discussion_key, commentable"
@@ -86,8 +86,8 @@ def fetch_all(spark, d):
 
 @R.add("f2_replies_source", f"SELECT {SHAPE}, 'news_api' AS fetched_from FROM ({NEWS}) UNION ALL SELECT {SHAPE}, 'open_platform' FROM ({OPEN}) UNION ALL SELECT {SHAPE}, 'rss' FROM ({RSS})")
 def replies_source(spark, d):
-    """All three sources through the data source for landed replies."""
-    paths = {"news_api": news(spark, d), "open_platform": platform(spark, d), "rss": feed(spark, d)}
+    """All three sources, packed as they are sent, through the data source for landed replies."""
+    paths = {"news_api": news(spark, d, "gzip"), "open_platform": platform(spark, d, "gzip"), "rss": feed(spark, d, "gzip")}
     found = [feeds.articles(replies.read(spark, path, lines="true"), name).withColumn("fetched_from", F.lit(name)) for name, path in paths.items()]
     return shaped(functools.reduce(DataFrame.unionByName, found), "fetched_from")
 
