@@ -6,8 +6,8 @@ neighbours in that order; within a window all distances are taken. The k
 nearest of all windows give a graph whose links weigh the mutual reachability:
 the greatest of the distance and of both ends' distances to their k-th
 neighbour. Boruvka rounds find its minimum spanning forest. Thresholds on that
-forest give nested components at a number of density levels, all found in one
-run, and of nested clusters those with the greatest stability are kept.
+forest give nested components at a number of density levels, read off the
+rounds, and of nested clusters those with the greatest stability are kept.
 No window, level or component is gathered into one task.
 """
 
@@ -16,12 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.components import components
 from presswork.operators.search import numbered
 from presswork.session import bound_batches, settle, tidy
 
@@ -36,13 +34,17 @@ OUTLIER = -1
 
 def unit_nodes(vectors: DataFrame, vector: str) -> DataFrame:
     """(v, weight, node): the distinct vectors of unit length with the number of rows of each, numbered from 0."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    fit = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-300)))
-    distinct = vectors.where(fit).select(F.col(vector).alias("raw"), unit.alias("v")).groupBy("raw", "v").agg(F.count("*").alias("weight"))
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    fit = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(doubles(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def unit(c: str) -> Column:
+        length = F.sqrt(F.aggregate(doubles(c), F.lit(0.0), lambda s, x: s + x * x))
+        return F.get(F.transform(F.array(length), lambda n: F.transform(doubles(c), lambda x: x / F.greatest(n, F.lit(1e-300)))), F.lit(0))
+
+    distinct = vectors.where(fit).groupBy(F.col(vector).alias("raw")).agg(F.count("*").alias("weight"))
     # any order will do for the numbers
-    return settle(numbered(distinct.withColumn("h", F.xxhash64("raw")), F.col("h"), F.col("raw")).select("raw", "v", "weight", (F.col("position") - 1).alias("node")), "nodes")
+    placed = numbered(distinct.withColumn("h", F.xxhash64("raw")), F.col("h"), F.col("raw"))
+    return settle(placed.select("raw", unit("raw").alias("v"), "weight", (F.col("position") - 1).alias("node")), "nodes")
 
 
 def _ordered(seed: int) -> object:
@@ -71,20 +73,60 @@ def _ordered(seed: int) -> object:
     return work
 
 
+def _least(far: np.ndarray, n: int) -> np.ndarray:
+    """The n least of each row in ascending order, of equal ones the first, as a whole stable sort gives them."""
+    if n < 1 or n >= far.shape[1]:
+        return np.argsort(far, axis=1, kind="stable")[:, :n]
+    bound = np.partition(far, n - 1, axis=1)[:, n - 1 : n]
+    picked = far <= bound
+    out = np.empty((len(far), n), np.int64)
+    tied = picked.sum(axis=1) > n  # equal to the last one
+    some = np.nonzero(picked[~tied])[1].reshape(-1, n)  # in the order of columns
+    out[~tied] = np.take_along_axis(some, np.argsort(np.take_along_axis(far[~tied], some, axis=1), axis=1, kind="stable"), axis=1)
+    out[tied] = np.argsort(far[tied], axis=1, kind="stable")[:, :n]
+    return out
+
+
+def _lists(sizes: np.ndarray, far: np.ndarray, to: np.ndarray, weight: np.ndarray) -> pa.Array:
+    inside = pa.StructArray.from_arrays([pa.array(far), pa.array(to), pa.array(weight)], names=["far", "to", "weight"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), inside)
+
+
 def _nearest(k: int) -> object:
     """For every node of a window its k nearest others in it."""
 
-    def work(window: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in window.groupby("d"):
-            x, node, weight = np.stack(part["v"].to_numpy()), part["node"].to_numpy(), part["weight"].to_numpy()
+    def work(window: pa.Table) -> pa.Table:
+        window = window.combine_chunks()
+        nodes, weights, lengths = (window.column(c).to_numpy() for c in ("node", "weight", "d"))
+        vectors = window.column("v").chunk(0)
+        start, flat, out = vectors.offsets.to_numpy()[:-1], vectors.values.to_numpy(), []
+        for d in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == d)
+            x, node, weight = flat[start[at][:, None] + np.arange(d)], nodes[at], weights[at]
             far = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
             np.fill_diagonal(far, np.inf)
             n = min(k, len(x) - 1)
-            near = np.argsort(far, axis=1, kind="stable")[:, :n]
-            for i in range(len(x)):
-                out.append((node[i], [{"far": float(far[i, j]), "to": int(node[j]), "weight": int(weight[j])} for j in near[i]]))
-        return pd.DataFrame(out, columns=["node", "near"])
+            near = _least(far, n)
+            out.append(pa.Table.from_arrays([pa.array(node), _lists(np.full(len(x), n), np.take_along_axis(far, near, axis=1).ravel(), node[near].ravel(), weight[near].ravel())], names=["node", "near"]))
+        return pa.concat_tables(out)
+
+    return work
+
+
+def _first(k: int) -> object:
+    """The k nearest of a node's lists. A pair may have been met in several windows, with distances that differ in the last bits: the least counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column("all")
+            row = np.repeat(np.arange(b.num_rows), np.diff(every.offsets.to_numpy()))
+            far, to, weight = (every.flatten().field(c).to_numpy() for c in ("far", "to", "weight"))
+            order = np.lexsort((far, to, row))
+            order = order[np.flatnonzero((np.diff(row[order], prepend=-1) != 0) | (np.diff(to[order], prepend=-1) != 0))]
+            order = order[np.lexsort((to[order], far[order], row[order]))]
+            begins = np.searchsorted(row[order], np.arange(b.num_rows))
+            order = order[np.arange(len(order)) - begins[row[order]] < k]
+            yield pa.RecordBatch.from_arrays([b.column("node"), _lists(np.bincount(row[order], minlength=b.num_rows), far[order], to[order], weight[order])], names=["node", "near"])
 
     return work
 
@@ -97,11 +139,9 @@ def neighbours(nodes: DataFrame, k: int, seed: int = 7) -> DataFrame:
     placed = numbered(dealt, F.col("o"), F.col("d"), F.col("code"), F.col("along"), F.col("node"))
     windows = placed.withColumn("w", F.floor((F.col("position") - 1) / WINDOW))
     near = "array<struct<far: double, to: bigint, weight: bigint>>"
-    lists = windows.select("o", "w", "d", "node", "weight", "v").groupBy("o", "w").applyInPandas(_nearest(k), f"node long, near {near}")
+    lists = windows.select("o", "w", "d", "node", "weight", "v").groupBy("o", "w").applyInArrow(_nearest(k), f"node long, near {near}")
     merged = lists.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("all"))  # ORDERS lists of at most k
-    # a pair may have been met in several windows, with distances that differ in the last bits
-    first = F.aggregate(F.array_sort("all"), F.array().cast(near), lambda s, x: F.when((F.size(s) < k) & ~F.exists(s, lambda y: y["to"] == x["to"]), F.concat(s, F.array(x))).otherwise(s))
-    return settle(merged.select("node", first.alias("near")).join(nodes.select("node", "weight"), "node"), "near")
+    return settle(merged.mapInArrow(_first(k), f"node long, near {near}").join(nodes.select("node", "weight"), "node"), "near")
 
 
 def reachability(near: DataFrame, k: int) -> DataFrame:
@@ -115,6 +155,21 @@ def reachability(near: DataFrame, k: int) -> DataFrame:
     return settle(links.select("a", "b", F.greatest("far", "ca", "cb").alias("w")), "links")
 
 
+def _roots(least: DataFrame) -> DataFrame:
+    """(x, root) where every x points to a y, and only pairs that point at each other close a circle: its lesser end is the root of all that leads there.
+
+    Paths are halved until none is left to shorten.
+    """
+    ahead = lambda t: t.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    turned = F.when((F.col("z") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y"))
+    at = settle(least.join(ahead(least), "y").select("x", turned.alias("y")), "roots")
+    while True:
+        moved = settle(at.join(ahead(at), "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")), "roots")
+        at = moved.select("x", "y")
+        if moved.where("moved").isEmpty():
+            return at.withColumnRenamed("y", "root")
+
+
 def spanning_forest(links: DataFrame) -> DataFrame:
     """The links (a, b, w) of a minimum spanning forest, by Boruvka's rounds; ties go by the ends, so the forest is unique.
 
@@ -122,21 +177,32 @@ def spanning_forest(links: DataFrame) -> DataFrame:
     is joined becomes one component: at least half of those that have a link
     are gone afterwards. Parallel links between components are reduced to the least.
     """
-    left, taken = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("link")).where("x <> y"), []
-    left = settle(left, "left")
+    return _grown(links)[0]
+
+
+def _grown(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forest, and (node, up): round by round the weight of the least link of the node's component, and the component that it became part of."""
+    left = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("link")).where("x <> y")
+    left, taken, rounds = settle(left, "left"), [], []
     while not left.isEmpty():
         both = left.union(left.select("y", "x", "link"))
         least = settle(both.groupBy("x").agg(F.min(F.struct("link", "y")).alias("m")).select("x", "m.y", "m.link"), "least")
         taken.append(least.select("link").distinct())
-        joined = components(least.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("component", "c")
-        moved = left.join(joined.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(joined.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y").where("cx <> cy")
+        joined = _roots(least.select("x", "y"))
+        rounds.append(least.select("x", F.col("link.w").alias("w")).join(joined, "x"))
+        moved = left.join(joined.select("x", F.col("root").alias("cx")), "x").join(joined.select(F.col("x").alias("y"), F.col("root").alias("cy")), "y").where("cx <> cy")
         left = settle(moved.groupBy(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).agg(F.min("link").alias("link")), "left")
+    step = F.array(F.struct("w", F.col("root").alias("c")))
+    up = links.where("false").select(F.col("a").alias("node"), F.array(F.struct("w", F.col("a").alias("c"))).alias("up"))
     if not taken:
-        return links.where("false")
+        return links.where("false"), up
+    for r in reversed(rounds):  # the last has the fewest components
+        above = up.select(F.col("node").alias("root"), F.col("up").alias("above"))
+        up = settle(r.join(above, "root", "left").select(F.col("x").alias("node"), F.when(F.col("above").isNull(), step).otherwise(F.concat(step, "above")).alias("up")), "up")
     out = taken[0]
     for t in taken[1:]:
         out = out.union(t)
-    return settle(out.distinct().select("link.a", "link.b", "link.w"), "forest")
+    return settle(out.distinct().select("link.a", "link.b", "link.w"), "forest"), up
 
 
 def _levels(forest: DataFrame) -> list[float]:
@@ -146,14 +212,22 @@ def _levels(forest: DataFrame) -> list[float]:
     return sorted({max(x, 1e-9) for x in found})
 
 
-def _members(forest: DataFrame, nodes: DataFrame, levels: list[float], n: int) -> DataFrame:
-    """(level, node, c, weight): the component of every node at every level; c is its least node."""
-    at = F.lit([float(x) for x in levels])
-    inside = forest.select("a", "b", F.explode(F.filter(F.transform(at, lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda s: s["e"] >= F.col("w"))).alias("s"))
-    key = lambda c: F.col("s.i").cast("long") * n + F.col(c)
-    joined = components(inside.select(key("a").alias("a"), key("b").alias("b")))
-    joined = joined.select(F.floor(F.col("node") / n).cast("int").alias("level"), (F.col("node") % n).alias("node"), (F.col("component") % n).alias("c"))
-    return settle(joined.join(nodes.select("node", "weight"), "node"), "members")
+def _members(up: DataFrame, nodes: DataFrame, levels: list[float]) -> DataFrame:
+    """(level, node, c, weight): the component of every node at every level; c is its least node. Nodes without links at a level are left out there.
+
+    The way up through the rounds has the same greatest link between two nodes
+    as the forest, so a node goes up as far as a level's threshold lets it, and
+    nodes that stop at the same place are one component.
+    """
+    start = F.struct(F.lit(None).cast("long").alias("c"), F.lit(True).alias("on"))
+
+    def top(e: Column) -> Column:
+        return F.aggregate("up", start, lambda s, x: F.when(s["on"] & (x["w"] <= e), F.struct(x["c"].alias("c"), F.lit(True).alias("on"))).otherwise(F.struct(s["c"].alias("c"), F.lit(False).alias("on"))))["c"]
+
+    tops = F.filter(F.transform(F.lit([float(x) for x in levels]), lambda e, i: F.struct(i.alias("level"), top(e).alias("top"))), lambda s: s["top"].isNotNull())
+    inside = settle(up.join(nodes.select("node", "weight"), "node").select("node", "weight", F.explode(tops).alias("s")).select("s.level", "s.top", "node", "weight"), "inside")
+    least = inside.groupBy("level", "top").agg(F.min("node").alias("c"))
+    return settle(inside.join(least, ["level", "top"]).select("level", "node", "c", "weight"), "members")
 
 
 def _stable(members: DataFrame, levels: list[float], min_size: int) -> DataFrame:
@@ -225,12 +299,11 @@ def discover(vectors: DataFrame, min_size: int = 10, k: int = 10, id_col: str =
     Equal vectors share their topic. Fewer than ten rows with vectors are refused.
     """
     nodes = unit_nodes(vectors, vector)
-    rows, n = nodes.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
-    if rows < 10:
+    if nodes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] < 10:
         raise ValueError("topic discovery needs at least 10 documents")
-    forest = spanning_forest(reachability(neighbours(nodes, k), k))
+    forest, up = _grown(reachability(neighbours(nodes, k), k))
     levels = _levels(forest) or [1e-9]
-    members = _members(forest, nodes, levels, n)
+    members = _members(up, nodes, levels)
     # a node without links at a level is a component of its own; copies may be many enough to be a topic
     alone = nodes.where(F.col("weight") >= min_size).select("node", "weight", F.explode(F.lit(list(range(len(levels))))).alias("level"))
     alone = alone.join(members.select("level", "node"), ["level", "node"], "left_anti").select("level", "node", F.col("node").alias("c"), "weight")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.session import bound_batches, settle
@@ -33,13 +33,41 @@ def buckets(text: str | Column, n: int = BUCKETS, stop_words: tuple[str, ...] =
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
 
 
-def _rows(column: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The distinct buckets of each text in ascending order, and how often each occurs."""
+    for b in batches:
+        ends = b.offsets.to_numpy()
+        sizes = np.diff(ends)
+        keys = np.repeat(np.arange(len(b), dtype=np.int64), sizes) << 32 | b.values.to_numpy()[ends[0] : ends[-1]]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        cuts = pa.array(np.searchsorted(keys[first] >> 32, np.arange(len(b) + 1)), pa.int32())
+        at, tf = (keys[first] & 0xFFFFFFFF).astype(np.int32), np.diff(first, append=len(keys)).astype(np.int32)
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(at)), pa.ListArray.from_arrays(cuts, pa.array(tf))], names=["at", "tf"])
+
+
+def counted(text: str | Column, n: int = BUCKETS, stop_words: tuple[str, ...] = ()) -> Column:
+    """struct(at, tf) of a text: its distinct buckets and how often each occurs."""
+    return F.arrow_udf(_counted, "struct<at: array<int>, tf: array<int>>")(buckets(text, n, stop_words))
+
+
+def _parts(words: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the texts begin and end, and the buckets and counts of all of them."""
+    at, tf = words.field("at"), words.field("tf")
+    ends = at.offsets.to_numpy()
+    return ends - ends[0], at.flatten().to_numpy(), tf.flatten().to_numpy()
+
+
+def _rows(words: pa.StructArray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text: (1 + ln tf) * idf, of unit length; a text without words has none."""
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    ends, at, tf = _parts(words)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        at, tf = np.unique(flat[a:b], return_counts=True)
-        w = (1 + np.log(tf)) * idf[at] if len(at) else np.zeros(0)
-        yield at, w / (np.sqrt((w * w).sum()) or 1.0)
+        w = (1 + np.log(tf[a:b])) * idf[at[a:b]]
+        yield at[a:b], w / (np.sqrt((w * w).sum()) or 1.0)
+
+
+#: Texts that are multiplied at a time, over the buckets that occur in them.
+TEXTS = 16
 
 
 def _sums(sent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -49,8 +77,17 @@ def _sums(sent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         idf, m = sent.value
         total = np.zeros_like(m)
         for b in batches:
-            for at, w in _rows(b.column("b"), idf):
-                total[at] += w[:, None] * (w @ m[at])[None, :]
+            for i in range(0, b.num_rows, TEXTS):
+                ends, at, tf = _parts(b.column("w").slice(i, TEXTS))
+                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                w = (1 + np.log(tf)) * idf[at]
+                w /= np.sqrt(np.bincount(row, w * w, len(ends) - 1))[row]
+                here = np.zeros(len(idf), bool)
+                here[at] = True
+                hit = np.flatnonzero(here)
+                a = np.zeros((len(ends) - 1, len(hit)))
+                a[row, (np.cumsum(here) - 1)[at]] = w
+                total[hit] += a.T @ (a @ m[hit])
         hit = np.flatnonzero(total.any(axis=1))
         for i in range(0, len(hit), 512):
             part = hit[i : i + 512]
@@ -82,8 +119,11 @@ class Embedding:
 
     def apply(self, docs: DataFrame, text: str = "text", name: str = "embedding") -> DataFrame:
         """``docs`` with the vector of every text; a text without known words, or NULL, has zeros."""
-        sent = docs.sparkSession.sparkContext.broadcast((self.idf, self.directions))  # BUCKETS x dims
         bound_batches(docs.sparkSession)
+        return docs.withColumn(name, self._vector(docs.sparkSession, counted(text, len(self.idf), self.stop_words)))
+
+    def _vector(self, spark: SparkSession, words: Column) -> Column:
+        sent = spark.sparkContext.broadcast((self.idf, self.directions))  # BUCKETS x dims
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             idf, v = sent.value
@@ -91,20 +131,33 @@ class Embedding:
                 out = np.array([w @ v[at] for at, w in _rows(b, idf)]).reshape(-1, v.shape[1])
                 yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * v.shape[1], pa.int32()), pa.array(out.ravel()))
 
-        return docs.withColumn(name, F.arrow_udf(run, "array<double>")(buckets(text, len(self.idf), self.stop_words)))
+        return F.arrow_udf(run, "array<double>")(words)
 
 
 def fit(docs: DataFrame, dims: int = 50, text: str = "text", n: int = BUCKETS, stop_words: tuple[str, ...] = (), seed: int = 11) -> Embedding:
     """Learn a reduction from all texts: document counts of buckets, then ROUNDS of subspace iteration and one of Rayleigh-Ritz.
 
-    The words of all texts are written once, as bucket numbers, and read in every
+    The words of all texts are written once, as counts by bucket, and read in every
     round. Texts without words count as documents and add nothing else.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
+    return _fitted(settle(docs.select(counted(text, n, stop_words).alias("w")), "words"), dims, n, stop_words, seed)
+
+
+def fit_apply(docs: DataFrame, dims: int = 50, text: str = "text", n: int = BUCKETS, stop_words: tuple[str, ...] = (), seed: int = 11, name: str = "embedding") -> DataFrame:
+    """What ``fit(docs).apply(docs)`` returns, without the text; the texts are cut into words a single time."""
+    bound_batches(docs.sparkSession)
+    words = settle(docs.withColumn("w", counted(text, n, stop_words)).drop(text), "words")
+    made = _fitted(words, dims, n, stop_words, seed)._vector(docs.sparkSession, F.col("w"))
+    return words.withColumn(name, made).drop("w")
+
+
+def _fitted(words: DataFrame, dims: int, n: int, stop_words: tuple[str, ...], seed: int) -> Embedding:
+    spark = words.sparkSession
     width = min(dims + MORE, n)
-    words = settle(docs.select(buckets(text, n, stop_words).alias("b")), "words")
+    words = words.select("w")
     count = words.count()
-    df = words.select(F.explode(F.array_distinct("b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).collect()  # at most n rows
+    df = words.select(F.explode("w.at").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).collect()  # at most n rows
     idf = np.zeros(n)
     for r in df:
         idf[r["bucket"]] = np.log((1 + count) / (1 + r["df"])) + 1

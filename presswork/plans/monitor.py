@@ -216,7 +216,7 @@ def density_topics(spark, d):
 def topics_from_texts(spark, d):
     """Discovery from texts alone: hashed TF-IDF, a randomised decomposition, density."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    vectors = settle(embed.fit(docs, stop_words=STOP).apply(docs).select("doc_id", "embedding"), "vectors")
+    vectors = settle(embed.fit_apply(docs, stop_words=STOP).select("doc_id", "embedding"), "vectors")
     return _topic_invariants(settle(density.discover(vectors, id_col="doc_id"), "topics"), docs, "doc_id", 10)
 
 
