@@ -38,3 +38,26 @@ def test_few_files_are_read(spark, stored):
     assert every >= 6 and scans == 1
     assert "EqualTo(block_no," in rows._jdf.queryExecution().executedPlan().toString()
     assert text_index.blocks_of(spark, path, "nowhere").count() == 0 and text_index.blocks_of(spark, path, "ab") is None
+
+
+@pytest.mark.parametrize("q", ["needle", "ALPHA", "title 29", "nowhere"])
+def test_folders_do_not_grow_with_the_table(spark, stored, tmp_path, monkeypatch, q):
+    df, _ = stored
+    monkeypatch.setattr(text_index, "PARTS", 4)
+    text_index.build(df, str(tmp_path / "i"), ("body", "title"), "id", block_rows=8, part_blocks=1)
+    assert len(list((tmp_path / "i" / "rows").glob("part_no=*"))) <= 4
+    want = df.where(contains_ci("body", q) | contains_ci("title", q)).collect()
+    got = text_index.search(spark, str(tmp_path / "i"), q, ("body", "title"), part_blocks=1).select("id", "body", "title").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_lists_of_many_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "GROUP", 3)
+    monkeypatch.setattr(text_index, "PAIRS", 5)
+    blocks, texts = [0, 0, 1, 2, 3, 4, 4, 7, 7], ["abc", "abcd", None, "bcd", "abc", "", "xyzabc", "abc", "long enough to be cut"]
+    batch = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(texts)], names=["block", "t0"])
+    got = [(r["gram"], 3 * r["group"] + b) for out in text_index._of_blocks(iter([batch])) for r in out.to_pylist() for b in r["blocks"]]
+    want = {(int(g), b) for b, t in zip(blocks, texts, strict=True) if t for g in text_index.grams(t.encode())}
+    assert len(got) == len(set(got)) and set(got) == want
