@@ -1,19 +1,23 @@
 """Screening of untrusted text: hidden instructions, scripts, junk.
 
 A text is looked at as it is, normalised, reversed and with base64 runs decoded.
-Only compatibility folding of non-ASCII text needs Python, as an Arrow UDF.
+Python runs in Arrow batches: for compatibility folding of non-ASCII text, and for a first look that reads a text once and
+tells which of the exact checks, all built-in expressions, it needs.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from presswork.functions.text import redact, unescape
+from presswork.functions.text import once, redact, unescape
 
 MAX_COMMENT, MAX_ARTICLE = 50_000, 200_000
 
@@ -120,48 +124,127 @@ def _first_hit(view: Column, low: Column, name: Column) -> Column:
     return F.when(found.isNotNull(), F.when(~view.rlike("(?iu)" + REPORTED), found))
 
 
+def _spread(*words: str) -> str:
+    """One of the words, also with separators between its letters."""
+    return "(?:" + "|".join(r"[._*|/-]*".join(w) for w in words) + ")"
+
+
+_GAP = r"[\s\x0b]"
+#: What a lower-case text without digits for letters must hold for any pattern to match it, as it is or with separators taken out of words; word borders play no part.
+OPENINGS = "|".join((
+    _spread("ignore", "disregard", "forget", "override", "bypass", "skip", "discard") + _GAP,
+    _spread("system", "assistant", "user", "developer") + rf"{_GAP}*[:\]]",
+    rf"<\|?{_GAP}*" + _spread("im"),
+    rf"\[/?{_GAP}*" + _spread("inst", "sys"),
+    _spread("you") + f"{_GAP}+" + _spread("are", "must", "should", "will") + f"{_GAP}+" + _spread("now"),
+    _spread("new", "updated", "revised") + f"{_GAP}+" + _spread("instruction", "rule", "task", "directive"),
+    _spread("act", "behave", "respond", "reply", "classify", "label", "rate", "mark", "score") + f"{_GAP}+" + _spread("as") + f"{_GAP}+" + _spread("if"),
+    _spread("classify", "label", "rate", "mark", "score", "tag") + f"{_GAP}+" + _spread("this", "all", "every", "each"),
+    _spread("prompt"),
+    _spread("developer", "god", "admin", "debug", "dan") + f"{_GAP}+" + _spread("mode"),
+    _spread("pretend") + _GAP,
+))
+#: Characters other than ASCII and the Latin letters, signs, dashes and quotes that stand for themselves in every view, and for no other letter when case is ignored.
+ODD = "[^\x01-\x7f\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2010\u2012-\u2015\u2018-\u201e\u2020-\u2022\u2039\u203a\u20ac]"
+RUN = "[A-Za-z0-9+/]{16}"
+SCRIPT = "(?i)(?:<|&lt;)script"
+
+
+LOOK = StructType([StructField(name, BooleanType()) for name in ("opens", "odd", "runs", "script")] + [StructField("compatible", StringType())])
+
+
+@F.arrow_udf(LOOK)
+def _look(text: pa.Array) -> pa.Array:
+    """Which exact checks a text needs, in one reading: none of these is false where the check would find something.
+
+    opens: it or its reverse may match a pattern; odd: it has characters that need folding first, given in ``compatible``;
+    runs: it may hide base64; script: a script tag may open.
+    """
+    low = pc.ascii_lower(text)
+    for digit, letter in zip(*LEET, strict=True):
+        low = pc.replace_substring(low, digit, letter)
+    opens = pc.or_(pc.match_substring_regex(low, OPENINGS), pc.match_substring_regex(pc.utf8_reverse(low), OPENINGS))
+    odd = pc.match_substring_regex(text, ODD)
+    folded = [unicodedata.normalize("NFKC", t.as_py()) if o.is_valid and o.as_py() else None for t, o in zip(text, odd, strict=True)]
+    marks = [opens, odd, pc.match_substring_regex(text, RUN), pc.match_substring_regex(text, SCRIPT), pa.array(folded, pa.string())]
+    return pa.StructArray.from_arrays(marks, LOOK.fieldNames())
+
+
 def injection(text: Column) -> Column:
-    """Why a text looks like an instruction to a model (view and pattern); NULL if it does not.
+    """Why a text looks like an instruction to a model (view and pattern); NULL if it does not."""
+    t = F.coalesce(text, F.lit(""))
+    return once(F.struct(t.alias("text"), _look(t).alias("look")), lambda x: _injected(x["text"], x["look"]))
+
+
+def _injected(t: Column, look: Column) -> Column:
+    """``injection`` of a text that was looked at (Python cannot be called inside ``once``); what the look ruled out is not tried.
 
     Views are elements of an array, so that each is made once for all patterns.
     """
 
-    def view(name: str, of: Column, low: Column | None = None) -> Column:
-        return F.struct(F.lit(name).alias("name"), of.alias("text"), (_plain_case(of) if low is None else low).alias("low"))
+    def view(name: str, of: Column, low: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), of.alias("text"), low.alias("low"))
 
     def views(flat: Column) -> Column:
         low = F.replace(flat, F.lit("\u0131"), F.lit("i"))  # the only one of these letters that folding leaves
-        hidden = F.transform(decoded_views(t), lambda v: view("base64", _folded(_plain_letters(v))))
-        return F.concat(F.array(view("raw", t), view("normalized", flat, low), view("reversed", F.reverse(flat), F.reverse(low))), hidden)
+        return F.array(view("raw", t, _plain_case(t)), view("normalized", flat, low), view("reversed", F.reverse(flat), F.reverse(low)))
 
-    t = F.coalesce(text, F.lit(""))
-    every = F.get(F.transform(F.array(normalised(t)), views), F.lit(0))
-    hits = F.filter(F.transform(every, lambda v: _first_hit(v["text"], v["low"], v["name"])), lambda h: h.isNotNull())
-    return F.coalesce(F.get(hits, F.lit(0)), F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word")))
+    def found(all_views: Column) -> Column:
+        hits = F.filter(F.transform(all_views, lambda v: _first_hit(v["text"], v["low"], v["name"])), lambda h: h.isNotNull())
+        return F.get(hits, F.lit(0))
+
+    flat = _folded(F.coalesce(_plain_letters(look["compatible"]), t))
+    hidden = F.transform(F.transform(decoded_views(t), lambda v: _folded(_plain_letters(v))), lambda v: view("base64", v, _plain_case(v)))
+    inside = F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word"))
+    return F.coalesce(F.when(look["opens"] | look["odd"], found(once(flat, views))), F.when(look["runs"], found(hidden)), F.when(look["odd"], inside))
+
+
+def _screened(text: Column, longest: int, use: Callable[[Column], Column]) -> Column:
+    """``use`` of struct(reason, detail, text): the checks in order, the first failure decides.
+
+    The costly search runs once, and only for texts that the checks before it let through.
+    """
+
+    def first(t: Column, look: Column) -> Column:
+        blank = ~F.coalesce(t, F.lit("")).rlike(r"(?U)\S")
+        script = F.when(look["script"], unescape(t).rlike(r"(?i)<script\b"))
+        return F.when(blank, "empty_or_invalid_type").when(F.length(t) > longest, "exceeds_max_length").when(script, "html_script_detected")
+
+    def searched(x: Column) -> Column:
+        detail = F.when(x["first"].isNull(), _injected(x["text"], x["look"]))
+        return F.struct(x["first"].alias("first"), detail.alias("detail"), x["text"].alias("text"))
+
+    def told(x: Column) -> Column:
+        reason = F.coalesce(x["first"], F.when(x["detail"].isNotNull(), "prompt_injection_suspected"))
+        return F.struct(reason.alias("reason"), x["detail"].alias("detail"), x["text"].alias("text"))
+
+    looked = F.struct(text.alias("text"), _look(text).alias("look"))
+    checked = once(looked, lambda x: F.struct(first(x["text"], x["look"]).alias("first"), x["text"].alias("text"), x["look"].alias("look")))
+    return once(once(once(checked, searched), told), use)
 
 
 def verdict(text: Column, longest: int = MAX_COMMENT) -> Column:
     """struct(passed, reason, flagged_detail, clean_text): the checks in order, the first failure decides."""
-    blank = ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
-    first = F.when(blank, "empty_or_invalid_type").when(F.length(text) > longest, "exceeds_max_length").when(unescape(text).rlike(r"(?i)<script\b"), "html_script_detected")
-    # The costly search runs once, and only for texts that the checks before it let through.
-    found = F.array(F.struct(first.alias("reason"), F.when(first.isNull(), injection(text)).alias("detail")))
 
     def told(x: Column) -> Column:
-        reason = F.coalesce(x["reason"], F.when(x["detail"].isNotNull(), "prompt_injection_suspected"))
+        reason = x["reason"]
         flagged = F.when(reason == "html_script_detected", "<script").otherwise(x["detail"])
-        return F.struct(reason.isNull().alias("passed"), reason.alias("reason"), flagged.alias("flagged_detail"), F.when(reason.isNull(), redact(text)).alias("clean_text"))
+        return F.struct(reason.isNull().alias("passed"), reason.alias("reason"), flagged.alias("flagged_detail"), F.when(reason.isNull(), redact(x["text"])).alias("clean_text"))
+
+    return _screened(text, longest, told)
+
 
-    return F.get(F.transform(found, told), F.lit(0))
+def reason(text: Column, longest: int = MAX_COMMENT) -> Column:
+    """The reason of ``verdict`` alone, where nobody reads the clean text: it is not made."""
+    return _screened(text, longest, lambda x: x["reason"])
 
 
-def totals(screened: DataFrame, verdict: str = "verdict") -> DataFrame:
+def totals(screened: DataFrame, reason: str = "verdict.reason") -> DataFrame:
     """Rows by reason ('passed' for none), each with the numbers of all ``screened`` and all ``quarantined`` rows.
 
     The verdicts are reduced to one row for each reason first.
     """
-    reason = F.coalesce(F.col(f"{verdict}.reason"), F.lit("passed"))
-    counts = screened.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    counts = screened.groupBy(F.coalesce(reason, F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
     every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("screened"), F.coalesce(F.sum(F.when(F.col("reason") != "passed", F.col("n"))), F.lit(0)).alias("quarantined"))
     return counts.crossJoin(F.broadcast(every))  # one row
 
