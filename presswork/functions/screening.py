@@ -150,23 +150,26 @@ RUN = "[A-Za-z0-9+/]{16}"
 SCRIPT = "(?i)(?:<|&lt;)script"
 
 
-LOOK = StructType([StructField(name, BooleanType()) for name in ("opens", "odd", "runs", "script")] + [StructField("compatible", StringType())])
+LOOK = StructType([StructField(name, BooleanType()) for name in ("opens", "hides", "runs", "script")] + [StructField("compatible", StringType())])
+#: What odd characters become before beginnings are looked for: look-alikes, letters that match a Latin one when case is ignored, white space that compatibility forms leave.
+_ALIKE = str.maketrans(LOOKALIKES[0] + "\u017f\u0131\u0130\u212a\x85\u1680\u2028\u2029", LOOKALIKES[1] + "siik" + " " * 4, INVISIBLE)
 
 
 @F.arrow_udf(LOOK)
 def _look(text: pa.Array) -> pa.Array:
     """Which exact checks a text needs, in one reading: none of these is false where the check would find something.
 
-    opens: it or its reverse may match a pattern; odd: it has characters that need folding first, given in ``compatible``;
-    runs: it may hide base64; script: a script tag may open.
+    opens: it, its normal form or the reverse of that may match a pattern; hides: it has invisible characters; runs: it
+    may hide base64; script: a script tag may open. ``compatible`` is the compatibility form of a text with odd characters.
     """
-    low = pc.ascii_lower(text)
+    odd = [t.as_py() if o.is_valid and o.as_py() else None for t, o in zip(text, pc.match_substring_regex(text, ODD), strict=True)]
+    compatible = [None if t is None else unicodedata.normalize("NFKC", t) for t in odd]
+    both = [None if t is None else f"{t}\n{c}".translate(_ALIKE) for t, c in zip(odd, compatible, strict=True)]
+    low = pc.ascii_lower(pc.coalesce(pa.array(both, text.type), text))
     for digit, letter in zip(*LEET, strict=True):
         low = pc.replace_substring(low, digit, letter)
     opens = pc.or_(pc.match_substring_regex(low, OPENINGS), pc.match_substring_regex(pc.utf8_reverse(low), OPENINGS))
-    odd = pc.match_substring_regex(text, ODD)
-    folded = [unicodedata.normalize("NFKC", t.as_py()) if o.is_valid and o.as_py() else None for t, o in zip(text, odd, strict=True)]
-    marks = [opens, odd, pc.match_substring_regex(text, RUN), pc.match_substring_regex(text, SCRIPT), pa.array(folded, pa.string())]
+    marks = [opens, *(pc.match_substring_regex(text, p) for p in (HIDDEN, RUN, SCRIPT)), pa.array(compatible, pa.string())]
     return pa.StructArray.from_arrays(marks, LOOK.fieldNames())
 
 
@@ -196,7 +199,7 @@ def _injected(t: Column, look: Column) -> Column:
     flat = _folded(F.coalesce(_plain_letters(look["compatible"]), t))
     hidden = F.transform(F.transform(decoded_views(t), lambda v: _folded(_plain_letters(v))), lambda v: view("base64", v, _plain_case(v)))
     inside = F.when(t.rlike(rf"(?U)\w{HIDDEN}\w"), F.lit("injection_pattern[obfuscation]:zero_width_inside_word"))
-    return F.coalesce(F.when(look["opens"] | look["odd"], found(once(flat, views))), F.when(look["runs"], found(hidden)), F.when(look["odd"], inside))
+    return F.coalesce(F.when(look["opens"], found(once(flat, views))), F.when(look["runs"], found(hidden)), F.when(look["hides"], inside))
 
 
 def _screened(text: Column, longest: int, use: Callable[[Column], Column]) -> Column:
